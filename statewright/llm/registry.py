@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statewright.llm import exact_dedup, minhash
+from statewright.llm import exact_dedup, minhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,3 +39,8 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_groups(_documents(spark, sf_dir), size=4, threshold=80)
+
+
+@_query()
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(_documents(spark, sf_dir), window=35, with_text=False)

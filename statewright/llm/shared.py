@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +33,11 @@ class Scratch:
         rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
 
+    def release(self) -> None:
+        """Lets Spark delete shuffle files that only written tables have needed; its cleaner waits for a collection."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
