@@ -44,6 +44,10 @@ def lower(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
+def blanks(data: np.ndarray) -> np.ndarray:
+    return _BLANK[data]
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words, and for each document the number of words before it (one entry more)."""
     inside = ~_BLANK[data]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statewright.llm import exact_dedup, minhash, substring_dedup, toxicity
+from statewright.llm import exact_dedup, minhash, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.scores(docs, toxicity.train(docs, labels), threshold=0.3)
+
+
+@_query()
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.cleaned(_documents(spark, sf_dir), with_text=False)
