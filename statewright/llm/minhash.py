@@ -3,9 +3,9 @@
 Shingle sets are sets of 64-bit hashes of word runs. Documents with equal sets are one node. A node's hashes are
 dealt into ``BINS`` bins of which each keeps its least hash; an empty bin takes the value of a full bin that a
 fixed permutation of that bin picks (optimal densification). Runs of ``ROWS`` bins are bands; nodes that share a band
-are candidates. In each bucket a hub is compared with the members of other groups, not all pairs with each other;
-confirmed pairs merge groups, and later rounds take other hubs. What is left between different groups of a bucket
-is compared in full, so no link between candidates is lost.
+are candidates. In each bucket one hub is paired with the other members, and these star-shaped edges are confirmed on
+the full sets. What the stars leave apart although buckets connect it is compared in full, block by block, so no link
+between candidates is lost and no pairs are emitted but links.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from statewright.llm.shared import Scratch, whole_text
 #: Two sets with a similarity of 0.8 miss a band of 6 with probability 0.74, and all 40 bands with 5e-6.
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Star rounds before the rest is compared in full, at once if that is fewer pairs than PAIRS_A_ROW a bucket row.
-ROUNDS, PAIRS_A_ROW = 8, 2
+#: Nodes of a block, nodes of small families that share a task, and shingles of a matrix product.
+BLOCK, PACK, SLICE = 256, 2_000, 4_096
 
 _SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -164,16 +164,122 @@ def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
         labels = moved.select("node", "label")
 
 
+def _overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """The sizes of all intersections of ``sets`` with ``others``, as products of 0/1 matrices over a slice of the shingles."""
+    parts = [*sets, *others]
+    value = np.concatenate(parts)
+    row = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+    _, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    row, column = row[shared], column[shared]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    total = np.zeros((len(sets), len(others)), dtype=np.float32)
+    for low in range(0, len(count), SLICE):
+        lo, hi = np.searchsorted(column, (low, low + SLICE))
+        if lo < hi:
+            used, at = np.unique(column[lo:hi], return_inverse=True)
+            cells = np.zeros((len(parts), len(used)), dtype=np.float32)
+            cells[row[lo:hi], at] = 1
+            total += cells[: len(sets)] @ cells[len(sets) :].T
+    return total
+
+
+def _linking(nodes: list[int], labels: list[int], sets: list[np.ndarray], left: list[int], right: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Links between different labels of the members ``left`` and ``right`` (indices): as many as it takes to join them."""
+    if len({labels[k] for k in left} | {labels[k] for k in right}) < 2:
+        return []
+    same = _overlaps([sets[k] for k in left], [sets[k] for k in right])
+    n_left, n_right = (np.array([len(sets[k]) for k in side]) for side in (left, right))
+    near = 100 * same >= threshold * (n_left[:, None] + n_right[None, :] - same)
+    near &= np.array([labels[k] for k in left])[:, None] != np.array([labels[k] for k in right])[None, :]
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(near):
+        a, b = left[i], right[j]
+        x, y = top(labels[a]), top(labels[b])
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((nodes[a], nodes[b]))
+    return out
+
+
+def _compare(threshold: int):
+    def task(table: pa.Table) -> pa.Table:
+        nodes, labels, families, blocks = (table.column(c).to_pylist() for c in ("node", "label", "family", "block"))
+        shingles = table.column("shingles").combine_chunks()
+        sets = [shingles[k].values.to_numpy() for k in range(len(nodes))]
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        found = []
+        if i != j:
+            left, right = ([k for k, x in enumerate(blocks) if x == side] for side in (i, j))
+            if left and right:
+                found = _linking(nodes, labels, sets, left, right, threshold)
+        else:
+            members: dict[int, list[int]] = {}
+            for k, family in enumerate(families):
+                members.setdefault(family, []).append(k)
+            for own in members.values():
+                found += _linking(nodes, labels, sets, own, own, threshold)
+        return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
+
+    return task
+
+
+def _remaining(stars: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame | None:
+    """Links that the stars have not shown, between different labels of a family: nodes that buckets connect.
+
+    A family's rows meet in blocks of BLOCK nodes, each pair of blocks in a task of its own; blocks within the
+    largest label, whose nodes are joined already, do not meet. Small families share a task. No pair becomes a row
+    unless it is a link.
+    """
+    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
+    across = stars.join(of("a"), "a").join(of("b"), "b").filter("of_a <> of_b")
+    across = scratch.table(across.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "across")
+    if across.isEmpty():
+        return None
+    families = components(across, scratch, "families").select(F.col("node").alias("label"), F.col("label").alias("family"))
+    members = scratch.table(labels.join(families, "label").select("node", "label", "family"), "members")
+    by_label = members.groupBy("family", "label").agg(F.count("*").alias("n"))
+    sizes = by_label.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("big"))
+    split = F.col("big.n") >= BLOCK
+    sizes = sizes.select(
+        "family",
+        "n",
+        F.when(split, F.col("big.label")).alias("big"),
+        F.when(split, F.ceil(F.col("big.n") / BLOCK)).otherwise(0).alias("n_big"),
+        F.ceil((F.col("n") - F.when(split, F.col("big.n")).otherwise(0)) / BLOCK).alias("n_rest"),
+    )
+    packs = max(1, members.count() // PACK)
+    rows = members.join(sizes, "family").filter("n_rest > 0")
+    in_big = F.coalesce(F.col("label") == F.col("big"), F.lit(False))
+    spread = F.xxhash64("node", F.lit("block"))
+    block = F.when(in_big, F.col("n_rest") + F.pmod(spread, F.greatest("n_big", F.lit(1)))).otherwise(F.pmod(spread, "n_rest"))
+    small = (F.col("n_rest") == 1) & (F.col("n_big") == 0)
+    meets = F.sequence(F.lit(0).cast("long"), F.when(in_big, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_big") - 1))
+    rows = rows.withColumn("block", block).withColumn("part", F.when(small, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.col("family")))
+    rows = rows.withColumn("small", small).withColumn("other", F.explode(meets))
+    rows = rows.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    rows = rows.select("part", "small", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "family", "block", "shingles")
+    return rows.groupBy("part", "small", "i", "j").applyInArrow(_compare(threshold), "a long, b long").distinct()
+
+
 def near_groups(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text, anything else).
 
     Words are runs without blanks, with A-Z lower-cased. A null, empty or blank text has no shingles and is linked
     with nothing. component_id is the least doc_id reachable over links, and the document with it is kept.
-    Repeated rows are one document: a doc_id given with several texts has the union of no more than its largest
-    sketch, and one row. Rows without a doc_id are left out; an empty table gives an empty result.
+    Repeated rows are one document: a doc_id given with several texts counts by its largest sketch, and has one row.
+    Rows without a doc_id are left out; an empty table gives an empty result.
 
-    Bucket rows and pairs stay in proportion to the input: nodes are documents with different sets, each gives BANDS
-    rows, and a round gives one pair a row at most. Counting is by partial aggregates and sort-merge joins.
+    Bucket rows and star edges stay in proportion to the input: nodes are documents with different sets, each gives
+    BANDS rows, and each row one edge at most.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "minhash")
@@ -184,44 +290,22 @@ def near_groups(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFram
     filled = sketches.filter("n_shingles > 0")
     nodes = scratch.table(filled.groupBy(*key).agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    rows = rows.select("node", F.xxhash64("band", "value").alias("bucket"), "band")
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("bucket")
-    buckets = scratch.table(rows.join(shared, "bucket").select("bucket", "node"), "buckets")
-    labels = buckets.select("node", F.col("node").alias("label")).distinct()
-    candidates = scratch.table(labels.select(F.col("node").alias("doc_id")), "candidates")
-    sets = scratch.table(_with_sets(texts, candidates, size).dropDuplicates(["doc_id"]), "sets")
-    links, round_ = None, 0
-    while True:
-        tagged = buckets.join(labels, "node")
-        mixed_ = tagged.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
-        tagged = scratch.table(tagged.join(mixed_, "bucket"), f"open-{round_}")
-        by_label = tagged.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        by_bucket = by_label.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("own"))
-        left, n_rows = by_bucket.agg(F.sum((F.col("n") * F.col("n") - F.col("own")) / 2), F.sum("n")).first()
-        if not left:
-            break
-        last = round_ >= ROUNDS or left <= PAIRS_A_ROW * n_rows
-        if last:
-            other = tagged.select("bucket", F.col("node").alias("b"), F.col("label").alias("of_b"))
-            pairs = tagged.withColumnRenamed("node", "a").join(other, "bucket").filter("label <> of_b AND a < b")
-        else:
-            turn = F.xxhash64("bucket", "node", F.lit(round_))
-            hubs = tagged.groupBy("bucket").agg(F.min_by(F.struct("node", "label"), turn).alias("hub"))
-            pairs = tagged.join(hubs, "bucket").filter(F.col("label") != F.col("hub.label"))
-            pairs = pairs.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-        found = scratch.table(_confirmed(pairs.select("a", "b").distinct(), sets, threshold), f"links-{round_}")
-        links = found if links is None else links.unionByName(found)
-        if last:
-            if not found.isEmpty():
-                labels = components(links, scratch, f"components-{round_}")
-            break
-        if not found.isEmpty():
-            moved = components(links, scratch, f"components-{round_}").withColumnRenamed("label", "least")
-            labels = labels.select("node").join(moved, "node", "left").select("node", F.coalesce("least", "node").alias("label"))
-            labels = scratch.table(labels, f"labels-{round_}")
-        round_ += 1
-    ends = labels.select("node", "label")
-    of_set = nodes.select(*key, "node").join(ends, "node", "left").select(*key, F.coalesce("label", "node").alias("component_id"))
+    rows = rows.select("node", F.xxhash64("band", "value").alias("bucket"))
+    hubs = rows.groupBy("bucket").agg(F.min_by("node", F.xxhash64("bucket", "node")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
+    stars = rows.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    stars = scratch.table(stars.distinct(), "stars")
+    ends = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
+    sets = scratch.table(_with_sets(texts, ends, size).dropDuplicates(["doc_id"]), "sets")
+    links = scratch.table(_confirmed(stars, sets, threshold), "links")
+    joined = components(links, scratch, "joined")
+    labels = sets.select(F.col("doc_id").alias("node")).join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    labels = scratch.table(labels, "labels")
+    more = _remaining(stars, labels, sets, scratch, threshold)
+    if more is not None:
+        more = scratch.table(more, "more")
+        if not more.isEmpty():
+            labels = components(links.unionByName(more), scratch, "all")
+    of_set = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("component_id"))
     own = sketches.groupBy("doc_id").agg(F.max(F.struct(*key)).alias("set")).select("doc_id", "set.*")
     return own.join(of_set, key, "left").select(
         "doc_id",
