@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,9 +35,14 @@ class Scratch:
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
 
     def release(self) -> None:
-        """Lets Spark delete shuffle files that only written tables have needed; its cleaner waits for a collection."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Lets Spark delete shuffle files that only written tables have needed.
+
+        Its cleaner acts on what a collection finds unreachable; the second collection gets what the first let go.
+        """
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
