@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statewright.llm import exact_dedup, minhash, quality, substring_dedup, toxicity
+from statewright.llm import bpe, exact_dedup, minhash, quality, substring_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +56,8 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.cleaned(_documents(spark, sf_dir), with_text=False)
+
+
+@_query()
+def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
