@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statewright.llm import bpe, exact_dedup, minhash, quality, substring_dedup, toxicity
+from statewright.llm import bpe, exact_dedup, minhash, quality, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query()
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.written_and_read(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
