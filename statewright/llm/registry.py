@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statewright.llm import bpe, exact_dedup, minhash, quality, substring_dedup, token_files, toxicity
+from statewright.llm import bpe, exact_dedup, minhash, pii, quality, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +66,8 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.written_and_read(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+@_query()
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.findings(_documents(spark, sf_dir)).drop("row", "found")
