@@ -23,6 +23,8 @@ from statewright.llm.shared import Scratch, whole_text
 #: Two sets with a similarity of 0.8 miss a band of 6 with probability 0.74, and all 40 bands with 5e-6.
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
+#: Hubs are the first in one of so many orders of all nodes, so that a group's buckets mostly have the same few hubs.
+ORDERS = 4
 #: Nodes of a block, nodes of small families that share a task, and shingles of a matrix product.
 BLOCK, PACK, SLICE = 256, 2_000, 4_096
 
@@ -129,7 +131,7 @@ def _set_rows(size: int):
 
 def _with_sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """doc_id, shingles of the documents in ``ids``."""
-    wanted = texts.join(ids, "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
+    wanted = texts.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
     return wanted.mapInArrow(_set_rows(size), "doc_id long, shingles array<long>")
 
 
@@ -290,8 +292,8 @@ def near_groups(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFram
     filled = sketches.filter("n_shingles > 0")
     nodes = scratch.table(filled.groupBy(*key).agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "nodes")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    rows = rows.select("node", F.xxhash64("band", "value").alias("bucket"))
-    hubs = rows.groupBy("bucket").agg(F.min_by("node", F.xxhash64("bucket", "node")).alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
+    rows = rows.select("node", F.xxhash64("band", "value").alias("bucket"), F.xxhash64(F.col("band") % ORDERS, "node").alias("turn"))
+    hubs = rows.groupBy("bucket").agg(F.min_by("node", "turn").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     stars = rows.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     stars = scratch.table(stars.distinct(), "stars")
     ends = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
