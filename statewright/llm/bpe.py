@@ -183,24 +183,40 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def _sums(codec: Codec, ids: bytes) -> tuple[str, str]:
+    """The digests of the ids and of the text decoded from them."""
+    return hashlib.sha256(ids).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()
+
+
+def encoded_with_sums(docs: DataFrame, path: str) -> DataFrame:
+    """As encoded(), with ids_sha256 and decoded_sha256 besides, and without the texts; for corpora kept as ids."""
+    return _encoded(docs, path, sums=True).drop("text")
+
+
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """``docs`` with ``ids`` (array of int), the tokens of ``text``; a null or empty text has none.
 
     All rows and other columns stay as they are; a column called ids is replaced.
     """
+    return _encoded(docs, path, sums=False)
+
+
+def _encoded(docs: DataFrame, path: str, sums: bool) -> DataFrame:
     spec = _spec(docs, path)
-    fields = [f for f in docs.schema.fields if f.name != "ids"]
-    kept = docs.select(*[f.name for f in fields])
+    added = ["ids"] + ["ids_sha256", "decoded_sha256"] * sums
+    kept = docs.drop(*added)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec.value)
         for batch in batches:
-            found = [np.frombuffer(b, dtype="<i4") for b in codec.encode(_texts(batch.column("text")))]
+            raw = list(codec.encode(_texts(batch.column("text"))))
+            found = [np.frombuffer(b, dtype="<i4") for b in raw]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, "<i4")))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, "ids"])
+            digests = [pa.array(c, pa.string()) for c in zip(*(_sums(codec, b) for b in raw), strict=True)] if sums and raw else [pa.array([], pa.string())] * 2 * sums
+            yield pa.RecordBatch.from_arrays([*batch.columns, ids, *digests], names=[*batch.schema.names, *added])
 
-    schema = kept.withColumn("ids", F.array().cast("array<int>")).schema
+    schema = kept.withColumns({c: F.array().cast("array<int>") if c == "ids" else F.lit("") for c in added}).schema
     return kept.mapInArrow(task, schema)
 
 
@@ -229,7 +245,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(spec.value)
         for batch in batches:
-            rows = [(len(b) // 4, hashlib.sha256(b).hexdigest(), hashlib.sha256(codec.decode(b)).hexdigest()) for b in codec.encode(_texts(batch.column("text")))]
+            rows = [(len(b) // 4, *_sums(codec, b)) for b in codec.encode(_texts(batch.column("text")))]
             n, ids, texts = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],

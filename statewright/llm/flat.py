@@ -48,9 +48,12 @@ def blanks(data: np.ndarray) -> np.ndarray:
     return _BLANK[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words, and for each document the number of words before it (one entry more)."""
-    inside = ~_BLANK[data]
+def words(data: np.ndarray, offsets: np.ndarray, parts: np.ndarray = _BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words, and for each document the number of words before it (one entry more).
+
+    ``parts`` says of each byte whether it stands between words.
+    """
+    inside = ~parts[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
     last[:-1] &= ~inside[1:]

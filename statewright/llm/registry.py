@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from statewright.llm import bpe, exact_dedup, minhash, pii, quality, substring_dedup, token_files, toxicity
+from statewright.llm import bpe, exact_dedup, licenses, minhash, mixing, pii, quality, substring_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -71,3 +71,13 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.findings(_documents(spark, sf_dir)).drop("row", "found")
+
+
+@_query(mixing.SQL)
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.replicated(_documents(spark, sf_dir))
+
+
+@_query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
