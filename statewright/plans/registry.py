@@ -2,33 +2,5 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from statewright.operators import logs
-from statewright.sources.tables import bus_events
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers the function under its name, with its SQL."""
-
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return put
-
-
-@query(
-    """SELECT event_id AS version, event_type AS type, user_id AS source_node_id, value
-       FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 100"""
-)
-def eventlog_compact_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = bus_events(spark, sf_dir).select("version", "type", "source_node_id", "value")
-    return logs.keep_newest(events, ["type"], "version", 100)
+from statewright.plans import flow_queries, log_queries, metric_queries, placement_queries, state_queries, topology_queries, workflow_queries  # noqa: F401
+from statewright.plans.base import ORACLES, QUERIES  # noqa: F401
