@@ -1 +1,102 @@
-"""Queries."""
+"""Queries over the event stream as flow control sees it; unit tests compare the folds with plain loops."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from statewright.operators import flow
+from statewright.plans.base import query
+from statewright.sources.tables import table
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.col("ts").cast("timestamp").alias("ts"), "value")
+
+
+@query()
+def coalesce_windows(spark, sf_dir):
+    return flow.coalesced(_events(spark, sf_dir), ["user_id"], "us", 3_600_000_000)
+
+
+@query(
+    """WITH g AS (SELECT user_id, epoch_us(ts) AS us, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 7200000000 OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS s FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+       n AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(us) AS started, max(us) AS ended, count(*) AS events FROM n GROUP BY user_id, k"""
+)
+def idle_sessions(spark, sf_dir):
+    found = flow.sessions(_events(spark, sf_dir), ["user_id"], "ts", "2 hours")
+    return found.select("user_id", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "events")
+
+
+@query()
+def token_bucket(spark, sf_dir):
+    return flow.token_bucket(_events(spark, sf_dir), ["user_id"], "us", "event_id", 1 / 7200, 3.0)
+
+
+@query("SELECT event_id, user_id, epoch_us(ts) // 86400000000 AS flush FROM events QUALIFY row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY event_id DESC) <= 2")
+def backpressure_drop_oldest(spark, sf_dir):
+    return flow.bounded(_events(spark, sf_dir), ["user_id"], "us", "event_id", 86_400_000_000, 2, "drop-oldest").select("event_id", "user_id", "flush")
+
+
+@query("SELECT event_id, user_id, epoch_us(ts) // 86400000000 AS flush FROM events QUALIFY row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 86400000000 ORDER BY event_id) <= 2")
+def backpressure_drop_newest(spark, sf_dir):
+    return flow.bounded(_events(spark, sf_dir), ["user_id"], "us", "event_id", 86_400_000_000, 2, "drop-newest").select("event_id", "user_id", "flush")
+
+
+@query()
+def dedup_first_seen(spark, sf_dir):
+    return flow.first_seen(_events(spark, sf_dir), "user_id", "us", 14_400_000_000)
+
+
+@query("SELECT event_id, user_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts) QUALIFY lag(ts) OVER w IS NULL OR epoch_us(ts) - epoch_us(lag(ts) OVER w) > 14400000000")
+def dedup_ttl(spark, sf_dir):
+    return flow.dedup_refreshed(_events(spark, sf_dir), "user_id", "us", 14_400_000_000).select("event_id", "user_id")
+
+
+@query()
+def message_batches(spark, sf_dir):
+    return flow.batches(_events(spark, sf_dir), ["event_type"], "us", "value", 100, 4000, 7_200_000_000)
+
+
+@query()
+def circuit_breaker(spark, sf_dir):
+    return flow.breaker(_events(spark, sf_dir).withColumn("ok", F.col("event_type") != "error"), ["user_id"], "us", 2, 36_000_000_000)
+
+
+@query()
+def lease_fold(spark, sf_dir):
+    claims = _events(spark, sf_dir).select((F.col("event_id") % 97).alias("range_id"), "us", F.concat(F.lit("node-"), F.col("user_id") % 7).alias("node"))
+    return flow.leases(claims, "range_id", "us", "node", 21_600_000_000)
+
+
+@query(
+    """WITH n AS (SELECT max(epoch_us(ts)) AS now FROM events) SELECT user_id, max(epoch_us(ts)) AS last_seen,
+       CASE WHEN any_value(now) - max(epoch_us(ts)) > 36000000000 THEN 'DEAD' WHEN any_value(now) - max(epoch_us(ts)) > 10800000000 THEN 'SUSPECT' ELSE 'ALIVE' END AS status FROM events, n GROUP BY 1"""
+)
+def liveness_status(spark, sf_dir):
+    events = _events(spark, sf_dir)
+    now = events.agg(F.max("us")).first()[0]  # one number: the time at which the state is asked for
+    return flow.liveness(events, "user_id", "us", F.lit(now), 10_800_000_000, 36_000_000_000)
+
+
+LOG = """q AS (SELECT event_id AS lsn, event_id % 3000 AS message_id, user_id % 5 AS queue, CASE WHEN event_type = 'signup' THEN 'CREATE' WHEN event_type = 'error' THEN 'DELETE' ELSE 'UPDATE' END AS operation,
+  CASE WHEN event_type = 'view' THEN 'dead-letter' ELSE 'pending' END AS status FROM events)"""
+
+
+@query(
+    f"""WITH {LOG}, l AS (SELECT queue, message_id, arg_max(operation, lsn) AS o, arg_max(status, lsn) AS s FROM q GROUP BY 1, 2)
+        SELECT queue, count(*) FILTER (o <> 'DELETE' AND NOT (o = 'UPDATE' AND s = 'dead-letter')) AS pending, count(*) FILTER (o = 'DELETE') AS acknowledged, count(*) FILTER (o = 'UPDATE' AND s = 'dead-letter') AS dead FROM l GROUP BY 1"""
+)
+def queue_recovery_stats(spark, sf_dir):
+    operation = F.when(F.col("event_type") == "signup", "CREATE").when(F.col("event_type") == "error", "DELETE").otherwise("UPDATE")
+    status = F.when(F.col("event_type") == "view", "dead-letter").otherwise("pending")
+    log = _events(spark, sf_dir).select(F.col("event_id").alias("lsn"), (F.col("event_id") % 3000).alias("message_id"), (F.col("user_id") % 5).alias("queue"), operation.alias("operation"), status.alias("status"))
+    return flow.queue_recovery(log, "message_id", "queue", "lsn")
+
+
+@query(
+    """WITH t AS (SELECT l_orderkey AS message_id, min(l_linenumber) FILTER (l_linestatus = 'F') AS ok, max(l_linenumber) AS n FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1)
+       SELECT message_id, CASE WHEN ok IS NOT NULL THEN 'completed' WHEN n >= 3 THEN 'dead-letter' ELSE 'pending' END AS status, coalesce(ok, n) AS attempts FROM t"""
+)
+def queue_delivery(spark, sf_dir):
+    attempts = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("message_id"), F.col("l_linenumber").alias("attempt"), (F.col("l_linestatus") == "F").alias("ok"))
+    return flow.delivery(attempts, "message_id", "attempt", 3)

@@ -148,10 +148,10 @@ def tag_values(spark, sf_dir):
     return topology.tag_values(members(spark, sf_dir).select(tags.alias("tags")), "tags").select("tag", F.array_join("values", ",").alias("values"))
 
 
-@query("SELECT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 49 AND l_returnflag = 'R')")
+@query("SELECT s_suppkey AS node FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity >= 50 AND l_linenumber = 7)")
 def partition_unreachable(spark, sf_dir):
     nodes = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))
-    seen = table(spark, sf_dir, "lineitem").filter("l_quantity >= 49 AND l_returnflag = 'R'").select(F.col("l_suppkey").alias("node"))
+    seen = table(spark, sf_dir, "lineitem").filter("l_quantity >= 50 AND l_linenumber = 7").select(F.col("l_suppkey").alias("node"))
     return topology.unreachable(nodes, seen, "node")
 
 
