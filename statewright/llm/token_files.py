@@ -10,9 +10,11 @@ numbers are one stream. Files on a local or mounted path are memory-mapped when
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,55 +25,75 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from statewright.llm.bpe import byte_characters
 from statewright.llm.shared import partitions, shared_folder, whole_text
 
-#: Different words a task remembers, and characters it splits at a time.
-REMEMBERED, AT_ONCE = 300_000, 1_000_000
+#: Different words, and pieces between spaces, that a Python worker remembers.
+REMEMBERED = 500_000
 # Fixed value: how byte-level tokenizers cut a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Where one of these stands, spaces meet other white space, and the text is cut as a whole.
+_TOGETHER = ("  ", "\n \n", "\t", "\r", "\x0b", "\x0c", "\x85", "\xa0")
+
+
+class _Remembered(dict):
+    """A dictionary that makes what it does not have."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.make(key)
+        return found
+
 
 class WordCache:
     """The library's tokenizer behind a cache of words.
 
-    A byte-level tokenizer encodes each word by itself, and a word cut from a text is one word alone too, so a text's
-    ids are those of its words. Texts with characters whose class depends on the Unicode version are given to the
-    library whole.
+    A byte-level tokenizer encodes each word by itself, so a text's ids are those of its words, and each word is given
+    to the library's model once. A space belongs to the word after it, so where no space meets other white space the
+    pieces between spaces are cut into words one by one, and remembered too. Texts with characters whose class depends
+    on the Unicode version, or with special tokens, are given to the library whole.
     """
 
     def __init__(self, spec: bytes):
         self.tokenizer = Tokenizer.from_str(spec.decode())
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        self.signs = {b: c for b, c in enumerate(byte_characters())}
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(WORDS)
+        self.rare = re.compile("[\u0300-\U0010ffff\x1c-\x1f]")
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.code = "H" if self.kind.itemsize == 2 else "I"
+        self.words = _Remembered(self._word)
+        self.pieces = _Remembered(lambda piece: self._text(" " + piece))
+
+    def _word(self, word: str) -> bytes:
+        signs = word.encode().decode("latin-1").translate(self.signs)
+        return array(self.code, [t.id for t in self.model.tokenize(signs)]).tobytes()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _text(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.pattern.findall(text)))
 
-    def _whole(self, text: str) -> bool:
-        return any(s in text for s in self.special) or not (text.isascii() or max(text) < "̀") or any(c in text for c in "\x1c\x1d\x1e\x1f")
+    def _encoded(self, text: str) -> bytes:
+        if self.rare.search(text) or any(s in text for s in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+        if any(s in text for s in _TOGETHER) or text.endswith(" "):
+            return self._text(text)
+        first, *rest = text.split(" ")
+        return self._text(first) + b"".join(map(self.pieces.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """For each text its ids as unsigned integers."""
-        row = 0
-        while row < len(texts):
-            some, size = [], 0
-            while row < len(texts) and (not some or size + len(texts[row]) <= AT_ONCE):
-                text = texts[row]
-                some.append(text if self._whole(text) else self.pattern.findall(text))
-                size += len(text)
-                row += 1
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list(set().union(*(x for x in some if isinstance(x, list))).difference(self.known))
-            self.known.update(zip(new, self._ids(new), strict=True))
-            get = self.known.__getitem__
-            for x in some:
-                yield b"".join(map(get, x)) if isinstance(x, list) else self._ids([x])[0]
+        for text in texts:
+            for cache in (self.words, self.pieces):
+                if len(cache) > REMEMBERED:
+                    cache.clear()
+            yield self._encoded(text)
 
 
 _caches: dict[bytes, WordCache] = {}
