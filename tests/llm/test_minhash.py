@@ -1,6 +1,7 @@
 import random
 import re
 
+from statewright.llm import minhash
 from statewright.llm.minhash import drop_near_copies, near_groups
 
 
@@ -51,6 +52,20 @@ def test_chain_of_variants(frame):
     assert result(frame(texts), 4) == brute(texts, 4)
 
 
+def test_families_in_several_blocks(frame, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    rng = random.Random(11)
+    texts = {}
+    for family in range(4):
+        base = [f"f{family}w{rng.randrange(9000)}" for _ in range(150)]
+        for k in range(45):
+            words = base[:]
+            for _ in range(rng.randrange(1, 9)):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+            texts[family * 1000 + k] = " ".join(words)
+    assert result(frame(texts), 4) == brute(texts, 4)
+
+
 def test_odd_rows(frame, spark):
     texts = {1: None, 2: "", 3: " \t\n", 4: "one", 5: "ONE", 6: "a b c", 7: "a  b\tc", 8: "x " * 50_000, 9: "x x x x x"}
     assert result(frame(texts), 4) == brute(texts, 4)
