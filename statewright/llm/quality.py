@@ -101,8 +101,8 @@ def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             line = np.searchsorted(l_start, at, side="right") - 1
             boilerplate[line] |= at + len(phrase) <= l_end[line]
             at = text.find(phrase, at + 1)
-    end_byte = np.zeros(len(l_start), dtype=np.uint8)
-    end_byte[filled] = data[ends[last[filled] - 1] - 1]
+    closing = _END[data[ends - 1]] if len(starts) else np.zeros(0, bool)
+    closed = np.bincount(line_of_word[closing], minlength=len(l_start))
     lone = (_sums(lead, starts, ends) == 1) & _SEPARATOR[data[ends - 1]] if len(starts) else np.zeros(0, bool)
     separators = np.bincount(line_of_word[lone], minlength=len(l_start))
     symbols = _sums(_SYMBOL[data], l_start, l_end)
@@ -114,7 +114,7 @@ def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     different = l_words - np.bincount(line_of_word[seen], minlength=len(l_start))
     some = l_words >= SOME_WORDS
     tests = (
-        ~_END[end_byte],
+        closed == 0,
         separators > SEPARATORS * l_words,
         symbols > SYMBOLS_A_WORD * l_words,
         some & (capitals > CAPITALS * letters),
@@ -157,7 +157,7 @@ def _task(with_text: bool):
 def cleaned(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Counts, verdict and (with_text) the text without failed lines of every row of ``docs``.
 
-    A line fails the first of RULES that applies: no closing punctuation, mostly separators, symbols, capitals, few
+    A line fails the first of RULES that applies: no word that ends a sentence, mostly separators, symbols, capitals, few
     different words, a boilerplate phrase, equal to an earlier line. kept is false for documents under the base limits
     and for those whose remaining lines have less than half of the words. Null, empty and blank texts have no words and
     fail. Repeated rows are judged one by one; rows without a doc_id are left out; an empty table gives an empty result.
