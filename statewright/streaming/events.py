@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -68,3 +69,23 @@ def subscribe(events: DataFrame, types: Sequence[str], handle: Callable[[DataFra
             wanted.withColumn("error", F.lit(str(error)[:500])).write.mode("append").parquet(dead_letters)
 
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the test data as a stream of its files."""
+    path = f"{sf_dir}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What the stream gives for the files that are there, as a table in the shared folder (its checkpoint lies beside it)."""
+    spark = stream.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-streams"
+    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+
+    def one(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number if mode == 'append' else 0}")
+
+    stream.writeStream.foreachBatch(one).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows").select(*stream.columns)
