@@ -3,7 +3,8 @@
 A term discloses an entity when seeing the term makes the entity nearly certain: the pointwise mutual information of
 the two, over documents, comes near the entity's own information -log2 p(entity). Terms that reach GENERALISE of it
 are replaced by a class, those that reach REMOVE are taken out. Co-occurrence counts only in the words around a
-mention, and only if it is seen in several different surroundings, so that copies of one text prove nothing.
+mention, and only if several different texts show it. All counts are over different texts (blanks and case apart), so
+that copies of one text prove nothing, while a phrase that stands in many texts counts in each of them.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewright.llm.shared import Scratch, whole_text
+from statewright.llm.shared import Scratch, blanks_to_space, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention that may disclose it, different surroundings that a pair needs, disclosure thresholds.
-AROUND, SURROUNDINGS, GENERALISE, REMOVE = 6, 3, 0.9, 0.97
+#: Words on each side of a mention that may disclose it, different texts that a pair needs, disclosure thresholds.
+AROUND, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.9, 0.97
 #: Bits of the filter of searched words: its size is fixed, whatever the number of words; hits are confirmed by joins.
 FILTER_BITS = 1 << 23
 
@@ -91,8 +92,8 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _surroundings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, str, list[str]]]:
-    """(entity, hash of the surroundings, terms) of each mention."""
+def _surroundings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, list[str]]]:
+    """(entity, terms) of each mention."""
     reach = AROUND * 24
     for start, kind, end in spans:
         value = text[start:end].lower() if kind < 2 else "".join(_DIGIT.findall(text[start:end]))
@@ -100,16 +101,15 @@ def _surroundings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tupl
         after = _TERM.findall(text[end : end + reach].lower())[:AROUND]
         if start > reach and text[start - reach - 1].isalpha() and len(before) < AROUND:
             before = before[1:]
-        words = before + ["|"] + after
-        yield f"{KINDS[kind]}:{value}", hashlib.md5(" ".join(words).encode()).hexdigest()[:16], sorted(set(before + after))
+        yield f"{KINDS[kind]}:{value}", sorted(set(before + after))
 
 
-_BASE = f"doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found {_FOUND}, mentions array<struct<entity:string, around:string, terms:array<string>>>"
+_BASE = f"doc_id long, row long, same long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found {_FOUND}, mentions array<struct<entity:string, terms:array<string>>>"
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
-    mention = pa.list_(pa.struct([("entity", pa.string()), ("around", pa.string()), ("terms", pa.list_(pa.string()))]))
+    mention = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
     for batch in batches:
         counts, sums, found, mentions = [[], [], [], []], [], [], []
         for text in batch.column("text").to_pylist():
@@ -119,10 +119,10 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
             sums.append(hashlib.sha256(joined.encode()).hexdigest())
             found.append([{"start": s, "rank": k, "kind": KINDS[k], "end": e} for s, k, e in spans])
-            mentions.append([{"entity": c, "around": a, "terms": t} for c, a, t in _surroundings(text, spans)])
+            mentions.append([{"entity": c, "terms": t} for c, t in _surroundings(text, spans)])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(found, kind), pa.array(mentions, mention)],
-            names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "found", "mentions"],
+            [batch.column("doc_id"), batch.column("row"), batch.column("same"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(found, kind), pa.array(mentions, mention)],
+            names=["doc_id", "row", "same", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "found", "mentions"],
         )
 
 
@@ -153,7 +153,7 @@ class _Searched:
 
 
 def _document_counts(texts: DataFrame, bits) -> DataFrame:
-    """(term, docs): documents with each word that passes the filter, summed within tasks first."""
+    """(term, docs): different texts with each word that passes the filter, summed within tasks first."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searched, counts = _Searched(bits.value), {}
@@ -169,7 +169,8 @@ def _document_counts(texts: DataFrame, bits) -> DataFrame:
         if counts:
             yield give()
 
-    return texts.select("text").mapInArrow(task, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
+    once = texts.groupBy("same").agg(F.first("text").alias("text"))
+    return once.select("text").mapInArrow(task, "term string, docs long").groupBy("term").agg(F.sum("docs").alias("docs"))
 
 
 def _places(texts: DataFrame, bits) -> DataFrame:
@@ -193,14 +194,14 @@ def _places(texts: DataFrame, bits) -> DataFrame:
 def disclosing_terms(base: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame | None:
     """term, disclosure (the highest share of an entity's information that it gives), fate; None where no pair has support."""
     sc = texts.sparkSession.sparkContext
-    mentions = base.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    pairs = mentions.select("row", "entity", "around", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("around").alias("seen"), F.countDistinct("row").alias("both")).filter(F.col("seen") >= SURROUNDINGS)
+    mentions = base.select("same", F.explode("mentions").alias("m")).select("same", "m.*")
+    pairs = mentions.select("same", "entity", F.explode("terms").alias("term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("same").alias("both")).filter(F.col("both") >= SUPPORT)
     pairs = scratch.table(pairs, "pairs")
     if pairs.isEmpty():
         return None
-    entities = mentions.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("own"))
-    n = base.count()
+    entities = mentions.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("own"))
+    n = base.select("same").distinct().count()
     counts = _document_counts(texts, sc.broadcast(_bits(pairs.select("term").distinct())))
     information = F.log2(F.lit(float(n)) / F.col("own"))
     shared = F.log2(F.lit(float(n)) * F.col("both") / (F.col("own") * F.col("docs")))
@@ -215,11 +216,12 @@ def findings(docs: DataFrame) -> DataFrame:
 
     spans holds kind:start:end of the pattern matches and of the disclosing terms (kinds generalised and removed), by
     start, then kind; positions are code points, ends exclusive. Words inside a pattern match add no span. Null and
-    empty texts have none. Repeated rows are taken one by one, and count as one document each; rows without a doc_id
-    are left out; an empty table gives an empty result. Other columns are not read.
+    empty texts have none. Repeated rows are taken one by one, and equal texts count once for the terms; rows without a
+    doc_id are left out; an empty table gives an empty result. Other columns are not read.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    texts = whole_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
+    same = F.xxhash64(F.lower(F.trim(blanks_to_space(F.col("text")))))
+    texts = whole_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), same.alias("same"), "text")
     base = scratch.table(texts.mapInArrow(_base, _BASE), "base")
     terms = disclosing_terms(base, texts, scratch)
     joined = base.withColumn("added", F.lit(None).cast(_FOUND))

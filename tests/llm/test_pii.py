@@ -67,6 +67,21 @@ def test_disclosing_terms(frame):
     assert "uimbleton" not in clean[3000] and "[EMAIL]" in clean[1000] and clean[0] == texts[0] and len(clean) == len(texts)
 
 
+def test_the_same_phrase_in_many_texts_discloses(frame):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfgklm") for _ in range(5))
+    texts = {i: " ".join(word() for _ in range(30)) for i in range(400)}
+    for i in range(20):
+        texts[1000 + i] = " ".join(word() for _ in range(30)) + "\nRegards, Janet Roequist, Acme Sales, jane@acme.example"
+    texts[2000] = "what does roequist say"
+    for i in range(30):  # copies, apart from blanks and case, are one text
+        texts[3000 + i] = ("Copycat writes", "copycat  WRITES")[i % 2] + " from 10.1.2.3 again"
+    got = {r.doc_id: r for r in findings(frame(texts)).collect()}
+    assert got[2000].spans in ("generalised:10:18", "removed:10:18")
+    assert all("removed" in got[1000 + i].spans for i in range(20))
+    assert all(got[3000 + i].n_terms == 0 for i in range(30))
+
+
 def test_odd_rows(frame):
     rows = [(1, None), (2, ""), (3, "a@b.cd"), (3, "a@b.cd"), (None, "a@b.cd")]
     clash = frame(rows).selectExpr("*", "1 AS spans", "2 AS row", "3 AS found")
