@@ -2,9 +2,10 @@
 
 A term discloses an entity when seeing the term makes the entity nearly certain: the pointwise mutual information of
 the two, over documents, comes near the entity's own information -log2 p(entity). Terms that reach GENERALISE of it
-are replaced by a class, those that reach REMOVE are taken out. Co-occurrence counts only in the words around a
-mention, and only if several different texts show it. All counts are over different texts (blanks and case apart), so
-that copies of one text prove nothing, while a phrase that stands in many texts counts in each of them.
+are replaced by a class, those that reach REMOVE are taken out. A term and an entity occur together when a text
+has both, wherever they stand, and count only if several different texts show it. All counts are over different texts
+(blanks and case apart), so that copies of one text prove nothing, while a phrase that stands in many texts counts in
+each of them. Terms are runs of letters and digits outside the matches of the patterns.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from statewright.llm.shared import Scratch, blanks_to_space, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
-#: Words on each side of a mention that may disclose it, different texts that a pair needs, disclosure thresholds.
-AROUND, SUPPORT, GENERALISE, REMOVE = 6, 3, 0.9, 0.97
+#: Different texts that a pair needs, disclosure thresholds.
+SUPPORT, GENERALISE, REMOVE = 3, 0.9, 0.97
 #: Bits of the filter of searched words: its size is fixed, whatever the number of words; hits are confirmed by joins.
 FILTER_BITS = 1 << 23
 
@@ -35,7 +36,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBERS = re.compile(r"[0-9][0-9.\x20-]{6}")
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_TERM = re.compile(r"[^\W\d_]{3,}")
+_TERM = re.compile(r"[^\W_]+")
 
 _FOUND = "array<struct<start:int, rank:int, kind:string, end:int>>"
 
@@ -92,26 +93,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _surroundings(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, list[str]]]:
-    """(entity, terms) of each mention."""
-    reach = AROUND * 24
-    for start, kind, end in spans:
-        value = text[start:end].lower() if kind < 2 else "".join(_DIGIT.findall(text[start:end]))
-        before = _TERM.findall(text[max(0, start - reach) : start].lower())[-AROUND:]
-        after = _TERM.findall(text[end : end + reach].lower())[:AROUND]
-        if start > reach and text[start - reach - 1].isalpha() and len(before) < AROUND:
-            before = before[1:]
-        yield f"{KINDS[kind]}:{value}", sorted(set(before + after))
+def entities_of(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
+    """The different entities that ``spans`` mention: kind and value, of cards and phones the digits only."""
+    values = ((kind, text[start:end].lower() if kind < 2 else "".join(_DIGIT.findall(text[start:end]))) for start, kind, end in spans)
+    return sorted({f"{KINDS[kind]}:{value}" for kind, value in values})
 
 
-_BASE = f"doc_id long, row long, same long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found {_FOUND}, mentions array<struct<entity:string, terms:array<string>>>"
+def terms_of(text: str, spans: list[tuple[int, int, int]]) -> set[str]:
+    """The different terms of a text, lower-cased, without those that overlap a match."""
+    if not spans:
+        return {word.lower() for word in set(_TERM.findall(text))}
+    taken = bytearray(len(text))
+    for start, _, end in spans:
+        taken[start:end] = b"\1" * (end - start)
+    return {m.group().lower() for m in _TERM.finditer(text) if not any(taken[m.start() : m.end()])}
+
+
+_BASE = f"doc_id long, row long, same long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, found {_FOUND}, entities array<string>"
 
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())]))
-    mention = pa.list_(pa.struct([("entity", pa.string()), ("terms", pa.list_(pa.string()))]))
     for batch in batches:
-        counts, sums, found, mentions = [[], [], [], []], [], [], []
+        counts, sums, found, entities = [[], [], [], []], [], [], []
         for text in batch.column("text").to_pylist():
             spans = base_spans(text)
             for k in range(4):
@@ -119,10 +123,10 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             joined = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
             sums.append(hashlib.sha256(joined.encode()).hexdigest())
             found.append([{"start": s, "rank": k, "kind": KINDS[k], "end": e} for s, k, e in spans])
-            mentions.append([{"entity": c, "terms": t} for c, t in _surroundings(text, spans)])
+            entities.append(entities_of(text, spans))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row"), batch.column("same"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(found, kind), pa.array(mentions, mention)],
-            names=["doc_id", "row", "same", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "found", "mentions"],
+            [batch.column("doc_id"), batch.column("row"), batch.column("same"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string()), pa.array(found, kind), pa.array(entities, pa.list_(pa.string()))],
+            names=["doc_id", "row", "same", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "found", "entities"],
         )
 
 
@@ -152,6 +156,25 @@ class _Searched:
         return hit
 
 
+def _term_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        terms = [sorted(terms_of(t, base_spans(t))) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("same"), pa.array(terms, pa.list_(pa.string()))], names=["same", "terms"])
+
+
+def _pairs(mentions: DataFrame, texts: DataFrame) -> DataFrame:
+    """(entity, term, both): different texts with both, where they are SUPPORT at least; mentions are (same, entity).
+
+    Entities in fewer texts have no such pair and are left out before terms are listed. What crosses the network is a
+    row for each pair of a task.
+    """
+    holders = mentions.groupBy("same").agg(F.collect_list("entity").alias("entities"))
+    held = texts.join(holders.select("same"), "same", "left_semi").groupBy("same").agg(F.first("text").alias("text"))
+    rows = held.mapInArrow(_term_rows, "same long, terms array<string>").join(holders, "same")
+    rows = rows.select("terms", F.explode("entities").alias("entity")).select("entity", F.explode("terms").alias("term"))
+    return rows.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
+
+
 def _document_counts(texts: DataFrame, bits) -> DataFrame:
     """(term, docs): different texts with each word that passes the filter, summed within tasks first."""
 
@@ -160,7 +183,7 @@ def _document_counts(texts: DataFrame, bits) -> DataFrame:
         give = lambda: pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "docs"])
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                for word in set(_TERM.findall(text.lower())):
+                for word in terms_of(text, base_spans(text)):
                     if searched(word):
                         counts[word] = counts.get(word, 0) + 1
                 if len(counts) > 200_000:
@@ -194,13 +217,11 @@ def _places(texts: DataFrame, bits) -> DataFrame:
 def disclosing_terms(base: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame | None:
     """term, disclosure (the highest share of an entity's information that it gives), fate; None where no pair has support."""
     sc = texts.sparkSession.sparkContext
-    mentions = base.select("same", F.explode("mentions").alias("m")).select("same", "m.*")
-    pairs = mentions.select("same", "entity", F.explode("terms").alias("term"))
-    pairs = pairs.groupBy("entity", "term").agg(F.countDistinct("same").alias("both")).filter(F.col("both") >= SUPPORT)
-    pairs = scratch.table(pairs, "pairs")
+    mentions = scratch.table(base.select("same", F.explode("entities").alias("entity")).distinct(), "mentions")
+    entities = scratch.table(mentions.groupBy("entity").agg(F.count("*").alias("own")).filter(F.col("own") >= SUPPORT), "entities")
+    pairs = scratch.table(_pairs(mentions.join(entities.select("entity"), "entity", "left_semi"), texts), "pairs")
     if pairs.isEmpty():
         return None
-    entities = mentions.select("entity", "same").distinct().groupBy("entity").agg(F.count("*").alias("own"))
     n = base.select("same").distinct().count()
     counts = _document_counts(texts, sc.broadcast(_bits(pairs.select("term").distinct())))
     information = F.log2(F.lit(float(n)) / F.col("own"))

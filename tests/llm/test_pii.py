@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from statewright.llm.pii import KINDS, base_spans, findings, luhn, sanitised
+from statewright.llm.pii import KINDS, base_spans, findings, luhn, sanitised, terms_of
 
 PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -82,6 +82,18 @@ def test_the_same_phrase_in_many_texts_discloses(frame):
     assert all(got[3000 + i].n_terms == 0 for i in range(30))
 
 
+def test_terms_anywhere_in_the_document(frame):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklm") for _ in range(5))
+    texts = {i: " ".join(word() for _ in range(30)) for i in range(400)}
+    for i in range(20):  # the name stands 60 words before the address, the staff number and the short name far after it
+        texts[1000 + i] = " ".join(["Dear Roequist", *(word() for _ in range(60)), "jane@acme.example", *(word() for _ in range(60)), "K7731 Xu"])
+    texts |= {2000: "what does roequist say", 2001: "ask k7731 today", 2002: "and xu"}
+    got = {r.doc_id: r for r in findings(frame(texts)).collect()}
+    assert [got[2000 + i].spans.split(":")[1:] for i in range(3)] == [["10", "18"], ["4", "9"], ["4", "6"]]
+    assert terms_of("\u0130nan x_y \u00e9a@b.cd ef", base_spans("\u0130nan x_y \u00e9a@b.cd ef")) == {"\u0130nan".lower(), "x", "y", "ef"}
+
+
 def test_odd_rows(frame):
     rows = [(1, None), (2, ""), (3, "a@b.cd"), (3, "a@b.cd"), (None, "a@b.cd")]
     clash = frame(rows).selectExpr("*", "1 AS spans", "2 AS row", "3 AS found")
