@@ -71,6 +71,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         raise RuntimeError("no one-to-one fingerprint found")
     names = _named(seen.select("h1", "h2"), ["h1", "h2"], spread)
     current = blocks.drop("block").join(names, ["h1", "h2"]).drop("h1", "h2")
+    # Repeated rows are one from here on: each of their blocks comes as often as the row does.
+    current = current.groupBy("doc_id", "text_sha256", "n_blocks", "k", "name").agg(F.count("*").alias("rows"))
     current = scratch.table(current, "names-0")
     most = current.agg(F.max("n_blocks")).first()[0] or 1
     done, level = [], 0
@@ -83,12 +85,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
         pairs = open_.groupBy("doc_id", "text_sha256", "n_blocks", F.expr("k div 2").alias("k")).agg(
             F.max(F.when(F.col("k") % 2 == 0, F.col("name"))).alias("left"),
             F.coalesce(F.max(F.when(F.col("k") % 2 == 1, F.col("name"))), F.lit(-1)).alias("right"),
+            F.max("rows").alias("rows"),
         )
         pairs = scratch.table(pairs, f"pairs-{level}")
         names = _named(pairs.select("left", "right").distinct(), ["left", "right"], spread)
         current = scratch.table(pairs.join(names, ["left", "right"]).drop("left", "right"), f"names-{level}")
     whole = reduce(DataFrame.unionByName, done)
-    rows_of = whole.groupBy("doc_id", "text_sha256", "n_blocks", "name").agg(F.count("*").alias("rows"))
+    rows_of = whole.select("doc_id", "text_sha256", "n_blocks", "name", "rows")
     groups = rows_of.groupBy("n_blocks", "name").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"))
     return rows_of.join(groups, ["n_blocks", "name"]).select(
         "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"

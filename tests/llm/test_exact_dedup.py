@@ -34,3 +34,13 @@ def test_repeated_rows_empty_table_and_clashing_names(frame):
     assert result(rows) == {1: (1, 3, True, hashlib.sha256(b"a b").hexdigest()), 2: (1, 3, False, hashlib.sha256(b"a b").hexdigest())}
     clash = rows.selectExpr("*", "5 AS keep_id", "'n' AS name", "7 AS k")
     assert [(r.doc_id, r.keep_id, r.name, r.k) for r in drop_copies(clash).collect()] == [(1, 5, "n", 7)]
+
+
+def test_repeated_rows_of_every_length(frame):
+    texts = {i: "z" * n for i, n in enumerate((0, 4000, BLOCK, BLOCK + 1, 5000, 3 * BLOCK, 5 * BLOCK + 7))}
+    texts[7] = "ab" * BLOCK * 2 + "c"  # its two first pairs of blocks are equal
+    rows = [(10 * i, t) for i, t in texts.items() for _ in range(2 + i)] + [(10 * i + 1, t) for i, t in texts.items()]
+    got = exact_groups(frame(rows)).collect()
+    assert len(got) == 2 * len(texts)
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == sorted((10 * i + k, 10 * i, 3 + i, k == 0) for i in texts for k in (0, 1))
+    assert sorted(r.doc_id for r in drop_copies(frame(rows)).collect()) == [10 * i for i in texts]
