@@ -99,9 +99,15 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text no smaller doc_id has, with all their columns; one row for each such doc_id."""
+    """The rows of ``docs`` whose text no smaller doc_id has, with all their columns; one row for each such doc_id.
+
+    Of rows without a doc_id, one stays for each text that no row with a doc_id has.
+    """
     staying = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
     own = docs.withColumn("_own", F.sha2(blanks_to_space(F.coalesce(F.col("text"), F.lit(""))), 256))
     once = Window.partitionBy("doc_id", "_own").orderBy("_own")
     kept = own.join(staying, (F.col("doc_id") == F.col("_keep")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    unnamed = own.filter(F.col("doc_id").isNull())
+    if not unnamed.isEmpty():
+        kept = kept.unionByName(unnamed.join(staying, F.col("_own") == F.col("_sha"), "left_anti"))
     return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n", "_own")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewright.llm import flat
-from statewright.llm.shared import Scratch, whole_text
+from statewright.llm.shared import Scratch
 
 #: Two sets with a similarity of 0.8 miss a band of 6 with probability 0.74, and all 40 bands with 5e-6.
 BANDS, ROWS = 40, 6
@@ -28,7 +28,7 @@ ORDERS = 4
 #: Nodes of a block, nodes of small families that share a task, and shingles of a matrix product.
 BLOCK, PACK, SLICE = 256, 2_000, 4_096
 
-_SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+_SKETCH = "row long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
 
 def _picks() -> np.ndarray:
@@ -85,7 +85,7 @@ def _sketches(size: int):
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         picks = _picks()
         for batch in batches:
-            ids = batch.column(0)
+            row, ids = batch.column("row"), batch.column("doc_id")
             for rows, data, offsets in flat.chunks(batch):
                 n_docs = rows.stop - rows.start
                 doc, value = shingle_sets(data, offsets, size)
@@ -101,13 +101,14 @@ def _sketches(size: int):
                 flat_bands = pa.array(bands.view(np.int64).reshape(-1))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        row.slice(rows.start, n_docs),
                         ids.slice(rows.start, n_docs),
                         pa.array(np.diff(bounds)),
                         pa.array(sums[0]),
                         pa.array(sums[1]),
                         pa.ListArray.from_arrays(pa.array(np.arange(n_docs + 1) * BANDS, pa.int32()), flat_bands),
                     ],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    names=["row", "doc_id", "n_shingles", "set_a", "set_b", "bands"],
                 )
 
     return task
@@ -123,22 +124,22 @@ def _set_rows(size: int):
                 bounds = np.searchsorted(doc, np.arange(n_docs + 1)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(rows.start, n_docs), pa.ListArray.from_arrays(pa.array(bounds), pa.array(value.view(np.int64)))],
-                    names=["doc_id", "shingles"],
+                    names=["row", "shingles"],
                 )
 
     return task
 
 
 def _with_sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """doc_id, shingles of the documents in ``ids``."""
-    wanted = texts.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", F.col("text").cast("binary").alias("text"))
-    return wanted.mapInArrow(_set_rows(size), "doc_id long, shingles array<long>")
+    """row, shingles of the rows in ``ids``."""
+    wanted = texts.join(ids.hint("merge"), "row", "left_semi").select("row", F.col("text").cast("binary").alias("text"))
+    return wanted.mapInArrow(_set_rows(size), "row long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= threshold * union."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b"))
+    left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a"))
+    right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b"))
     n_a, n_b, same = F.size("of_a"), F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
     near = (100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)) & (100 * same >= threshold * (n_a + n_b - same))
     return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
@@ -267,59 +268,80 @@ def _remaining(stars: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Sc
     meets = F.sequence(F.lit(0).cast("long"), F.when(in_big, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_big") - 1))
     rows = rows.withColumn("block", block).withColumn("part", F.when(small, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.col("family")))
     rows = rows.withColumn("small", small).withColumn("other", F.explode(meets))
-    rows = rows.join(sets.select(F.col("doc_id").alias("node"), "shingles"), "node")
+    rows = rows.join(sets.select(F.col("row").alias("node"), "shingles"), "node")
     rows = rows.select("part", "small", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "family", "block", "shingles")
     return rows.groupBy("part", "small", "i", "j").applyInArrow(_compare(threshold), "a long, b long").distinct()
 
 
-def near_groups(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text, anything else).
+def _identified(docs: DataFrame) -> DataFrame:
+    """row (the identity of a doc_id, perhaps null, with a text), doc_id, text (null: empty)."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return texts.select(F.xxhash64("doc_id", "text").alias("row"), "doc_id", "text")
 
-    Words are runs without blanks, with A-Z lower-cased. A null, empty or blank text has no shingles and is linked
-    with nothing. component_id is the least doc_id reachable over links, and the document with it is kept.
-    Repeated rows are one document: a doc_id given with several texts counts by its largest sketch, and has one row.
-    Rows without a doc_id are left out; an empty table gives an empty result.
 
-    Bucket rows and star edges stay in proportion to the input: nodes are documents with different sets, each gives
-    BANDS rows, and each row one edge at most.
+def _row_groups(texts: DataFrame, size: int, threshold: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept of each different row of ``texts`` (row, doc_id, text).
+
+    A node is a set under the identity of its first row, by doc_id with nulls last; the first row of a component is kept.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "minhash")
-    texts = whole_text(docs)
-    binary = texts.select("doc_id", F.col("text").cast("binary").alias("text"))
+    scratch = Scratch(texts.sparkSession, "minhash")
+    binary = texts.select("row", "doc_id", F.col("text").cast("binary").alias("text"))
     sketches = scratch.table(binary.mapInArrow(_sketches(size), _SKETCH), "sketches")
     key = ["n_shingles", "set_a", "set_b"]
     filled = sketches.filter("n_shingles > 0")
-    nodes = scratch.table(filled.groupBy(*key).agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")), "nodes")
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    nodes = filled.groupBy(*key).agg(F.min(place).alias("first"), F.min("bands").alias("bands"))
+    nodes = scratch.table(nodes.select(*key, F.col("first.row").alias("node"), "first", "bands"), "nodes")
     rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     rows = rows.select("node", F.xxhash64("band", "value").alias("bucket"), F.xxhash64(F.col("band") % ORDERS, "node").alias("turn"))
     hubs = rows.groupBy("bucket").agg(F.min_by("node", "turn").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
     stars = rows.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     stars = scratch.table(stars.distinct(), "stars")
-    ends = stars.select(F.col("a").alias("doc_id")).union(stars.select("b")).distinct()
-    sets = scratch.table(_with_sets(texts, ends, size).dropDuplicates(["doc_id"]), "sets")
+    ends = stars.select(F.col("a").alias("row")).union(stars.select("b")).distinct()
+    sets = scratch.table(_with_sets(texts, ends, size).dropDuplicates(["row"]), "sets")
     links = scratch.table(_confirmed(stars, sets, threshold), "links")
     joined = components(links, scratch, "joined")
-    labels = sets.select(F.col("doc_id").alias("node")).join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    labels = sets.select(F.col("row").alias("node")).join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     labels = scratch.table(labels, "labels")
     more = _remaining(stars, labels, sets, scratch, threshold)
     if more is not None:
         more = scratch.table(more, "more")
         if not more.isEmpty():
             labels = components(links.unionByName(more), scratch, "all")
-    of_set = nodes.select(*key, "node").join(labels, "node", "left").select(*key, F.coalesce("label", "node").alias("component_id"))
-    own = sketches.groupBy("doc_id").agg(F.max(F.struct(*key)).alias("set")).select("doc_id", "set.*")
+    of_set = nodes.select(*key, "node", "first").join(labels, "node", "left").select(*key, "first", F.coalesce("label", "node").alias("label"))
+    heads = of_set.groupBy("label").agg(F.min("first").alias("head"))
+    of_set = of_set.join(heads, "label").select(*key, "head")
+    own = sketches.select("row", "doc_id", *key).distinct()
     return own.join(of_set, key, "left").select(
+        "row",
         "doc_id",
         "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.coalesce("component_id", "doc_id") == F.col("doc_id")).alias("kept"),
+        F.when(F.col("head").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id")).alias("component_id"),
+        (F.coalesce(F.col("head.row"), F.col("row")) == F.col("row")).alias("kept"),
     )
 
 
+def near_groups(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text, anything else).
+
+    Words are runs without blanks, with A-Z lower-cased. A null, empty or blank text has no shingles and is linked
+    with nothing. component_id is the least doc_id reachable over links, and the document with it is kept.
+    Repeated rows are one row here; the same doc_id with different texts gives a row for each, judged by its own text,
+    and of several that are linked one is kept. Rows without a doc_id are left out; an empty table gives an empty result.
+
+    Bucket rows and star edges stay in proportion to the input: nodes are documents with different sets, each gives
+    BANDS rows, and each row one edge at most.
+    """
+    return _row_groups(_identified(docs.filter(F.col("doc_id").isNotNull())), size, threshold).drop("row")
+
+
 def drop_near_copies(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stand for their group, with all their columns."""
-    kept = near_groups(docs, size, threshold).filter("kept").select(F.col("doc_id").alias("_keep"))
-    once = Window.partitionBy("doc_id").orderBy(F.col("text"))
-    found = docs.join(kept, F.col("doc_id") == F.col("_keep"), "left_semi")
-    return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n")
+    """The rows of ``docs`` that stand for their group, with all their columns; repeated rows once.
+
+    Rows without a doc_id are judged by their text like others, and come last in their group.
+    """
+    kept = _row_groups(_identified(docs), size, threshold).filter("kept").select(F.col("row").alias("_keep"))
+    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
+    once = Window.partitionBy("_row").orderBy("_row")
+    found = docs.withColumn("_row", own).join(kept, F.col("_row") == F.col("_keep"), "left_semi")
+    return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n", "_row")

@@ -44,3 +44,8 @@ def test_repeated_rows_of_every_length(frame):
     assert len(got) == 2 * len(texts)
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == sorted((10 * i + k, 10 * i, 3 + i, k == 0) for i in texts for k in (0, 1))
     assert sorted(r.doc_id for r in drop_copies(frame(rows)).collect()) == [10 * i for i in texts]
+
+
+def test_rows_without_a_doc_id_are_judged_by_their_text(frame):
+    rows = [(2, "a b"), (None, "a\nb"), (None, "new"), (None, "new"), (None, "long " * BLOCK), (2, "other")]
+    assert sorted((str(r.doc_id), r.text[:5]) for r in drop_copies(frame(rows)).collect()) == [("2", "a b"), ("2", "other"), ("None", "long "), ("None", "new")]

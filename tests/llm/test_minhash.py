@@ -74,3 +74,17 @@ def test_odd_rows(frame, spark):
     assert [(r.doc_id, r.component_id, r.kept) for r in near_groups(twice).collect()] == [(4, 4, True)]
     clash = frame({1: "a b c d e f", 2: "a b c d e f"}).selectExpr("*", "1 AS component_id", "'k' AS bucket", "2 AS node")
     assert [(r.doc_id, r.node) for r in drop_near_copies(clash).collect()] == [(1, 2)]
+
+
+def test_one_doc_id_with_several_texts_and_rows_without(frame):
+    rng = random.Random(21)
+    text = lambda: [f"w{rng.randrange(9000)}" for _ in range(100)]
+    near = lambda words: [*words[:-1], "other"]
+    base, clean, alone, free = text(), text(), text(), text()
+    rows = [(3, base), (5, [*near(base), "longer"]), (5, clean), (7, near(clean)), (None, near(base)), (None, alone), (None, near(alone)), (9, free), (9, near(free))]
+    rows = [(i, " ".join(t)) for i, t in rows]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_groups(frame(rows)).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (7, 5, False), (9, 9, False), (9, 9, True)]
+    kept = [(r.doc_id, r.text) for r in drop_near_copies(frame(rows + rows)).collect()]
+    assert sorted(str(i) for i, _ in kept) == ["3", "5", "9", "None"]
+    assert (3, rows[0][1]) in kept and (5, rows[2][1]) in kept and ((None, rows[5][1]) in kept or (None, rows[6][1]) in kept)
