@@ -72,7 +72,7 @@ def test_the_same_phrase_in_many_texts_discloses(frame):
     word = lambda: "".join(rng.choice("bcdfgklm") for _ in range(5))
     texts = {i: " ".join(word() for _ in range(30)) for i in range(400)}
     for i in range(20):
-        texts[1000 + i] = " ".join(word() for _ in range(30)) + "\nRegards, Janet Roequist, Acme Sales, jane@acme.example"
+        texts[1000 + i] = " ".join(word() for _ in range(30)) + "\nWith kind regards, Janet Roequist, Acme Sales, jane@acme.example"
     texts[2000] = "what does roequist say"
     for i in range(30):  # copies, apart from blanks and case, are one text
         texts[3000 + i] = ("Copycat writes", "copycat  WRITES")[i % 2] + " from 10.1.2.3 again"
