@@ -4,12 +4,14 @@ Shingle sets are sets of 64-bit hashes of word runs. Documents with equal sets a
 dealt into ``BINS`` bins of which each keeps its least hash; an empty bin takes the value of a full bin that a
 fixed permutation of that bin picks (optimal densification). Runs of ``ROWS`` bins are bands; nodes that share a band
 are candidates. In each bucket one hub is paired with the other members, and these star-shaped edges are confirmed on
-the full sets. What the stars leave apart although buckets connect it is compared in full, block by block, so no link
-between candidates is lost and no pairs are emitted but links.
+the full sets, in rounds of a few bands: what earlier rounds have joined is not compared again, so a family of copies
+costs about one edge a node. What all stars leave apart although buckets connect it is compared in full, block by
+block, so no link between candidates is lost and no pairs are emitted but links.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,12 @@ from statewright.llm.shared import Scratch
 #: Two sets with a similarity of 0.8 miss a band of 6 with probability 0.74, and all 40 bands with 5e-6.
 BANDS, ROWS = 40, 6
 BINS = BANDS * ROWS
-#: Hubs are the first in one of so many orders of all nodes, so that a group's buckets mostly have the same few hubs.
-ORDERS = 4
+#: The bands of each round of star edges, as ends.
+ROUNDS = (4, BANDS)
 #: Nodes of a block, nodes of small families that share a task, and shingles of a matrix product.
-BLOCK, PACK, SLICE = 256, 2_000, 4_096
+BLOCK, PACK, SLICE = 256, 500, 4_096
+#: Set sizes of a class differ by this factor at most.
+CLASS = 1.05
 
 _SKETCH = "row long, doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 
@@ -137,34 +141,47 @@ def _with_sets(texts: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= threshold * union."""
+    """The rows of ``pairs`` (a, b, more) with 100 * intersection >= threshold * union."""
     left = sets.select(F.col("row").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("row").alias("b"), F.col("shingles").alias("of_b"))
     n_a, n_b, same = F.size("of_a"), F.size("of_b"), F.size(F.array_intersect("of_a", "of_b"))
     near = (100 * F.least(n_a, n_b) >= threshold * F.greatest(n_a, n_b)) & (100 * same >= threshold * (n_a + n_b - same))
-    return pairs.join(left, "a").join(right, "b").filter(near).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").filter(near).drop("of_a", "of_b")
 
 
 def components(edges: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """(node, label) of every node of ``edges`` (a, b): the least node reachable.
+    """(node, label) of every node that ``edges`` (a, b) join to another: the least node reachable.
 
-    Each round gives every node the least label among its neighbours' and then that label's own label;
-    stars settle in two rounds and paths in about the logarithm of their length.
+    Each round points every node to the least of its neighbours and itself, then to where that one points, and contracts
+    the edges to these, until none is left; a star takes one round, and what has been joined is not looked at again.
+    Names of nodes are hashes, so a path shrinks by a constant share each round.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = scratch.table(both, f"{tag}-edges")
-    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label")), f"{tag}-labels-0")
-    step = 0
-    while True:
-        step += 1
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = labels.join(seen, "node").select("node", F.least("label", "near").alias("mid"), F.col("label").alias("old"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("label").alias("far"))
-        moved = lower.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("label"))
-        moved = scratch.table(moved, f"{tag}-labels-{step}")
-        if moved.filter("label < old").isEmpty():
-            return moved.select("node", "label")
-        labels = moved.select("node", "label")
+    contracted = lambda e: e.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, steps = scratch.table(contracted(edges), f"{tag}-edges-0"), []
+    while not (steps and edges.isEmpty()):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("label"))
+        step = scratch.table(_relabelled(near, near), f"{tag}-step-{len(steps)}")
+        steps.append(step)
+        of = lambda end, to: step.select(F.col("node").alias(end), F.col("label").alias(to))  # noqa: B023, E731
+        met = edges.join(of("a", "x"), "a").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+        edges = scratch.table(contracted(met), f"{tag}-edges-{len(steps)}")
+    labels = steps[0]
+    for step in steps[1:]:
+        labels = _relabelled(labels, step)
+    return scratch.table(labels, f"{tag}-labels")
+
+
+def _relabelled(labels: DataFrame, joined: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with the label that ``joined`` (node, label) has for theirs, where it has one."""
+    new = joined.select(F.col("node").alias("label"), F.col("label").alias("_new"))
+    return labels.join(new, "label", "left").select("node", F.coalesce("_new", "label").alias("label"))
+
+
+def _of_ends(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) whose ends have different labels, with these as from and to."""
+    of = lambda end, to: labels.select(F.col("node").alias(end), F.col("label").alias(to))
+    return pairs.join(of("a", "from"), "a").join(of("b", "to"), "b").filter(F.col("from") != F.col("to"))
 
 
 def _overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
@@ -188,8 +205,8 @@ def _overlaps(sets: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _linking(nodes: list[int], labels: list[int], sets: list[np.ndarray], left: list[int], right: list[int], threshold: int) -> list[tuple[int, int]]:
-    """Links between different labels of the members ``left`` and ``right`` (indices): as many as it takes to join them."""
+def _linking(labels: list[int], sets: list[np.ndarray], left: list[int], right: list[int], threshold: int) -> list[tuple[int, int]]:
+    """Pairs of labels that links between the members ``left`` and ``right`` (indices) join: as many as it takes."""
     if len({labels[k] for k in left} | {labels[k] for k in right}) < 2:
         return []
     same = _overlaps([sets[k] for k in left], [sets[k] for k in right])
@@ -209,68 +226,75 @@ def _linking(nodes: list[int], labels: list[int], sets: list[np.ndarray], left:
         x, y = top(labels[a]), top(labels[b])
         if x != y:
             root[max(x, y)] = min(x, y)
-            out.append((nodes[a], nodes[b]))
+            out.append((x, y))
     return out
 
 
 def _compare(threshold: int):
     def task(table: pa.Table) -> pa.Table:
-        nodes, labels, families, blocks = (table.column(c).to_pylist() for c in ("node", "label", "family", "block"))
+        labels, families, blocks = (table.column(c).to_pylist() for c in ("label", "family", "block"))
         shingles = table.column("shingles").combine_chunks()
-        sets = [shingles[k].values.to_numpy() for k in range(len(nodes))]
+        sets = [shingles[k].values.to_numpy() for k in range(len(labels))]
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
         found = []
         if i != j:
             left, right = ([k for k, x in enumerate(blocks) if x == side] for side in (i, j))
             if left and right:
-                found = _linking(nodes, labels, sets, left, right, threshold)
+                found = _linking(labels, sets, left, right, threshold)
         else:
             members: dict[int, list[int]] = {}
             for k, family in enumerate(families):
                 members.setdefault(family, []).append(k)
             for own in members.values():
-                found += _linking(nodes, labels, sets, own, own, threshold)
+                found += _linking(labels, sets, own, own, threshold)
         return pa.table({"a": pa.array([min(x) for x in found], pa.int64()), "b": pa.array([max(x) for x in found], pa.int64())})
 
     return task
 
 
+def _meetings(members: DataFrame, threshold: int) -> DataFrame:
+    """``members`` (node, label, family, n) with part, i, j, block: a row for each task (part, i, j) that has the node.
+
+    A family of up to BLOCK nodes is one block, and some such families share a part. A larger one is cut by set size into
+    classes, and classes into blocks; two blocks meet where sets of their sizes can be linked at all. Nodes of the largest
+    label are joined already, so where they fill a block they have blocks of their own, which do not meet each other.
+    """
+    by_label = members.groupBy("family", "label").agg(F.count("*").alias("n_label"))
+    sizes = by_label.groupBy("family").agg(F.sum("n_label").alias("n_family"), F.max(F.struct("n_label", "label")).alias("big"))
+    packs = max(1, members.count() // PACK)
+    rows = members.join(sizes, "family")
+    small = F.col("n_family") <= BLOCK
+    whole = rows.filter(small).select("node", "label", "family", F.pmod(F.xxhash64("family"), F.lit(packs)).alias("part"), *[F.lit(-1).cast("long").alias(c) for c in ("i", "j", "block")])
+    in_big = ((F.col("big.n_label") >= BLOCK) & (F.col("label") == F.col("big.label"))).cast("int")
+    size_class = F.floor(F.log(F.col("n")) / math.log(CLASS))
+    rows = rows.filter(~small).select("node", "label", "family", (2 * size_class + in_big).alias("kind"))
+    kinds = rows.groupBy("family", "kind").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    reach = math.ceil(math.log(100 / threshold) / math.log(CLASS))
+    near = F.explode(F.expr(f"sequence(2 * ((kind div 2) - {reach}), 2 * ((kind div 2) + {reach}) + 1)"))
+    others = kinds.select("family", F.col("kind").alias("other"), F.col("n_blocks").alias("n_other"))
+    meets = kinds.select("family", "kind", "n_blocks", near.alias("other")).join(others, ["family", "other"]).filter("kind % 2 + other % 2 < 2")
+    meets = meets.groupBy("family", "kind").agg(F.first("n_blocks").alias("n_blocks"), F.collect_list(F.struct("other", "n_other")).alias("others"))
+    code = lambda kind, block: kind * F.lit(1 << 32) + block
+    rows = rows.join(meets, ["family", "kind"]).withColumn("block", code(F.col("kind"), F.pmod(F.xxhash64("node", F.lit("block")), "n_blocks")))
+    rows = rows.withColumn("o", F.explode("others")).withColumn("with", F.explode(F.expr("sequence(0L, o.n_other - 1)")))
+    met = code(F.col("o.other"), F.col("with"))
+    rows = rows.select("node", "label", "family", F.col("family").alias("part"), F.least("block", met).alias("i"), F.greatest("block", met).alias("j"), "block")
+    return whole.unionByName(rows)
+
+
 def _remaining(stars: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, threshold: int) -> DataFrame | None:
-    """Links that the stars have not shown, between different labels of a family: nodes that buckets connect.
+    """Pairs of labels (a, b) joined by links that the stars have not shown, within a family: labels that buckets connect.
 
-    A family's rows meet in blocks of BLOCK nodes, each pair of blocks in a task of its own; blocks within the
-    largest label, whose nodes are joined already, do not meet. Small families share a task. No pair becomes a row
-    unless it is a link.
+    Each pair of blocks that _meetings lists is a task of its own. No pair becomes a row unless it is a link.
     """
-    of = lambda end: labels.select(F.col("node").alias(end), F.col("label").alias(f"of_{end}"))
-    across = stars.join(of("a"), "a").join(of("b"), "b").filter("of_a <> of_b")
-    across = scratch.table(across.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).distinct(), "across")
+    across = scratch.table(_of_ends(stars, labels).select(F.col("from").alias("a"), F.col("to").alias("b")).distinct(), "across")
     if across.isEmpty():
         return None
     families = components(across, scratch, "families").select(F.col("node").alias("label"), F.col("label").alias("family"))
-    members = scratch.table(labels.join(families, "label").select("node", "label", "family"), "members")
-    by_label = members.groupBy("family", "label").agg(F.count("*").alias("n"))
-    sizes = by_label.groupBy("family").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("big"))
-    split = F.col("big.n") >= BLOCK
-    sizes = sizes.select(
-        "family",
-        "n",
-        F.when(split, F.col("big.label")).alias("big"),
-        F.when(split, F.ceil(F.col("big.n") / BLOCK)).otherwise(0).alias("n_big"),
-        F.ceil((F.col("n") - F.when(split, F.col("big.n")).otherwise(0)) / BLOCK).alias("n_rest"),
-    )
-    packs = max(1, members.count() // PACK)
-    rows = members.join(sizes, "family").filter("n_rest > 0")
-    in_big = F.coalesce(F.col("label") == F.col("big"), F.lit(False))
-    spread = F.xxhash64("node", F.lit("block"))
-    block = F.when(in_big, F.col("n_rest") + F.pmod(spread, F.greatest("n_big", F.lit(1)))).otherwise(F.pmod(spread, "n_rest"))
-    small = (F.col("n_rest") == 1) & (F.col("n_big") == 0)
-    meets = F.sequence(F.lit(0).cast("long"), F.when(in_big, F.col("n_rest") - 1).otherwise(F.col("n_rest") + F.col("n_big") - 1))
-    rows = rows.withColumn("block", block).withColumn("part", F.when(small, F.pmod(F.xxhash64("family"), F.lit(packs))).otherwise(F.col("family")))
-    rows = rows.withColumn("small", small).withColumn("other", F.explode(meets))
-    rows = rows.join(sets.select(F.col("row").alias("node"), "shingles"), "node")
-    rows = rows.select("part", "small", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "label", "family", "block", "shingles")
-    return rows.groupBy("part", "small", "i", "j").applyInArrow(_compare(threshold), "a long, b long").distinct()
+    sized = sets.select(F.col("row").alias("node"), F.size("shingles").alias("n"))
+    members = scratch.table(labels.join(families, "label").join(sized, "node").select("node", "label", "family", "n"), "members")
+    rows = _meetings(members, threshold).join(sets.select(F.col("row").alias("node"), "shingles"), "node")
+    return rows.groupBy("part", "i", "j").applyInArrow(_compare(threshold), "a long, b long").distinct()
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -292,22 +316,24 @@ def _row_groups(texts: DataFrame, size: int, threshold: int) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
     nodes = filled.groupBy(*key).agg(F.min(place).alias("first"), F.min("bands").alias("bands"))
     nodes = scratch.table(nodes.select(*key, F.col("first.row").alias("node"), "first", "bands"), "nodes")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "value"))
-    rows = rows.select("node", F.xxhash64("band", "value").alias("bucket"), F.xxhash64(F.col("band") % ORDERS, "node").alias("turn"))
-    hubs = rows.groupBy("bucket").agg(F.min_by("node", "turn").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
-    stars = rows.join(hubs, "bucket").filter("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    stars = scratch.table(stars.distinct(), "stars")
+    rows = nodes.select("node", F.posexplode("bands").alias("band", "value")).select("node", "band", F.xxhash64("band", "value").alias("bucket"))
+    # Names of nodes are hashes, so the least is a hub at random, and mostly the same in a family's buckets.
+    hubs = rows.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").select("bucket", "hub")
+    stars = rows.join(hubs, "bucket").filter("node <> hub").groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.min("band").alias("band"))
+    stars = scratch.table(stars, "stars")
     ends = stars.select(F.col("a").alias("row")).union(stars.select("b")).distinct()
     sets = scratch.table(_with_sets(texts, ends, size).dropDuplicates(["row"]), "sets")
-    links = scratch.table(_confirmed(stars, sets, threshold), "links")
-    joined = components(links, scratch, "joined")
-    labels = sets.select(F.col("row").alias("node")).join(joined, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    labels = scratch.table(labels, "labels")
+    labels = sets.select(F.col("row").alias("node"), F.col("row").alias("label"))
+    for k, (low, high) in enumerate(zip((0, *ROUNDS[:-1]), ROUNDS, strict=True)):
+        open_ = _of_ends(stars.filter(F.col("band").between(low, high - 1)).select("a", "b"), labels)
+        links = scratch.table(_confirmed(open_, sets, threshold).select(F.col("from").alias("a"), F.col("to").alias("b")), f"links-{k}")
+        if not links.isEmpty():
+            labels = scratch.table(_relabelled(labels, components(links, scratch, f"joined-{k}")), f"labels-{k}")
     more = _remaining(stars, labels, sets, scratch, threshold)
     if more is not None:
         more = scratch.table(more, "more")
         if not more.isEmpty():
-            labels = components(links.unionByName(more), scratch, "all")
+            labels = _relabelled(labels, components(more, scratch, "all"))
     of_set = nodes.select(*key, "node", "first").join(labels, "node", "left").select(*key, "first", F.coalesce("label", "node").alias("label"))
     heads = of_set.groupBy("label").agg(F.min("first").alias("head"))
     of_set = of_set.join(heads, "label").select(*key, "head")
@@ -330,7 +356,7 @@ def near_groups(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFram
     and of several that are linked one is kept. Rows without a doc_id are left out; an empty table gives an empty result.
 
     Bucket rows and star edges stay in proportion to the input: nodes are documents with different sets, each gives
-    BANDS rows, and each row one edge at most.
+    BANDS rows, and each row one edge at most; an edge is confirmed once, and only while its ends are not joined.
     """
     return _row_groups(_identified(docs.filter(F.col("doc_id").isNotNull())), size, threshold).drop("row")
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,10 +11,16 @@ from pyspark.sql import functions as F
 BLANK = r"[\x20\x09-\x0D]+"
 
 
+#: Spark deletes the shuffle files of an execution when it ends where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), a folder beside the warehouse."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset on one machine (tests), a folder beside the warehouse."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-checkpoints"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -30,20 +34,18 @@ class Scratch:
         self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def table(self, rows: DataFrame, name: str) -> DataFrame:
-        """``rows`` written and read again."""
-        rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """``rows`` written and read again; the shuffle files that only this needed go when it is done."""
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            rows.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        finally:
+            if before is None:
+                self.spark.conf.unset(CLEANUP)
+            else:
+                self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(rows.schema).parquet(f"{self.path}/{name}")
 
-    def release(self) -> None:
-        """Lets Spark delete shuffle files that only written tables have needed.
-
-        Its cleaner acts on what a collection finds unreachable; the second collection gets what the first let go.
-        """
-        for _ in range(2):
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
-
     def drop(self, name: str) -> None:
         """Deletes a table that no later step reads."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")

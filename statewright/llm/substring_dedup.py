@@ -173,9 +173,7 @@ def without_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) -
     texts = whole_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
     found = "h long, row long, at int, known boolean"
     anchors = scratch.table(_repeating(texts.select("row", "text").mapInArrow(_anchors(window), found)), "anchors")
-    scratch.release()
     near = texts.join(anchors, "row").select("doc_id", "row", "text", "places")
     windows = scratch.table(_repeating(near.mapInArrow(_windows(window), found)), "windows")
-    scratch.release()
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return texts.join(windows, "row", "left").select("doc_id", "text", "places").mapInArrow(_digests(window, with_text), schema)

@@ -1,7 +1,10 @@
 import random
 import re
 
-from statewright.llm import minhash
+import numpy as np
+import pytest
+
+from statewright.llm import flat, minhash
 from statewright.llm.minhash import drop_near_copies, near_groups
 
 
@@ -30,6 +33,38 @@ def brute(texts, size, threshold=80):
     return {i: (len(sets[i]), root(i), root(i) == i) for i in texts}
 
 
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text.lower())
+
+
+def brute_matrix(texts, size, threshold=80):
+    """As brute(), for one family of a few thousand: intersections from a matrix product."""
+    ids = sorted(texts)
+    sets = [{tuple(w[k : k + size]) for k in range(len(w) - size + 1)} for w in (words_of(texts[i]) for i in ids)]
+    place = {}
+    rows = [[place.setdefault(x, len(place)) for x in s] for s in sets]
+    same = np.zeros((len(ids), len(ids)), dtype=np.float32)
+    for low in range(0, len(place), 4000):
+        cells = np.zeros((len(ids), 4000), dtype=np.float32)
+        for k, r in enumerate(rows):
+            cells[k, [c - low for c in r if low <= c < low + 4000]] = 1
+        same += cells @ cells.T
+    n = np.array([len(s) for s in sets])
+    near = 100 * same >= threshold * (n[:, None] + n[None, :] - same)
+    root = list(range(len(ids)))
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in np.argwhere(np.triu(near, 1)):
+        x, y = sorted((top(i), top(j)))
+        root[y] = x
+    return {i: (int(n[k]), ids[top(k)], top(k) == k) for k, i in enumerate(ids)}
+
+
 def result(df, size):
     return {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_groups(df, size).collect()}
 
@@ -66,6 +101,55 @@ def test_families_in_several_blocks(frame, monkeypatch):
     assert result(frame(texts), 4) == brute(texts, 4)
 
 
+def test_family_of_three_thousand(frame):
+    """Copies with a few to many changed words: some are linked by stars, some only by others, some not at all."""
+    rng = random.Random(3)
+    base, texts = [f"b{k}" for k in range(120)], {}
+    for k in range(3000):
+        words = base[: 120 - rng.randrange(12)]
+        for _ in range(rng.choice((1, 2, 3, 3, 4, 5, 8))):
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts[k] = " ".join(words)
+    assert result(frame(texts), 4) == brute_matrix(texts, 4)
+
+
+@pytest.mark.parametrize("size", (3, 300))
+def test_candidates_that_no_star_links(frame, size, monkeypatch):
+    """Two groups that share a passage are candidates, but no link joins them; within each, links are few and far."""
+    monkeypatch.setattr(minhash, "ROUNDS", (1, minhash.BANDS))
+    rng = random.Random(size)
+    shared, texts = [f"s{k}" for k in range(60)], {}
+    for k in range(size):
+        own = [f"{k % 3}-{k // 3 // 4}-{w}" for w in range(30)]
+        texts[k] = " ".join(shared[rng.randrange(3) :] + own[rng.randrange(5) :])
+    assert result(frame(texts), 4) == brute(texts, 4)
+
+
+@pytest.mark.parametrize("length", (1024, 4096))
+def test_words_that_a_polynomial_confuses(frame, length):
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    assert result(frame({1: f"{word} b c d", 2: f"{other} b c d", 3: f"{word} b c d"}), 4) == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 1, False)}
+    swapped = [w for c in word[:1024] for w in (("p", "q") if c == "a" else ("q", "p"))]
+    turned = [w for c in other[:1024] for w in (("p", "q") if c == "a" else ("q", "p"))]
+    names = flat.span_hashes(np.frombuffer(b"pq", np.uint8), np.array([0, 1]), np.array([1, 2]))
+    runs = [flat.window_hashes(np.array([names[int(w == "q")] for w in x]), len(x))[0] for x in (swapped, turned)]
+    assert runs[0] != runs[1]
+
+
+def test_order_of_rows_changes_nothing(frame):
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(50)]
+    rows = [(i, " ".join([*base[: 50 - rng.randrange(8)], f"x{rng.randrange(99)}"])) for i in (1, 2, 2, 3, 3, 3, 9)]
+    got = []
+    for _ in range(3):
+        rng.shuffle(rows)
+        got.append(sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(frame(rows), 4).collect()))
+    assert got[0] == got[1] == got[2]
+
+
 def test_odd_rows(frame, spark):
     texts = {1: None, 2: "", 3: " \t\n", 4: "one", 5: "ONE", 6: "a b c", 7: "a  b\tc", 8: "x " * 50_000, 9: "x x x x x"}
     assert result(frame(texts), 4) == brute(texts, 4)
