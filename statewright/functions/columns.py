@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,6 +67,61 @@ def haversine_km(lat_a: Column, lon_a: Column, lat_b: Column, lon_b: Column) ->
     return 2 * 6371.0 * F.asin(F.sqrt(half))
 
 
+def nearest(lat: Column, lon: Column, places: list[tuple[str, float, float]]) -> Column:
+    """The name of the nearest of ``places`` (name, latitude, longitude), of equally near ones the least name."""
+    spots = F.array(*[F.struct(haversine_km(lat, lon, F.lit(a), F.lit(b)).alias("km"), F.lit(name).alias("name")) for name, a, b in places])
+    return F.array_min(spots).getField("name")
+
+
+def fixed_backoff(attempt: Column, base: float) -> Column:
+    """The same wait before each attempt."""
+    return F.lit(base) + attempt * 0
+
+
+def jittered(wait: Column, share: float, *parts: Column) -> Column:
+    """``wait`` moved up or down by up to ``share`` of it, as a hash of ``parts`` says."""
+    unit = F.pmod(F.xxhash64(*parts), F.lit(1 << 20)) / float(1 << 20)
+    return F.greatest(F.lit(0.0), wait * (1 + share * (2 * unit - 1)))
+
+
+def deep_merged(left: Column, right: Column) -> Column:
+    """JSON objects merged key by key, ``right`` first; what is no object on both sides is replaced. For whole columns of small objects."""
+
+    @F.pandas_udf("string")
+    def merged(a: pd.Series, b: pd.Series) -> pd.Series:
+        def both(x: dict, y: dict) -> dict:
+            return x | {k: both(x[k], v) if isinstance(v, dict) and isinstance(x.get(k), dict) else v for k, v in y.items()}
+
+        return pd.Series([json.dumps(both(json.loads(x or "{}"), json.loads(y or "{}")), separators=(",", ":"), ensure_ascii=False) for x, y in zip(a, b, strict=True)], dtype=object)
+
+    return merged(left, right)
+
+
+def compressed(data: Column, least: float = 0.9) -> Column:
+    """(data, compressed): zlib-compressed bytes where that leaves ``least`` of the size at most, else the bytes as they are."""
+
+    @F.pandas_udf("struct<data:binary,compressed:boolean>")
+    def packed(column: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in column:
+            small = zlib.compress(x) if x is not None else None
+            smaller = x is not None and len(x) > 0 and len(small) <= least * len(x)
+            rows.append((small if smaller else x, None if x is None else smaller))
+        return pd.DataFrame(rows, columns=["data", "compressed"])
+
+    return packed(data)
+
+
+def decompressed(packed: Column) -> Column:
+    """The bytes of a (data, compressed) column."""
+
+    @F.pandas_udf("binary")
+    def opened(column: pd.DataFrame) -> pd.Series:
+        return pd.Series([zlib.decompress(d) if c else d for d, c in zip(column["data"], column["compressed"], strict=True)], dtype=object)
+
+    return opened(packed)
+
+
 _CONDITION = re.compile(r"""\s*context\.([A-Za-z_]\w*(?:\.\w+)*)\s*===\s*(?:'([^']*)'|"([^"]*)"|(-?\d+(?:\.\d+)?)|(true|false))\s*""")
 
 

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statewright.operators.logs import overlap_groups
+from statewright.operators.ordered import folded
+
 MIB = 1 << 20
 
 
@@ -32,6 +35,53 @@ def leveled(segments: DataFrame, size: str, base: int = 10 * MIB) -> DataFrame:
     return segments.withColumn("level", F.when(F.col(size) <= base, 0).otherwise(level))
 
 
+def leveled_plan(segments: DataFrame, size: str, name: str, start: str, end: str, least: int = 4, base: int = 10 * MIB) -> DataFrame:
+    """``segments`` to merge, with level and overlap_group: level 0 if it has ``least`` segments, else the largest group of overlapping
+    segments of one level (two at least; of equal ones that of the lowest level, then the first)."""
+    levels = leveled(segments, size, base)
+    grouped = overlap_groups(levels, start, end, ["level"])
+    sizes = grouped.groupBy("level", "overlap_group").agg(F.count("*").alias("_n"))
+    low = sizes.filter("level = 0").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_low"))
+    best = sizes.filter("level > 0 AND _n >= 2").agg(F.max_by(F.struct("level", "overlap_group"), F.struct("_n", -F.col("level"), -F.col("overlap_group"))).alias("_b"))
+    plan = grouped.join(F.broadcast(low.join(best)))
+    first = (F.col("_low") >= least) & (F.col("level") == 0)
+    other = (F.col("_low") < least) & (F.col("level") == F.col("_b.level")) & (F.col("overlap_group") == F.col("_b.overlap_group"))
+    return plan.filter(first | F.coalesce(other, F.lit(False))).drop("_low", "_b")
+
+
+def best_group(groups: DataFrame, keys: Sequence[str], group: str, score: str) -> DataFrame:
+    """The rows of the group whose summed ``score`` is highest, of equal ones the first."""
+    sums = groups.groupBy(*keys, group).agg(F.sum(score).alias("_s"))
+    best = sums.agg(F.max_by(F.struct(*keys, group), F.struct("_s", *[-F.col(k) for k in keys], -F.col(group))).alias("_b"))
+    met = [F.col(f"_b.{c}").alias(c) for c in (*keys, group)]
+    return groups.join(F.broadcast(best.select(*met)), [*keys, group], "left_semi")
+
+
+def time_plan(segments: DataFrame, keys: Sequence[str], order: str, name: str, size: str, age: Column, half: int, checkpoint: int, budget: int, day: int) -> DataFrame:
+    """``segments`` (with end_lsn, entry_count, tombstone_count) to compact, with benefit and priority: of those that are older than ``half``
+    the highest age, end below the ``checkpoint``, or have over 30 % tombstones, the consecutive ones under ``budget`` bytes whose
+    benefit is highest. priority is high above 0.7, medium above 0.4, else low, by the benefit."""
+    due = (age > half) | (F.col("end_lsn") < checkpoint) | (F.col("tombstone_count") > 0.3 * F.col("entry_count"))
+    scored = benefit(segments.filter(due), "tombstone_count", "entry_count", age, day, half)
+    grouped = budget_groups(scored, keys, order, name, size, budget).select(name, "budget_group")
+    best = best_group(scored.join(grouped, name), list(keys), "budget_group", "benefit")
+    rank = F.when(F.col("benefit") > 0.7, "high").when(F.col("benefit") > 0.4, "medium").otherwise("low")
+    return best.drop("due").withColumn("priority", rank)
+
+
+def fragmented(segments: DataFrame, size: str, ideal: int, least: float = 0.3) -> DataFrame:
+    """segments, fragmentation, vacuum: how far the segments' mean size lies below ``ideal`` bytes, and whether that calls for a vacuum."""
+    found = segments.agg(F.count("*").alias("segments"), F.greatest(F.lit(0.0), 1 - F.avg(size) / ideal).alias("fragmentation"))
+    return found.withColumn("vacuum", (F.col("segments") > 1) & (F.col("fragmentation") >= least))
+
+
+def plan_errors(plan: DataFrame, segments: DataFrame, name: str) -> DataFrame:
+    """name, error of each input of ``plan`` that can't be compacted: missing, still written to, or with its ends the wrong way round."""
+    here = segments.select(name, "is_immutable", "start_lsn", "end_lsn").withColumn("_here", F.lit(True))
+    error = F.when(F.col("_here").isNull(), "missing").when(~F.col("is_immutable"), "not immutable").when(F.col("start_lsn") > F.col("end_lsn"), "empty range")
+    return plan.select(name).join(here, name, "left").select(name, error.alias("error")).filter("error IS NOT NULL")
+
+
 def benefit(segments: DataFrame, tombstones: str, entries: str, age: Column, day: int, due_age: int) -> DataFrame:
     """tombstone_ratio, benefit (0.7 of the ratio and 0.3 of the age up to a day) and whether a segment is due."""
     ratio = F.coalesce(F.try_divide(F.col(tombstones), F.col(entries)), F.lit(0.0))
@@ -50,13 +100,15 @@ def budget_groups(segments: DataFrame, keys: Sequence[str], order: str, name: st
 
     The sum starts anew with each run, so this is an ordered fold over one key's segments (a log's file list).
     """
-    rows = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("s"), F.col(size).cast("long").alias("b")))).alias("rows"))
-    folded = F.expr(
-        f"""aggregate(rows, named_struct('sum', 0L, 'g', 0L, 'out', cast(array() AS array<struct<s:bigint,b:bigint,g:bigint>>)),
-            (a, r) -> named_struct('sum', if(a.sum > 0 AND a.sum + r.b > {budget}, r.b, a.sum + r.b), 'g', if(a.sum > 0 AND a.sum + r.b > {budget}, a.g + 1, a.g),
-              'out', concat(a.out, array(named_struct('s', cast(r.s AS bigint), 'b', r.b, 'g', if(a.sum > 0 AND a.sum + r.b > {budget}, a.g + 1, a.g))))), a -> a.out)"""
-    )
-    return rows.select(*keys, F.explode(folded).alias("x")).select(*keys, F.col("x.s").alias(name), F.col("x.b").alias("size_bytes"), F.col("x.g").alias("budget_group"))
+
+    def step(state, segment, n):
+        total, group = state
+        total, group = (n, group + 1) if total > 0 and total + n > budget else (total + n, group)
+        return (total, group), [(segment, n, group)]
+
+    kind = segments.schema[name].dataType.simpleString()
+    values = [name, F.coalesce(F.col(size).cast("long"), F.lit(0))]
+    return folded(segments, keys, [order], values, lambda: (0, 0), step, f"{name} {kind}, size_bytes long, budget_group long")
 
 
 def estimate(segments: DataFrame, size: str, tombstones: str, entries: str, bytes_a_second: float) -> DataFrame:

@@ -1,7 +1,7 @@
 """State folding: current entity state from change logs under three merge rules, and membership merges.
 
-Where a rule has a closed form, it is used: aggregates with map-side combine. The exact folds depend on arrival order
-and hold the rows of one entity in an array, so an entity's history must fit in a task.
+Where a rule has a closed form, it is used: aggregates with map-side combine. The exact folds depend on arrival order and
+read an entity's changes one by one (``operators.ordered``).
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statewright.operators.ordered import folded
+
 
 def version_state(log: DataFrame, key: str = "entity_id", order: str = "lsn") -> DataFrame:
     """The version fold of a log in which versions rise with ``order``: the live entities.
@@ -29,11 +31,7 @@ def version_state(log: DataFrame, key: str = "entity_id", order: str = "lsn") ->
     )
 
 
-def _history(log: DataFrame, key: str, order: str) -> DataFrame:
-    """key, rows: each entity's changes in arrival order."""
-    row = F.struct(F.col(order).alias("o"), "operation", "owner", "version", "ts", "metadata")
-    by_order = lambda a, b: F.when(a.o < b.o, -1).when(a.o > b.o, 1).otherwise(0)
-    return log.groupBy(key).agg(F.array_sort(F.collect_list(row), by_order).alias("rows"))
+_CHANGE = ("operation", "owner", "version", "ts", "metadata")
 
 
 def version_fold(log: DataFrame, key: str = "entity_id", order: str = "ord") -> DataFrame:
@@ -41,19 +39,22 @@ def version_fold(log: DataFrame, key: str = "entity_id", order: str = "ord") ->
 
     CREATE applies only to an absent entity, UPDATE and TRANSFER only to a present one of a lower version; UPDATE merges
     metadata and TRANSFER takes the owner only; DELETE is unconditional. Columns: key, owner, version, created_at,
-    last_updated, metadata of the live entities.
+    last_updated, metadata of the live entities. A task holds one entity's state, not its history.
     """
-    rows = _history(log, key, order)
-    kind = "struct<live:boolean,owner:string,version:bigint,created_at:bigint,last_updated:bigint,metadata:map<string,string>>"
-    empty = f"cast(named_struct('live', false, 'owner', null, 'version', null, 'created_at', null, 'last_updated', null, 'metadata', null) AS {kind})"
-    merged = "map_from_entries(concat(filter(map_entries(s.metadata), e -> NOT map_contains_key(coalesce(r.metadata, map()), e.key)), map_entries(coalesce(r.metadata, cast(map() AS map<string,string>)))))"
-    step = f"""CASE
-        WHEN r.operation = 'CREATE' AND NOT s.live THEN cast(named_struct('live', true, 'owner', r.owner, 'version', r.version, 'created_at', r.ts, 'last_updated', r.ts, 'metadata', coalesce(r.metadata, cast(map() AS map<string,string>))) AS {kind})
-        WHEN r.operation = 'UPDATE' AND s.live AND r.version > s.version THEN cast(named_struct('live', true, 'owner', s.owner, 'version', r.version, 'created_at', s.created_at, 'last_updated', r.ts, 'metadata', {merged}) AS {kind})
-        WHEN r.operation = 'TRANSFER' AND s.live AND r.version > s.version THEN cast(named_struct('live', true, 'owner', r.owner, 'version', r.version, 'created_at', s.created_at, 'last_updated', r.ts, 'metadata', s.metadata) AS {kind})
-        WHEN r.operation = 'DELETE' THEN {empty} ELSE s END"""
-    state = rows.select(key, F.expr(f"aggregate(rows, {empty}, (s, r) -> {step})").alias("s"))
-    return state.filter("s.live").select(key, "s.owner", "s.version", "s.created_at", "s.last_updated", "s.metadata")
+
+    def step(state, operation, owner, version, ts, metadata):
+        if operation == "DELETE":
+            return None, ()
+        if operation == "CREATE":
+            return state or (owner, version, ts, ts, dict(metadata or ())), ()
+        if state is None or version is None or state[1] is None or version <= state[1]:
+            return state, ()
+        if operation == "TRANSFER":
+            return (owner, version, state[2], ts, state[4]), ()
+        return ((state[0], version, state[2], ts, state[4] | dict(metadata or ())) if operation == "UPDATE" else state), ()
+
+    gives = "owner string, version long, created_at long, last_updated long, metadata map<string,string>"
+    return folded(log, [key], [order], _CHANGE, lambda: None, step, gives, lambda s: [(*s[:4], [*s[4].items()])] if s else ())
 
 
 def lww_fold(log: DataFrame, key: str = "entity_id", order: str = "ord") -> DataFrame:
@@ -63,18 +64,19 @@ def lww_fold(log: DataFrame, key: str = "entity_id", order: str = "ord") -> Data
     ''. A delete leaves a tombstone that beats older rows; deletes of absent entities refresh it. UPDATE merges metadata onto
     what is there, CREATE and TRANSFER replace it, so metadata depends on arrival order; owner and version do not.
     """
-    rows = _history(log, key, order)
-    kind = "struct<seen:boolean,live:boolean,owner:string,version:bigint,author:string,metadata:map<string,string>,deleted_at:bigint>"
-    none = f"cast(named_struct('seen', false, 'live', false, 'owner', null, 'version', null, 'author', null, 'metadata', null, 'deleted_at', null) AS {kind})"
-    wins = "(NOT s.seen OR NOT (s.version > r.version OR (s.version = r.version AND s.author > coalesce(r.owner, ''))))"
-    base = "coalesce(s.metadata, cast(map() AS map<string,string>))"
-    given = "coalesce(r.metadata, cast(map() AS map<string,string>))"
-    merged = f"map_from_entries(concat(filter(map_entries({base}), e -> NOT map_contains_key({given}, e.key)), map_entries({given})))"
-    step = f"""CASE WHEN NOT {wins} THEN s
-        WHEN r.operation = 'DELETE' THEN cast(named_struct('seen', true, 'live', false, 'owner', null, 'version', r.version, 'author', coalesce(r.owner, ''), 'metadata', null, 'deleted_at', r.ts) AS {kind})
-        ELSE cast(named_struct('seen', true, 'live', true, 'owner', coalesce(r.owner, s.owner, ''), 'version', r.version, 'author', coalesce(r.owner, ''),
-          'metadata', CASE WHEN r.operation = 'UPDATE' THEN {merged} ELSE {given} END, 'deleted_at', null) AS {kind}) END"""
-    return rows.select(key, F.expr(f"aggregate(rows, {none}, (s, r) -> {step})").alias("s")).select(key, "s.live", "s.owner", "s.version", "s.author", "s.metadata", "s.deleted_at")
+
+    def step(state, operation, owner, version, ts, metadata):
+        author = owner or ""
+        if state and (state[2], state[3]) > (version, author):
+            return state, ()
+        if operation == "DELETE":
+            return (False, None, version, author, None, ts), ()
+        kept = (state[4] if state and operation == "UPDATE" else None) or {}
+        holder = owner if owner is not None else (state[1] if state else None) or ""
+        return (True, holder, version, author, kept | dict(metadata or ()), None), ()
+
+    gives = "live boolean, owner string, version long, author string, metadata map<string,string>, deleted_at long"
+    return folded(log, [key], [order], _CHANGE, lambda: None, step, gives, lambda s: [(*s[:4], None if s[4] is None else [*s[4].items()], s[5])])
 
 
 def lww_state(log: DataFrame, key: str = "entity_id") -> DataFrame:
@@ -110,6 +112,36 @@ def rejected_mutations(log: DataFrame, key: str = "entity_id", order: str = "lsn
     return log.withColumn("reason", reason).filter("reason IS NOT NULL").select(key, order, "operation", "reason")
 
 
+def exported(states: DataFrame, node: str, now: Column) -> DataFrame:
+    """A registry's snapshot: its live entities with node, clock (the highest version) and the time at which it was taken."""
+    live = states.filter("live")
+    clock = states.agg(F.coalesce(F.max("version"), F.lit(0)).alias("clock"))
+    return live.join(F.broadcast(clock)).select("entity_id", "owner", "version", "metadata", F.lit(node).alias("node"), "clock", now.alias("taken_at"))
+
+
+def imported(snapshot: DataFrame, states: DataFrame) -> DataFrame:
+    """The registry after an import: what the snapshot has replaces everything, tombstones too; entity_id, live, owner,
+    version, author, metadata, deleted_at, and clock, the higher of the registry's and the snapshot's."""
+    clock = states.agg(F.max("version").alias("clock")).unionByName(snapshot.agg(F.max("clock").alias("clock"))).agg(F.coalesce(F.max("clock"), F.lit(0)).alias("clock"))
+    rows = snapshot.select("entity_id", F.lit(True).alias("live"), "owner", "version", F.col("owner").alias("author"), "metadata", F.lit(None).cast("long").alias("deleted_at"))
+    return rows.join(F.broadcast(clock))
+
+
+def foreign_mutations(log: DataFrame, states: DataFrame, node: str, key: str = "entity_id") -> DataFrame:
+    """Mutations (key, operation, actor) of ``node``'s registry with what forbids them, null where they may go on.
+
+    A create needs an absent entity; release, update and transfer need one that is there and that the actor owns.
+    """
+    here = states.filter("live").select(key, F.col("owner").alias("_owner"))
+    absent = F.col("_owner").isNull()
+    reason = (
+        F.when((F.col("operation") == "CREATE") & ~absent, "already exists")
+        .when((F.col("operation") != "CREATE") & absent, "not found")
+        .when((F.col("operation") != "CREATE") & (F.col("_owner") != F.col(node)), "not the owner")
+    )
+    return log.join(here, key, "left").withColumn("reason", reason).drop("_owner")
+
+
 def membership(reports: DataFrame, key: str, own: str | None = None) -> DataFrame:
     """The merged membership: a higher version wins, at equal versions the later last_seen; reports about ``own`` are ignored."""
     rest = [c for c in reports.columns if c != key]

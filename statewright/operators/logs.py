@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statewright.sources.scratch import written
+
+#: Ranges of a block of nearest_at_or_before().
+BLOCK = 1024
+
 
 def replay(log: DataFrame, order: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """The rows with ``first`` <= order <= ``last``, in order; both ends are inclusive and optional."""
@@ -90,8 +95,13 @@ def nearest_at_or_before(points: DataFrame, targets: DataFrame, point: str, targ
     ends = spots.groupBy("_range").agg(F.max("_at").alias("_end"))
     ranges = ends.select("_range", "_end").unionByName(marks.select("_range", F.lit(None).cast("long").alias("_end")).distinct())
     ranges = ranges.groupBy("_range").agg(F.max("_end").alias("_end"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("_range", F.max("_end").over(before).alias("_before"))
+    # The last point before each range: within its block of ranges, else at the end of an earlier block.
+    ranges = ranges.withColumn("_block", F.floor(F.col("_range") / BLOCK))
+    blocks = ranges.groupBy("_block").agg(F.max("_end").alias("_last"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.max("_last").over(earlier).alias("_carried"))
+    before = Window.partitionBy("_block").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.join(blocks, "_block").select("_range", F.coalesce(F.max("_end").over(before), "_carried").alias("_before"))
     inside = Window.partitionBy("_range").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
     found = spots.unionByName(marks).withColumn("_own", F.max(F.when(F.col("_side") == 0, F.col("_at"))).over(inside))
     found = found.filter("_side = 1").join(ranges, "_range", "left")
@@ -99,8 +109,24 @@ def nearest_at_or_before(points: DataFrame, targets: DataFrame, point: str, targ
 
 
 def overlap_groups(segments: DataFrame, start: str, end: str, keys: Sequence[str] = ()) -> DataFrame:
-    """``segments`` with ``overlap_group``: intervals that overlap, also through others, share one (from 1, by start)."""
-    before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.when(F.col(start) <= F.max(end).over(before), 0).otherwise(1)
-    return segments.withColumn("_opens", opens).withColumn("overlap_group", F.sum("_opens").over(upto)).drop("_opens")
+    """``segments`` with ``overlap_group``: intervals that overlap, also through others, share one (from 1, by start).
+
+    Without keys, intervals are dealt to ranges of their starts; a range knows from the one before it how far earlier
+    intervals reach and how many groups they have, so no task orders all of them.
+    """
+    if keys:
+        before = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+        upto = Window.partitionBy(*keys).orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
+        opens = F.when(F.col(start) <= F.max(end).over(before), 0).otherwise(1)
+        return segments.withColumn("_opens", opens).withColumn("overlap_group", F.sum("_opens").over(upto)).drop("_opens")
+    n = max(8, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = written(segments.repartitionByRange(n, start, end).withColumn("_p", F.spark_partition_id()), "overlaps")
+    earlier = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    reach = dealt.groupBy("_p").agg(F.max(end).alias("_e")).select("_p", F.max("_e").over(earlier).alias("_reach"))
+    before = Window.partitionBy("_p").orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.greatest(F.max(end).over(before), F.col("_reach"))
+    opened = dealt.join(F.broadcast(reach), "_p").withColumn("_opens", F.when(F.col(start) <= known, 0).otherwise(1))
+    counts = opened.groupBy("_p").agg(F.sum("_opens").alias("_o")).select("_p", F.coalesce(F.sum("_o").over(earlier), F.lit(0)).alias("_base"))
+    upto = Window.partitionBy("_p").orderBy(start, end).rowsBetween(Window.unboundedPreceding, 0)
+    found = opened.join(F.broadcast(counts), "_p").withColumn("overlap_group", F.col("_base") + F.sum("_opens").over(upto))
+    return found.select(*segments.columns, "overlap_group")

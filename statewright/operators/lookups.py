@@ -72,3 +72,47 @@ def evicted(rows: DataFrame, keys: Sequence[str], order: str, capacity: int) ->
 def hashed_range(messages: DataFrame, bucket: Column, owners: DataFrame) -> DataFrame:
     """``messages`` with the node that owns the range of their key (range_id, node)."""
     return messages.withColumn("range_id", bucket).join(owners, "range_id")
+
+
+def found(entities: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of one key; the filter reaches the scan."""
+    return entities.filter(F.col(key) == F.lit(value))
+
+
+def owned_resources(resources: DataFrame, entities: DataFrame, key: str, kind: str | None = None, node: str | None = None) -> DataFrame:
+    """``resources`` of live entities (key, owner, version) with owner, version taken from the entity whatever the resource says;
+    those of a kind or of a node's, if asked."""
+    plain = resources.drop("owner", "version")
+    if kind is not None:
+        plain = plain.filter(F.col("kind") == kind)
+    own = entities.select(key, "owner", "version")
+    return plain.join(own if node is None else own.filter(F.col("owner") == node), key)
+
+
+def active_runs(runs: DataFrame, status: str = "status") -> DataFrame:
+    """Runs that have not ended."""
+    return runs.filter(F.col(status).isin("running", "awaiting-approval", "pending"))
+
+
+def pending_approvals(steps: DataFrame, path: str = "$.approvers") -> DataFrame:
+    """Approval steps that wait, with the approvers that their payload (JSON) names."""
+    waiting = steps.filter((F.col("type") == "approval") & (F.col("status") == "awaiting-approval"))
+    return waiting.withColumn("approvers", F.get_json_object("payload", path))
+
+
+def run_history(events: DataFrame, run: str, value: object, version: str, first: int = 0) -> DataFrame:
+    """The events of one run from version ``first`` on, whose payload (JSON) names the run under ``run``."""
+    return events.filter((F.get_json_object("payload", f"$.{run}") == F.lit(str(value))) & (F.col(version) >= first))
+
+
+def created_alive(created: DataFrame, deleted: DataFrame, key: str, at: str) -> DataFrame:
+    """What was created and not deleted afterwards: rows of ``created`` (key, at) without a row of ``deleted`` that is later."""
+    last = deleted.groupBy(key).agg(F.max(at).alias("_deleted"))
+    return created.join(last, key, "left").filter(F.col("_deleted").isNull() | (F.col("_deleted") < F.col(at))).drop("_deleted")
+
+
+def longest_name(names: DataFrame, by: Sequence[str], name: str, sep: str = ", ") -> DataFrame:
+    """by, joined, longest: the different names of each group joined in order, and the longest of them (of equally long ones the least)."""
+    different = names.select(*by, name).distinct()
+    least = F.min(F.struct((-F.length(name)).alias("l"), F.col(name).alias("n")))
+    return different.groupBy(*by).agg(F.array_join(F.array_sort(F.collect_list(name)), sep).alias("joined"), least.alias("_l")).select(*by, "joined", F.col("_l.n").alias("longest"))

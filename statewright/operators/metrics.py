@@ -142,18 +142,112 @@ def snapshot(counters_: DataFrame, gauges_: DataFrame, histograms_: DataFrame) -
 def prometheus_lines(buckets: DataFrame, snapshots: DataFrame, name: str, label: str) -> DataFrame:
     """line: text exposition of a histogram family, with bucket, sum and count samples of each label value."""
     bound = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.regexp_replace(F.col("le").cast("string"), r"\.0$", ""))
-    lines = buckets.select(F.format_string(f'{name}_bucket{{{label}="%s",le="%s"}} %d', F.col(label), bound, F.col("cumulative")).alias("line"))
-    counts = snapshots.select(F.format_string(f'{name}_count{{{label}="%s"}} %d', F.col(label), F.col("count")).alias("line"))
-    return lines.unionByName(counts)
+    value = prometheus_label(F.col(label).cast("string"))
+    lines = buckets.select(F.format_string(f'{name}_bucket{{{label}="%s",le="%s"}} %d', value, bound, F.col("cumulative")).alias("line"))
+    sums = snapshots.select(F.concat(F.lit(f'{name}_sum{{{label}="'), value, F.lit('"} '), number_text(F.col("sum"))).alias("line"))
+    counts = snapshots.select(F.format_string(f'{name}_count{{{label}="%s"}} %d', value, F.col("count")).alias("line"))
+    return lines.unionByName(sums).unionByName(counts)
+
+
+def number_text(value: Column) -> Column:
+    """A number without a trailing .0, in full where it has up to 15 digits."""
+    whole = (value == F.floor(value)) & (F.abs(value) < 1e15)
+    return F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
+
+
+def prometheus_label(value: Column) -> Column:
+    """A label value with backslashes, quotes and newlines escaped."""
+    slashed = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    return F.replace(F.replace(slashed, F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
+def family_text(samples: DataFrame, families: dict[str, tuple[str, str]], labels: str, millis: str) -> DataFrame:
+    """family, part, at, line: text exposition of ``samples`` (a column for each family, a labels map, a time): for each family
+    its HELP (part 0) and TYPE (1) line, and a sample line (2) for each row, with its time. In that order they are the file.
+
+    ``families`` maps a column to its type and help text. Dots in names become underscores; nulls give no line.
+    """
+    heads = [(underscored_name(k), part, None, text) for k, (kind, about) in families.items() for part, text in ((0, f"# HELP {underscored_name(k)} {about}"), (1, f"# TYPE {underscored_name(k)} {kind}"))]
+    head = samples.sparkSession.createDataFrame(heads, "family string, part int, at long, line string")
+    escaped = F.transform_values(labels, lambda _, v: prometheus_label(v))
+    values = F.array(*[F.struct(F.lit(underscored_name(k)).alias("family"), F.col(k).cast("double").alias("v")) for k in families])
+    rows = samples.select(F.explode(values).alias("x"), label_suffix(escaped).alias("l"), F.col(millis).cast("long").alias("at")).filter("x.v IS NOT NULL")
+    line = F.concat(F.col("x.family"), F.col("l"), F.lit(" "), number_text(F.col("x.v")), F.lit(" "), F.col("at").cast("string"))
+    return head.unionByName(rows.select("x.family", F.lit(2).alias("part"), "at", line.alias("line")))
+
+
+def underscored_name(name: str) -> str:
+    return name.replace(".", "_")
+
+
+def cloud_metrics(samples: DataFrame, metrics_: dict[str, tuple[str, str, str]], dimensions: dict[str, str], millis: str) -> DataFrame:
+    """line: a JSON object for each metric of each row: MetricName, Namespace, Value, Unit, Dimensions, Timestamp (ISO).
+
+    ``metrics_`` maps a column to its metric name, namespace and unit.
+    """
+    listed = F.array(*[F.struct(F.lit(k).alias("Name"), F.lit(v).alias("Value")) for k, v in dimensions.items()]) if dimensions else F.array().cast("array<struct<Name:string,Value:string>>")
+    at = F.date_format(F.timestamp_millis(F.col(millis)), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    each = [
+        F.struct(F.lit(name).alias("MetricName"), F.lit(space).alias("Namespace"), F.col(c).cast("double").alias("Value"), F.lit(unit).alias("Unit"), listed.alias("Dimensions"), at.alias("Timestamp"))
+        for c, (name, space, unit) in metrics_.items()
+    ]
+    return samples.select(F.explode(F.array(*each)).alias("m")).select(F.to_json("m").alias("line"))
+
+
+def series_points(samples: DataFrame, metrics_: dict[str, str], tags: dict[str, str], millis: str) -> DataFrame:
+    """line: a JSON object for each metric of each row: metric, points [[seconds, value]], tags (key:value), type gauge."""
+    listed = F.array(*[F.lit(f"{k}:{v}") for k, v in tags.items()]) if tags else F.array().cast("array<string>")
+    point = lambda c: F.array(F.array(F.floor(F.col(millis) / 1000).cast("double"), F.col(c).cast("double")))
+    each = [F.struct(F.lit(name).alias("metric"), point(c).alias("points"), listed.alias("tags"), F.lit("gauge").alias("type")) for c, name in metrics_.items()]
+    return samples.select(F.explode(F.array(*each)).alias("m")).select(F.to_json("m").alias("line"))
+
+
+# Fixed value: the columns of the tracker's CSV file.
+CSV_COLUMNS = ("timestamp", "cpu_percentage", "memory_percentage", "disk_percentage", "cluster_size", "gossip_rate", "message_latency", "network_latency", "active_connections", "pool_utilization", "overall_health")
+
+
+def csv_lines(samples: DataFrame) -> DataFrame:
+    """at, line: a CSV line for each row of ``samples`` (CSV_COLUMNS, with the time in milliseconds as timestamp), ISO time first;
+    in order of ``at``, below the joined CSV_COLUMNS, they are the file. A null is an empty field."""
+    iso = F.date_format(F.timestamp_millis(F.col("timestamp")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    kinds = {f.name: f.dataType.typeName() for f in samples.schema}
+    text = lambda c: number_text(F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
+    fields = [F.coalesce(text(c), F.lit("")) for c in CSV_COLUMNS[1:]]
+    return samples.select(F.col("timestamp").alias("at"), F.concat_ws(",", iso, *fields).alias("line"))
+
+
+def report(summary: DataFrame, kind: str) -> DataFrame:
+    """content: a report of one row (timestamp, status, cpu, memory) as json, csv or html."""
+    if kind == "json":
+        text = F.to_json(F.struct(F.lit("1.0").alias("version"), F.struct(*summary.columns).alias("data")))
+    elif kind == "csv":
+        text = F.concat(F.lit("timestamp,status,cpu,memory\n"), F.concat_ws(",", *[F.col(c).cast("string") for c in ("timestamp", "status", "cpu", "memory")]))
+    elif kind == "html":
+        safe = lambda c: F.replace(F.replace(F.col(c).cast("string"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+        text = F.concat(F.lit("<!DOCTYPE html>\n<title>Report</title>\n<p>Generated: "), safe("timestamp"), F.lit("</p>\n<p>Status: "), safe("status"), F.lit("</p>\n"))
+    else:
+        raise ValueError(f"unknown report format: {kind}")
+    return summary.select(text.alias("content"))
 
 
 def influx_lines(points: DataFrame, measurement: str, tags: Sequence[str], fields: Sequence[str], millis: str) -> DataFrame:
-    """line: line protocol with the time in nanoseconds."""
-    tag = F.concat(*[F.concat(F.lit(f",{t}="), F.col(t).cast("string")) for t in tags]) if tags else F.lit("")
-    field = F.concat_ws(",", *[F.concat(F.lit(f"{f}="), F.col(f).cast("string")) for f in fields])
+    """line: line protocol with the time in nanoseconds; blanks, commas and equals signs of tags are escaped, text fields quoted."""
+    escape = lambda v: F.regexp_replace(v, r"([ ,=])", r"\\$1")
+    tag = F.concat(*[F.concat(F.lit(f",{t}="), escape(F.col(t).cast("string"))) for t in tags]) if tags else F.lit("")
+    kinds = {f.name: f.dataType.typeName() for f in points.schema}
+    quoted = lambda f: F.concat(F.lit('"'), F.regexp_replace(F.col(f), r'(["\\])', r"\\$1"), F.lit('"')) if kinds[f] == "string" else F.col(f).cast("string")
+    field = F.concat_ws(",", *[F.concat(F.lit(f"{f}="), quoted(f)) for f in fields])
     return points.select(F.concat(F.lit(measurement), tag, F.lit(" "), field, F.lit(" "), F.col(millis).cast("string"), F.lit("000000")).alias("line"))
 
 
+def envelope(points: DataFrame, order: str, at: Column, version: str = "1.0", size: int = 1000) -> DataFrame:
+    """chunk, content: JSON documents with timestamp, version and the metrics of up to ``size`` consecutive values of ``order`` (an
+    integer), in order."""
+    chunk = F.expr(f"{order} div {size}").alias("chunk")
+    listed = points.groupBy(chunk).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), F.struct(*points.columns).alias("m")))).alias("_m"))
+    return listed.select("chunk", F.to_json(F.struct(at.alias("timestamp"), F.lit(version).alias("version"), F.transform("_m", lambda x: x.m).alias("metrics"))).alias("content"))
+
+
 def json_envelope(points: DataFrame, source: str) -> DataFrame:
     """line: one JSON object a row, with where it comes from."""
     return points.select(F.to_json(F.struct(F.lit(source).alias("source"), F.struct(*points.columns).alias("metrics"))).alias("line"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,16 +19,29 @@ def ring(nodes: DataFrame, name: str, virtual: int = VIRTUAL) -> DataFrame:
     return spots.groupBy(ring_hash(F.concat_ws(":", "node", F.col("i").cast("string"))).alias("h")).agg(F.min("node").alias("node"))
 
 
-def arcs(ring_: DataFrame, replicas: int = 1) -> DataFrame:
+def arcs(ring_: DataFrame, replicas: int = 1, ahead: int | None = None) -> DataFrame:
     """sector, low, high, owner, owners: the arcs low < hash <= high by the sectors that they cross; the last arc wraps.
 
-    owners lists the next ``replicas`` different nodes. The ring is configuration: nodes times virtual nodes.
+    owners lists the next ``replicas`` different nodes. The ring is configuration: nodes times virtual nodes. Each place looks
+    at the ``ahead`` places that follow it; places that see too few nodes there look twice as far, until all see enough.
     """
     order = Window.orderBy("h")
-    places = ring_.withColumn("i", F.row_number().over(order)).withColumn("low", F.coalesce(F.lag("h").over(order), F.lit(-1)))
-    listed = ring_.agg(F.array_sort(F.collect_list(F.struct("h", "node"))).alias("r"))
-    after = F.expr(f"slice(array_distinct(transform(slice(concat(r, r), i, size(r)), x -> x.node)), 1, {replicas})")
-    whole = places.join(F.broadcast(listed)).select("low", F.col("h").alias("high"), F.col("node").alias("owner"), after.alias("owners"))
+    n = ring_.agg(F.count("*"), F.countDistinct("node")).first()  # two numbers about the configuration
+    size, nodes = n[0], n[1]
+    wanted = min(replicas, nodes)
+    ahead = min(size, ahead or 4 * replicas)
+    # The ring's start is laid behind its end, so that a frame of following places wraps.
+    head = ring_.orderBy("h").limit(size if replicas > 1 else 0).withColumn("h", F.col("h") + (1 << 32))
+    line = ring_.unionByName(head).withColumn("low", F.coalesce(F.lag("h").over(order), F.lit(-1)))
+    found = None
+    while True:
+        frame = order.rowsBetween(0, max(0, ahead - 1))
+        seen = line.withColumn("owners", F.slice(F.array_distinct(F.collect_list("node").over(frame)), 1, replicas)).filter(F.col("h") < 1 << 32)
+        if replicas == 1 or ahead >= size or seen.filter(F.size("owners") < wanted).isEmpty():
+            found = seen
+            break
+        ahead = min(size, 2 * ahead)
+    whole = found.select("low", F.col("h").alias("high"), F.col("node").alias("owner"), "owners")
     last = whole.agg(F.max("high").alias("low"), F.lit((1 << 32) - 1).alias("high"), F.min_by("owner", "high").alias("owner"), F.min_by("owners", "high").alias("owners"))
     every = whole.unionByName(last)
     sectors = F.sequence(F.shiftright(F.col("low") + 1, SECTOR), F.shiftright("high", SECTOR))
@@ -47,6 +62,52 @@ def least_loaded(candidates: DataFrame, resources: DataFrame, group: str, node:
     return loaded.groupBy(group).agg(F.min_by(node, F.struct("_n", (~F.col(local)).cast("int").alias("l"), node)).alias(node))
 
 
+def routed(keys: DataFrame, key: str, strategy: str, ring_: DataFrame, members: DataFrame, replicas: int = 3, zone: str | None = None, seed: int = 0) -> DataFrame:
+    """``keys`` with nodes: consistent-hash (the ring's owners), round-robin (all alive members by id), random (``replicas`` of
+    them, in an order that key and seed give) or locality-aware (the first alive members of ``zone`` if it has ``replicas``,
+    else as consistent-hash). ``members`` (id, status, zone) is the configuration of the cluster."""
+    if strategy == "consistent-hash" or (strategy == "locality-aware" and zone is None):
+        return owners(keys, key, ring_, replicas).select(*keys.columns, F.col("owners").alias("nodes"))
+    alive = members.filter("status = 'ALIVE'").select(F.col("id").cast("string").alias("id"), "zone")
+    if strategy in ("round-robin", "random"):
+        listed = alive.agg(F.array_sort(F.collect_list("id")).alias("_all"))
+        by = F.array_sort(F.transform("_all", lambda n: F.struct(F.md5(F.concat_ws(":", F.col(key).cast("string"), n, F.lit(str(seed)))).alias("h"), n.alias("n"))))
+        chosen = F.col("_all") if strategy == "round-robin" else F.slice(F.transform(by, lambda x: x.n), 1, replicas)
+        return keys.join(F.broadcast(listed)).select(*keys.columns, chosen.alias("nodes"))
+    if strategy != "locality-aware":
+        raise ValueError(f"unknown strategy: {strategy}")
+    near = alive.filter(F.col("zone") == zone).agg(F.array_sort(F.collect_list("id")).alias("_near"))
+    found = owners(keys, key, ring_, replicas).join(F.broadcast(near))
+    return found.select(*keys.columns, F.when(F.size("_near") >= replicas, F.slice("_near", 1, replicas)).otherwise(F.col("owners")).alias("nodes"))
+
+
+def placed(resources: DataFrame, key: str, candidates: DataFrame, strategy: Callable[[Column, Column], Column], least: bool = True) -> DataFrame:
+    """``resources`` with node: the candidate (node and whatever ``strategy`` reads) with the least or highest value of
+    ``strategy(key, candidate)``, a Column that the caller builds; ties go to the least name. Candidates are configuration."""
+    listed = candidates.agg(F.collect_list(F.struct(*candidates.columns)).alias("_c"))
+    scored = F.transform("_c", lambda c: F.struct((strategy(F.col(key), c) if least else -strategy(F.col(key), c)).alias("s"), c.node.alias("n")))
+    return resources.join(F.broadcast(listed)).select(*resources.columns, F.array_min(scored).n.alias("node"))
+
+
+def random_node(key: Column, candidate: Column) -> Column:
+    """A strategy for placed(): an order of the candidates that the key gives."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), candidate.node.cast("string"))), 1, 12), 16, 10).cast("long")
+
+
+def ring_stats(ring_: DataFrame) -> DataFrame:
+    """nodes, places, virtual: different nodes, their places on the ring, and the mean places of a node."""
+    found = ring_.agg(F.countDistinct("node").alias("nodes"), F.count("*").alias("places"))
+    return found.withColumn("virtual", F.try_divide("places", "nodes"))
+
+
+def ideal_moves(owned: DataFrame, key: str, owner: str, decisions: DataFrame, ring_: DataFrame) -> DataFrame:
+    """key, from, to: the resources that nodes with the decision to rebalance give to the node that the ring wants them on."""
+    shedding = decisions.filter("decision = 'rebalance'").select(F.col("node").cast("string").alias("_from"))
+    mine = owned.select(key, F.col(owner).cast("string").alias("_from")).join(F.broadcast(shedding), "_from")
+    wanted = owners(mine, key, ring_)
+    return wanted.filter(F.col("owner") != F.col("_from")).select(key, F.col("_from").alias("from"), F.col("owner").alias("to"))
+
+
 def orphans(resources: DataFrame, members: DataFrame, owner: str, node: str) -> DataFrame:
     """Resources whose owner is not an alive member."""
     return resources.join(members.filter("status = 'ALIVE'").select(F.col(node).alias(owner)), owner, "left_anti")
@@ -72,17 +133,23 @@ def rebalance(samples: DataFrame, node: str, micros: str, load: str, now: Column
     return each.join(F.broadcast(mean)).select(node, "load", "p95", decision.alias("decision"))
 
 
-def high_availability(primaries: DataFrame, nodes: DataFrame, replicas: int) -> DataFrame:
-    """resource, replica, rank: the best nodes in other zones of the primary's region, by (1 - cpu) * availability.
+def high_availability(primaries: DataFrame, nodes: DataFrame, replicas: int, spread: str = "cross-zone") -> DataFrame:
+    """resource, replica, rank: the best nodes by (1 - cpu) * availability: in other zones of the primary's region (cross-zone),
+    in other regions (cross-region), or anywhere but the primary's own node (any).
 
-    ``primaries`` has resource and region, zone of its primary; ``nodes`` has node, region, zone, cpu, availability. Only the
-    best few nodes of each zone can be chosen, so those are ranked first, before they meet the resources.
+    ``primaries`` has resource and region, zone (and node, for any) of its primary; ``nodes`` has node, region, zone, cpu,
+    availability. Only the best few nodes of each zone can be chosen, so those are ranked first, before they meet the resources.
     """
+    if spread not in ("cross-zone", "cross-region", "any"):
+        raise ValueError(f"unknown spread: {spread}")
     scored = nodes.withColumn("score", (1 - F.col("cpu")) * F.col("availability"))
     best = Window.partitionBy("region", "zone").orderBy(F.desc("score"), "node")
-    few = scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= replicas)
-    few = few.groupBy("region").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "node", "zone"))).alias("few"))
-    chosen = primaries.join(few, "region").withColumn("_c", F.expr(f"slice(filter(few, f -> f.zone <> zone), 1, {replicas})"))
+    few = scored.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= replicas + 1)
+    by = [F.col("region")] if spread == "cross-zone" else []
+    few = few.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "node", "zone", F.col("region").alias("r")))).alias("few"))
+    met = primaries.join(few, "region") if by else primaries.join(F.broadcast(few))
+    apart = {"cross-zone": "f.zone <> zone", "cross-region": "f.r <> region", "any": "f.node <> node"}[spread]
+    chosen = met.withColumn("_c", F.expr(f"slice(filter(few, f -> {apart}), 1, {replicas})"))
     return chosen.select("resource", F.posexplode("_c").alias("rank", "c")).select("resource", F.col("c.node").alias("replica"), (F.col("rank") + 1).alias("rank"))
 
 
@@ -96,6 +163,43 @@ def free_ranges(all_ranges: DataFrame, leases: DataFrame, now: Column) -> DataFr
     return all_ranges.join(leases.filter(F.col("expires") > now).select("range_id"), "range_id", "left_anti")
 
 
+def range_targets(members: DataFrame, leases: DataFrame, now: Column) -> DataFrame:
+    """node, owned, target, needed, first_free for each alive member (id): the ranges range-0, range-1, ... number twice the
+    nodes and 8 at least, each node should have its share rounded up, and the first without a valid lease is next."""
+    alive = members.filter("status = 'ALIVE'").select(F.col("id").cast("string").alias("node"))
+    n = alive.agg(F.count("*").alias("n")).withColumn("total", F.greatest(F.lit(8), 2 * F.col("n")))
+    n = n.withColumn("target", F.ceil(F.col("total") / F.greatest("n", F.lit(1))))
+    held = leases.filter(F.col("expires") > now).select("range_id", F.col("node").cast("string").alias("node"))
+    every = n.select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("k")).withColumn("range_id", F.concat(F.lit("range-"), F.col("k")))
+    free = every.join(held.select("range_id"), "range_id", "left_anti").agg(F.min("k").alias("_k"))
+    first = free.select(F.when(F.col("_k").isNotNull(), F.concat(F.lit("range-"), F.col("_k"))).alias("first_free"))
+    own = alive.join(held.groupBy("node").agg(F.count("*").alias("owned")), "node", "left").withColumn("owned", F.coalesce("owned", F.lit(0)))
+    needed = F.greatest(F.lit(0), F.col("target") - F.col("owned"))
+    return own.join(F.broadcast(n.select("target"))).join(F.broadcast(first)).select("node", "owned", "target", needed.alias("needed"), "first_free")
+
+
+def endpoint_of(requests: DataFrame, endpoints: DataFrame, service: str, number: str, endpoint: str, strategy: str = "round-robin", local: str | None = None, seed: int = 0) -> DataFrame:
+    """``requests`` with the endpoint chosen for each: round-robin, first, random (by request number and seed) or local-preferred
+    (the first endpoint on the requester's node, else its turn). ``endpoints`` has service, endpoint and node; a service's
+    endpoints are few. Requests for a service without any get null."""
+    listed = endpoints.groupBy(service).agg(F.array_sort(F.collect_list(F.struct(endpoint, "node"))).alias("_e"))
+    turn = F.try_element_at(F.col("_e"), (F.pmod(F.col(number), F.greatest(F.size("_e"), F.lit(1))) + 1).cast("int"))[endpoint]
+    first = F.try_element_at(F.col("_e"), F.lit(1))[endpoint]
+    if strategy == "round-robin":
+        chosen = turn
+    elif strategy == "first":
+        chosen = first
+    elif strategy == "random":
+        draw = F.pmod(F.xxhash64(number, F.lit(seed)), F.greatest(F.size("_e"), F.lit(1)))
+        chosen = F.try_element_at(F.col("_e"), (draw + 1).cast("int"))[endpoint]
+    elif strategy == "local-preferred":
+        own = F.filter("_e", lambda e: e.node == F.col(local))
+        chosen = F.coalesce(F.try_element_at(own, F.lit(1))[endpoint], turn)
+    else:
+        raise ValueError(f"unknown strategy: {strategy}")
+    return requests.join(listed, service, "left").withColumn(endpoint, chosen).drop("_e")
+
+
 def round_robin(requests: DataFrame, endpoints: DataFrame, service: str, number: str, endpoint: str) -> DataFrame:
     """``requests`` with the endpoint whose turn it is: the request number modulo the endpoints of its service."""
     listed = endpoints.groupBy(service).agg(F.array_sort(F.collect_list(endpoint)).alias("_e"))
@@ -106,3 +210,12 @@ def autoscale(groups: DataFrame, n: str, load: str, least: int, most: int, up: f
     """``groups`` with target: one more above ``up``, one fewer below ``down``, within bounds."""
     target = F.when(F.col(load) > up, F.col(n) + 1).when(F.col(load) < down, F.col(n) - 1).otherwise(F.col(n))
     return groups.withColumn("target", F.least(F.greatest(target, F.lit(least)), F.lit(most)))
+
+
+def resource_health(resources: DataFrame, cpu: str, memory: str, errors: str, **more: Column) -> DataFrame:
+    """``resources`` with issues, healthy, migrate: processor above 0.95, memory above 0.9, errors above 0.1, and each check of
+    ``more`` (name to a Column that is true where it fails); over two issues mean that it should move."""
+    checks = {"cpu": F.col(cpu) > 0.95, "memory": F.col(memory) > 0.9, "errors": F.col(errors) > 0.1} | more
+    issues = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
+    found = resources.withColumn("issues", issues)
+    return found.withColumn("healthy", F.size("issues") == 0).withColumn("migrate", F.size("issues") > 2)

@@ -85,6 +85,16 @@ def adaptive(members: DataFrame, strategy: str, latency: float, partition: float
     return found.withColumn("has_quorum", n >= F.col("required"))
 
 
+def partition(members: DataFrame) -> DataFrame:
+    """visible, total, ratio, kind: a partition is likely where fewer than half of the members (rounded up) are alive (majority), or
+    all alive ones are in one zone while others are missing (zone-based); else kind is null."""
+    alive = F.col("status") == "ALIVE"
+    zones = F.countDistinct(F.when(alive, F.coalesce("zone", F.lit("unknown"))))
+    found = members.agg(F.count_if(alive).alias("visible"), F.count("*").alias("total"), zones.alias("_z"))
+    kind = F.when(F.col("visible") < F.ceil(F.col("total") / 2), "majority").when((F.col("_z") == 1) & (F.col("total") > F.col("visible")), "zone-based")
+    return found.select("visible", "total", F.coalesce(F.try_divide("visible", "total"), F.lit(0.0)).alias("ratio"), kind.alias("kind"))
+
+
 def zone_balance(members: DataFrame) -> DataFrame:
     """zone, members, share of alive members; balanced if no zone has over 0.6 of them, to be rebalanced above 0.7."""
     sizes = _alive(members).groupBy(F.coalesce("zone", F.lit("unknown")).alias("zone")).agg(F.count("*").alias("members"))

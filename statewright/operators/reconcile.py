@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# How far each strategy is trusted.
 CONFIDENCE = {"max-value": 0.9, "min-value": 0.9, "average": 0.7, "union-merge": 0.8, "last-writer-wins": 0.6, "first-writer-wins": 0.8}
 
 
@@ -75,3 +79,36 @@ def with_resolutions(state: DataFrame, resolutions: DataFrame, key: str, name: s
     """Rows (key, name, value) with the resolved value of their key and name where there is one."""
     new = resolutions.select(key, name, F.col(value).alias("_r"))
     return state.join(new, [key, name], "left").withColumn(value, F.coalesce("_r", value)).drop("_r")
+
+
+def object_union(values: DataFrame, key: str, objects: str, order: str) -> DataFrame:
+    """key, objects: the entries of all maps of a key; of an entry that several have, the last by ``order``."""
+    entries = values.select(key, F.col(order).alias("_o"), F.explode(objects).alias("_k", "_v"))
+    last = entries.groupBy(key, "_k").agg(F.max_by("_v", "_o").alias("_v"))
+    return last.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias(objects))
+
+
+def resolved_by(values: DataFrame, key: str, value: str, order: str, strategy: str, resolver: Callable[[list], object]) -> DataFrame:
+    """key, value for conflicts whose ``strategy`` column names ``resolver`` (by its __name__): what the caller's function makes of
+    the values in order. A conflict's values are one a replica, so they are few."""
+    kind = values.schema[value].dataType
+    own = values.filter(F.col(strategy) == resolver.__name__)
+    listed = own.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))), lambda r: r.v).alias("_v"))
+
+    @F.pandas_udf(kind)
+    def made(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: resolver(list(x)))
+
+    return listed.select(key, made("_v").alias(value))
+
+
+def history(resolutions: DataFrame, at: str, n: int) -> DataFrame:
+    """The ``n`` latest resolutions."""
+    return resolutions.orderBy(F.desc(at)).limit(n)
+
+
+def preview(state: DataFrame, resolutions: DataFrame, key: str, name: str, value: str) -> DataFrame:
+    """key, name, before, after of the values that ``resolutions`` would change; nothing is written."""
+    new = resolutions.select(key, name, F.col(value).alias("after"))
+    changed = state.select(key, name, F.col(value).alias("before")).join(new, [key, name])
+    return changed.filter(~F.col("before").eqNullSafe(F.col("after")))

@@ -69,3 +69,12 @@ def recent_alerts(alerts: DataFrame, micros: str, severity: str, now: Column, sp
 def queue_ages(messages: DataFrame, queue: str, micros: str, now: Column) -> DataFrame:
     """queue, waiting, oldest: the age of the message that has waited longest, whatever its priority."""
     return messages.groupBy(queue).agg(F.count("*").alias("waiting"), F.max(now - F.col(micros)).alias("oldest"))
+
+
+def seed_health(seeds: DataFrame, status: str, most_failures: int = 3) -> DataFrame:
+    """total, available, permanent, failed, ratio, state: of seeds (status, failures, permanent): healthy from half of them available,
+    degraded below, failed with none."""
+    ok = (F.col(status) == "available") & (F.col("failures") < most_failures)
+    found = seeds.agg(F.count("*").alias("total"), F.count_if(ok).alias("available"), F.count_if("permanent").alias("permanent"), F.count_if(~ok).alias("failed"))
+    found = found.withColumn("ratio", F.coalesce(F.try_divide("available", "total"), F.lit(0.0)))
+    return found.withColumn("state", F.when(F.col("available") == 0, "failed").when(F.col("ratio") < 0.5, "degraded").otherwise("healthy"))

@@ -141,3 +141,45 @@ def top(rows: DataFrame, by: Sequence[str], score: Column, name: str, n: int) ->
     """The ``n`` best rows of each group by score, ties by name."""
     best = Window.partitionBy(*by).orderBy(score.desc(), F.col(name))
     return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= n)
+
+
+def performance(samples: DataFrame, means: Sequence[str], sums: Sequence[str], highest: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Performance samples of several nodes as one: rates and latencies averaged, message rates and throughput summed, sizes and
+    times by their highest."""
+    return samples.groupBy(*by).agg(*[F.avg(c).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(c) for c in highest])
+
+
+def cluster_performance(resources: DataFrame, nodes: DataFrame) -> DataFrame:
+    """mean_latency, throughput, error_rate over resources (latency, throughput, error_rate), and utilization: the active over the
+    possible resources of all nodes (active, most); all 0 where there is nothing."""
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    found = resources.agg(none(F.avg("latency")).alias("mean_latency"), none(F.sum("throughput")).alias("throughput"), none(F.avg("error_rate")).alias("error_rate"))
+    used = nodes.agg(none(F.try_divide(F.sum("active"), F.sum("most"))).alias("utilization"))
+    return found.join(F.broadcast(used))
+
+
+def consistent_view(states: DataFrame, services: DataFrame, least: int = 1, score: float = 0.8) -> DataFrame:
+    """nodes, required, score, verdict: consistent, or what is missing: insufficient nodes (fewer than ``least`` or than half, rounded
+    up) or inconsistency (a score below ``score``). States and services as for consistency()."""
+    found = consistency(states, services).join(F.broadcast(states.agg(F.count("*").alias("nodes"))))
+    required = F.greatest(F.lit(least), F.ceil(F.col("nodes") / 2))
+    verdict = F.when(F.col("nodes") < required, "insufficient nodes").when(F.col("score") < score, "inconsistent").otherwise("consistent")
+    return found.select("nodes", required.alias("required"), "score", verdict.alias("verdict"))
+
+
+def room_places(rooms: DataFrame, nodes: DataFrame, owner: str, node: str, *levels: str) -> DataFrame:
+    """level, value, rooms, sharded, replicated: rooms by the places of the nodes that own them and by their type, in one pass; rooms of
+    unknown owners count under 'unknown'. ``rooms`` has room_type, sharded, ha; ``levels`` are columns of ``nodes``."""
+    at = rooms.join(F.broadcast(nodes.select(F.col(node).alias(owner), *levels)), owner, "left")
+    names = [*levels, "room_type"]
+    named = at.select(*[F.coalesce(F.col(c).cast("string"), F.lit("unknown")).alias(c) for c in names], "sharded", "ha")
+    level = F.coalesce(*[F.when(F.grouping(c) == 0, F.lit(c)) for c in names])
+    value = F.coalesce(*[F.when(F.grouping(c) == 0, F.col(c)) for c in names])
+    sets = named.groupingSets([[c] for c in names], *names)
+    return sets.agg(level.alias("level"), value.alias("value"), F.count("*").alias("rooms"), F.count_if("sharded").alias("sharded"), F.count_if("ha").alias("replicated")).select("level", "value", "rooms", "sharded", "replicated")
+
+
+def totals(nodes: DataFrame, capacity: Sequence[str], shares: Sequence[str], healthy: Column) -> DataFrame:
+    """One row: sums of ``capacity``, means of ``shares``, health (share of healthy nodes) and its band: healthy above 0.8, warning above 0.5."""
+    found = nodes.agg(*[F.sum(c).alias(c) for c in capacity], *[F.avg(c).alias(c) for c in shares], F.avg(healthy.cast("int")).alias("health"))
+    return found.withColumn("band", F.when(F.col("health") > 0.8, "healthy").when(F.col("health") > 0.5, "warning").otherwise("critical"))

@@ -157,7 +157,13 @@ def compaction_vacuum_candidates(spark, sf_dir):
     return compaction.vacuum_candidates(segments(spark, sf_dir), "segment_id", "tombstone_count", "entry_count")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SEGMENTS}, o AS (SELECT segment_id % 4 AS log_id, segment_id, entry_count * 2048 AS size_bytes, row_number() OVER (PARTITION BY segment_id % 4 ORDER BY start_lsn) AS n FROM seg),
+        s AS (SELECT log_id, segment_id, size_bytes, n, size_bytes AS total, 0 AS g FROM o WHERE n = 1
+          UNION ALL SELECT o.log_id, o.segment_id, o.size_bytes, o.n, CASE WHEN s.total > 0 AND s.total + o.size_bytes > 4194304 THEN o.size_bytes ELSE s.total + o.size_bytes END,
+            CASE WHEN s.total > 0 AND s.total + o.size_bytes > 4194304 THEN s.g + 1 ELSE s.g END FROM s JOIN o ON o.log_id = s.log_id AND o.n = s.n + 1)
+        SELECT log_id, segment_id, size_bytes, g::BIGINT AS budget_group FROM s"""
+)
 def compaction_time_based_groups(spark, sf_dir):
     """Consecutive segments under a byte budget (a reset-dependent recurrence; a unit test compares it with a plain loop)."""
     sized = segments(spark, sf_dir).select("segment_id", "start_lsn", (F.col("entry_count") * 2048).alias("size_bytes"), (F.col("segment_id") % 4).alias("log_id"))

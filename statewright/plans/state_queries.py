@@ -41,19 +41,49 @@ def crdt_tombstones(spark, sf_dir):
 
 def _arrivals(spark, sf_dir):
     """The change log with metadata, arriving in another order than its versions."""
-    log = entity_updates(spark, sf_dir).withColumn("ord", F.col("lsn") + F.col("lsn") * 7919 % 50)
+    log = entity_updates(spark, sf_dir).withColumn("ord", (F.col("lsn") + F.col("lsn") * 7919 % 50) * 1_000_000 + F.col("lsn"))
     return log.select("ord", "entity_id", "operation", "owner", "version", F.col("ts_us").alias("ts"), F.map_from_arrays(F.array(F.concat(F.lit("k"), F.col("lsn") % 3)), F.array(F.col("lsn").cast("string"))).alias("metadata"))
 
 
-@query()
+# The arrivals of each entity numbered in order; metadata has the keys k0, k1, k2.
+ARRIVED = f"""WITH RECURSIVE {UPDATES}, o AS (SELECT entity_id, operation, owner, version, lsn % 3 AS k, lsn::VARCHAR AS v, row_number() OVER (PARTITION BY entity_id ORDER BY (lsn + lsn * 7919 % 50) * 1000000 + lsn) AS n FROM u)"""
+ENTRIES = "concat_ws(',', 'k0=' || k0, 'k1=' || k1, 'k2=' || k2)"
+
+
+def _entries(metadata):
+    return F.array_join(F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat_ws("=", e.key, e.value)), ",")
+
+
+@query(
+    ARRIVED
+    + """, s AS (SELECT entity_id, n, operation <> 'DELETE' AS live, CASE WHEN operation <> 'DELETE' THEN owner END AS owner, version, owner AS author,
+           CASE WHEN operation <> 'DELETE' AND k = 0 THEN v END AS k0, CASE WHEN operation <> 'DELETE' AND k = 1 THEN v END AS k1, CASE WHEN operation <> 'DELETE' AND k = 2 THEN v END AS k2 FROM o WHERE n = 1
+         UNION ALL SELECT entity_id, m, CASE WHEN wins THEN op <> 'DELETE' ELSE live END, CASE WHEN NOT wins THEN owner WHEN op <> 'DELETE' THEN new END, CASE WHEN wins THEN ver ELSE version END, CASE WHEN wins THEN new ELSE author END,
+           CASE WHEN NOT wins THEN k0 WHEN op = 'DELETE' THEN NULL WHEN k = 0 THEN v WHEN op = 'UPDATE' THEN k0 END, CASE WHEN NOT wins THEN k1 WHEN op = 'DELETE' THEN NULL WHEN k = 1 THEN v WHEN op = 'UPDATE' THEN k1 END,
+           CASE WHEN NOT wins THEN k2 WHEN op = 'DELETE' THEN NULL WHEN k = 2 THEN v WHEN op = 'UPDATE' THEN k2 END
+         FROM (SELECT s.*, o.n AS m, o.operation AS op, o.owner AS new, o.version AS ver, o.k, o.v, NOT (s.version > o.version OR (s.version = o.version AND s.author > o.owner)) AS wins FROM s JOIN o ON o.entity_id = s.entity_id AND o.n = s.n + 1))
+       SELECT entity_id, live, owner, version, CASE WHEN live THEN """
+    + ENTRIES
+    + """ END AS metadata FROM s QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC) = 1"""
+)
 def crdt_fold_arrival_order(spark, sf_dir):
     """The exact fold with metadata; a unit test compares it with a plain fold under permuted arrivals."""
-    return fold.lww_fold(_arrivals(spark, sf_dir)).select("entity_id", "live", "owner", "version", F.to_json("metadata").alias("metadata"))
+    return fold.lww_fold(_arrivals(spark, sf_dir)).select("entity_id", "live", "owner", "version", _entries("metadata").alias("metadata"))
 
 
-@query()
+@query(
+    ARRIVED
+    + """, s AS (SELECT entity_id, n, operation = 'CREATE' AS live, owner, version, CASE WHEN k = 0 THEN v END AS k0, CASE WHEN k = 1 THEN v END AS k1, CASE WHEN k = 2 THEN v END AS k2 FROM o WHERE n = 1
+         UNION ALL SELECT entity_id, m, CASE WHEN made THEN true WHEN op = 'DELETE' THEN false ELSE live END, CASE WHEN made OR (later AND op = 'TRANSFER') THEN new ELSE owner END, CASE WHEN made OR later THEN ver ELSE version END,
+           CASE WHEN (made OR (later AND op = 'UPDATE')) AND k = 0 THEN v WHEN made THEN NULL ELSE k0 END, CASE WHEN (made OR (later AND op = 'UPDATE')) AND k = 1 THEN v WHEN made THEN NULL ELSE k1 END,
+           CASE WHEN (made OR (later AND op = 'UPDATE')) AND k = 2 THEN v WHEN made THEN NULL ELSE k2 END
+         FROM (SELECT s.*, o.n AS m, o.operation AS op, o.owner AS new, o.version AS ver, o.k, o.v, o.operation = 'CREATE' AND NOT s.live AS made, o.operation IN ('UPDATE', 'TRANSFER') AND s.live AND o.version > s.version AS later FROM s JOIN o ON o.entity_id = s.entity_id AND o.n = s.n + 1))
+       SELECT entity_id, owner, version, """
+    + ENTRIES
+    + """ AS metadata FROM s QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY n DESC) = 1 AND live"""
+)
 def version_fold_arrival_order(spark, sf_dir):
-    return fold.version_fold(_arrivals(spark, sf_dir)).select("entity_id", "owner", "version", F.to_json("metadata").alias("metadata"))
+    return fold.version_fold(_arrivals(spark, sf_dir)).select("entity_id", "owner", "version", _entries("metadata").alias("metadata"))
 
 
 @query(
@@ -153,7 +183,7 @@ def delta_merge_last_op(spark, sf_dir):
 
 
 @query(
-    """WITH h AS (SELECT o_orderkey AS id, sha256('id=' || o_orderkey || '|owner=' || o_custkey || '|status=' || o_orderstatus) AS hash FROM orders)
+    """WITH h AS (SELECT o_orderkey AS id, sha256('{"id":' || o_orderkey || ',"owner":' || o_custkey || ',"status":"' || o_orderstatus || '"}') AS hash FROM orders)
        SELECT id // 1000 AS leaf, sha256(string_agg(hash, '' ORDER BY id)) AS leaf_hash FROM h GROUP BY 1"""
 )
 def merkle_leaves(spark, sf_dir):

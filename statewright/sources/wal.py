@@ -2,28 +2,38 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from statewright.sources.scratch import written
+
+#: The file that names the newest checkpoint; Spark's readers skip names that begin so.
+POINTER = "_latest.json"
+
 DATA = "entityId string, ownerNodeId string, version bigint, timestamp bigint, operation string, metadata string, previousVersion bigint"
 ENTRY = f"logSequenceNumber bigint, timestamp bigint, checksum string, data struct<{DATA.replace(' string', ':string').replace(' bigint', ':bigint')}>"
 
 
-def parsed(lines: DataFrame) -> DataFrame:
-    """lsn, ts, valid and the fields of the change for each line (column value) that is a log entry; others are left out.
+def parsed(lines: DataFrame, *more: str) -> DataFrame:
+    """lsn, ts, valid and the fields of the change (and ``more``) for each line (column value) that is a log entry; others are left out.
 
     The checksum is the SHA-256 of the text of ``data``, which is the last field that writers put in a line, so it is taken
     from the line as it stands: no other program's number format has to be met. A line without a checksum is valid.
     """
     raw = F.regexp_extract("value", r'"data":(\{.*\})\}\s*$', 1)
     entry = F.from_json("value", ENTRY)
-    rows = lines.select(entry.alias("e"), raw.alias("raw")).filter(F.col("e.logSequenceNumber").isNotNull() & F.col("e.data").isNotNull())
+    rows = lines.select(entry.alias("e"), raw.alias("raw"), *more).filter(F.col("e.logSequenceNumber").isNotNull() & F.col("e.data").isNotNull())
     valid = F.col("e.checksum").isNull() | (F.sha2("raw", 256) == F.col("e.checksum"))
     data = [F.col(f"e.data.{name}").alias(alias) for name, alias in (
         ("entityId", "entity_id"), ("ownerNodeId", "owner"), ("version", "version"), ("timestamp", "changed_at"),
         ("operation", "operation"), ("metadata", "metadata"), ("previousVersion", "previous_version"),
     )]
-    return rows.select(F.col("e.logSequenceNumber").alias("lsn"), F.col("e.timestamp").alias("ts"), valid.alias("valid"), *data)
+    return rows.select(F.col("e.logSequenceNumber").alias("lsn"), F.col("e.timestamp").alias("ts"), valid.alias("valid"), *data, *more)
 
 
 def read(spark: SparkSession, path: str, first: int | None = None, last: int | None = None) -> DataFrame:
@@ -42,17 +52,57 @@ def lines(changes: DataFrame) -> DataFrame:
     return changes.select(F.concat(head, F.sha2(data, 256), F.lit('","data":'), data, F.lit("}")).alias("value"))
 
 
-def append(changes: DataFrame, path: str, next_lsn: int, order: str) -> None:
-    """Writes ``changes`` as new files of the log, numbered from ``next_lsn`` in ``order``.
+def _hadoop(spark: SparkSession, path: str):
+    """The file system of a path, and the path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
 
-    Partitions are numbered by range: each adds the sizes of those before it, so no task orders all rows.
+def log_bytes(spark: SparkSession, path: str) -> int:
+    """The bytes of a log's files; none where there is no log."""
+    fs, at = _hadoop(spark, path)
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+
+def append(changes: DataFrame, path: str, next_lsn: int, order: str, max_bytes: int | None = None) -> int:
+    """Writes ``changes`` as new files of the log, numbered from ``next_lsn`` in ``order``; the next free number.
+
+    The rows are first written in ranges of ``order`` with the number of their range: what is counted, and what is numbered
+    by prefix sums of those counts, is the same table, however Spark plans the two. A log of more than ``max_bytes`` takes
+    no more.
     """
-    ordered = changes.repartitionByRange(order).withColumn("_p", F.spark_partition_id())
+    spark = changes.sparkSession
+    if max_bytes is not None and (size := log_bytes(spark, path)) > max_bytes:
+        raise ValueError(f"the log has {size} bytes, more than {max_bytes}")
+    n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ordered = written(changes.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()), "log-append")
     sizes = ordered.groupBy("_p").agg(F.count("*").alias("n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     place = F.row_number().over(Window.partitionBy("_p").orderBy(order))
     numbered = ordered.join(F.broadcast(before.select("_p", "_base")), "_p").withColumn("lsn", F.lit(next_lsn - 1) + F.col("_base") + place)
     lines(numbered).write.mode("append").text(path)
+    return next_lsn + ordered.count()
+
+
+def replayed(entries: DataFrame, handle: Callable[[dict], None], key: str = "entity_id", order: str = "lsn") -> DataFrame:
+    """key, order, error: ``handle`` called with each entry (a dictionary), in order for each key; error is null where it worked.
+
+    An entry that fails is left behind and the next one goes on. ``handle`` runs in the tasks, once more if a task is repeated.
+    """
+    kinds = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in (key, order))
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            errors = []
+            for row in frame.to_dict("records"):
+                try:
+                    handle(row)
+                    errors.append(None)
+                except Exception as error:  # noqa: BLE001  whatever a handler raises, the replay goes on
+                    errors.append(f"{type(error).__name__}: {error}"[:500])
+            yield frame[[key, order]].assign(error=pd.Series(errors, dtype=object, index=frame.index))
+
+    return entries.repartition(key).sortWithinPartitions(key, order).mapInPandas(task, f"{kinds}, error string")
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
@@ -67,21 +117,68 @@ def segments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def truncated(entries: DataFrame, before: int) -> DataFrame:
-    """The entries from LSN ``before`` on; written to a new folder, they replace the log."""
+    """The entries from LSN ``before`` on."""
     return entries.filter(F.col("lsn") >= before)
 
 
-def write_checkpoint(state: DataFrame, path: str, lsn: int) -> None:
-    """The state after ``lsn`` as one partition of the checkpoint table."""
+def truncate(spark: SparkSession, path: str, before: int) -> None:
+    """Rewrites the log without its lines below LSN ``before`` and without damaged ones.
+
+    The new files are written beside the log and take its place by renaming; the old ones go last.
+    """
+    fs, at = _hadoop(spark, path)
+    name = uuid.uuid4().hex[:8]
+    new, old = f"{path.rstrip('/')}-new-{name}", f"{path.rstrip('/')}-old-{name}"
+    rows = spark.read.text(path)
+    found = parsed(rows, "value").filter(F.col("valid") & (F.col("lsn") >= before)).select("value")
+    found.write.text(new)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    if not (fs.rename(at, of(old)) and fs.rename(of(new), at)):
+        raise OSError(f"the log {path} could not be replaced; its new files are in {new}")
+    fs.delete(of(old), True)
+
+
+def write_checkpoint(state: DataFrame, path: str, lsn: int, keep: int | None = None) -> None:
+    """The state after ``lsn`` as one partition of the checkpoint table, which the pointer then names; the newest ``keep`` stay."""
+    spark = state.sparkSession
     state.write.mode("overwrite").parquet(f"{path}/lsn={lsn}")
+    fs, at = _hadoop(spark, path)
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    out = fs.create(of(f"{path}/{POINTER}"), True)
+    out.write(bytearray(json.dumps({"lsn": lsn}).encode()))
+    out.close()
+    if keep:
+        names = [f.getPath().getName() for f in fs.listStatus(at)]
+        for old in sorted((int(n[4:]) for n in names if n.startswith("lsn=")), reverse=True)[keep:]:
+            fs.delete(of(f"{path}/lsn={old}"), True)
+
+
+def checkpoints(spark: SparkSession, path: str) -> DataFrame:
+    """lsn of each checkpoint that is there."""
+    fs, at = _hadoop(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return spark.createDataFrame([(int(n[4:]),) for n in names if n.startswith("lsn=")], "lsn long")
+
+
+def _pointed(spark: SparkSession, path: str) -> int:
+    """What the pointer names. Spark's readers skip its file, so it is opened by Hadoop's."""
+    fs, _ = _hadoop(spark, path)
+    stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}"))
+    try:
+        return json.loads(bytes(stream.readAllBytes()).decode())["lsn"]
+    finally:
+        stream.close()
 
 
 def read_checkpoint(spark: SparkSession, path: str, target: int | None = None) -> DataFrame:
-    """The newest checkpoint, or the newest at or before ``target``; only its partition is read."""
-    table = spark.read.parquet(path)
-    known = table.select("lsn").distinct()
-    at = (known if target is None else known.filter(F.col("lsn") <= target)).agg(F.max("lsn")).first()[0]
-    return table.filter(F.col("lsn") == at)
+    """The checkpoint that the pointer names, or the newest at or before ``target``; only its partition is read."""
+    if target is None:
+        at = _pointed(spark, path)
+    else:
+        at = checkpoints(spark, path).filter(F.col("lsn") <= target).agg(F.max("lsn")).first()[0]
+        if at is None:
+            raise ValueError(f"there is no checkpoint at or before {target}")
+    return spark.read.parquet(f"{path}/lsn={at}").withColumn("lsn", F.lit(at).cast("long"))
 
 
 def seed_nodes(spark: SparkSession, text: str) -> DataFrame:

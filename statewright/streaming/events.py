@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from statewright.operators.flow import SharedState
+from statewright.sources.scratch import shared_path, written
+from statewright.sources.wal import replayed
+
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_a_batch: int = 1) -> DataFrame:
     """New Parquet files of a folder as a stream."""
@@ -71,6 +74,71 @@ def subscribe(events: DataFrame, types: Sequence[str], handle: Callable[[DataFra
     return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def subscribe_each(
+    events: DataFrame, types: Sequence[str], handle: Callable[[dict], None], state: str, checkpoint: str, version: str = "version", every: int = 10
+) -> StreamingQuery:
+    """Calls ``handle`` with each event (a dictionary) of ``types``, in order of ``version`` within a type.
+
+    An event that ``handle`` raises for goes alone to the table ``state``/dead (with the error) and does not count. After each
+    batch in which ``every`` successes have come together, ``state``/progress gets the highest version that is done. A restart,
+    also one with a new ``checkpoint``, leaves out events up to that version; what was handled after it is handled again.
+    Handlers run in the tasks. Runs until what is there is done.
+    """
+    spark = events.sparkSession
+
+    def one(batch: DataFrame, number: int) -> None:
+        done = _progress(spark, f"{state}/progress")
+        wanted = batch.filter(F.col("type").isin(*types)).filter(F.col(version) > done.version)
+        results = written(replayed(wanted, handle, "type", version), "subscription")
+        failed = wanted.join(results.filter("error IS NOT NULL"), ["type", version])
+        if not failed.isEmpty():
+            failed.write.mode("append").parquet(f"{state}/dead")
+        worked = results.agg(F.count_if(F.col("error").isNull()).alias("n"), F.max(version).alias("version")).first()
+        count = done.since + worked.n
+        if worked.version is not None:
+            reached = max(done.seen, worked.version)
+            row = (reached, count % every, reached) if count >= every else (done.version, count, reached)
+            spark.createDataFrame([(number, *row)], "batch long, version long, since long, seen long").coalesce(1).write.mode("append").parquet(f"{state}/progress")
+
+    return events.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _progress(spark: SparkSession, path: str) -> Row:
+    """version (done), since (successes after it), seen (the highest version met) of a subscription."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    none = Row(version=-1, since=0, seen=-1)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return none
+    return spark.read.parquet(path).agg(F.max_by(F.struct("version", "since", "seen"), F.struct("seen", "batch")).alias("p")).first().p or none
+
+
+def session_state(updates: DataFrame, session: str, order: Sequence[str], update: str, adapter: SharedState, load: Callable[[str], object], idle_us: int | None = None, ts: str | None = None) -> DataFrame:
+    """session, updates, state: each session's state, as ``adapter`` serializes it, after each batch that has updates for it.
+
+    Only the text is kept between batches; ``load`` reads it back. With ``ts`` (a timestamp under a watermark) a session that has been
+    idle for ``idle_us`` is dropped and starts anew.
+    """
+    kind = updates.schema[session].dataType.simpleString()
+
+    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        n, text = state.get if state.exists else (0, None)
+        inner = adapter.create() if text is None else load(text)
+        rows = pd.concat(list(frames)).sort_values(list(order))
+        for value in adapter.merge(rows[update].tolist()):
+            inner = adapter.apply(inner, value)
+        n, text = n + len(rows), adapter.serialize(inner)
+        state.update((n, text))
+        if idle_us:
+            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows[ts].max().timestamp() * 1000) + idle_us // 1000))
+        yield pd.DataFrame({session: [name[0]], "updates": [n], "state": [text]})
+
+    timeout = GroupStateTimeout.EventTimeTimeout if idle_us else GroupStateTimeout.NoTimeout
+    return updates.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, updates long, state string", "updates long, state string", "update", timeout)
+
+
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the test data as a stream of its files."""
     path = f"{sf_dir}/{name}.parquet"
@@ -81,11 +149,10 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives for the files that are there, as a table in the shared folder (its checkpoint lies beside it)."""
     spark = stream.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-streams"
-    at = f"{at.rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    at = shared_path(spark, "stream")
 
     def one(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={number if mode == 'append' else 0}")
+        batch.write.mode("overwrite").parquet(f"{at}/rows/batch={0 if mode == 'complete' else number}")
 
     stream.writeStream.foreachBatch(one).outputMode(mode).option("checkpointLocation", f"{at}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/rows").select(*stream.columns)

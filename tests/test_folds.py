@@ -1,6 +1,8 @@
 """The folds against plain loops over the same rows."""
 
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,7 +159,7 @@ def test_first_seen_batches_breaker_leases(stream):
             if node is None or node == seq % 3 or expires <= t:
                 node, version, expires = seq % 3, version + 1, t + 5_000_000
         held[k] = (node, version, expires)
-    assert sorted(tuple(r) for r in flow.first_seen(df, "key", "us", 30_000_000).collect()) == sorted(seen)
+    assert sorted(tuple(r) for r in flow.first_seen(df, "key", "us", 30_000_000, "seq").select("key", "us").collect()) == sorted(seen)
     assert sorted(tuple(r) for r in flow.batches(df, ["key"], "us", "size", 5, 100, 60_000_000).collect()) == sorted(batches)
     assert {r.key: (r.state, r.rejected) for r in flow.breaker(df, ["key"], "us", 2, 10_000_000).collect()} == states
     claims = df.withColumn("node", F.col("seq") % 3)
@@ -198,3 +200,87 @@ def test_scalar_functions(spark):
     assert ctx.select(template("<{{context.a.b}}|{{context.no}}>", F.col("c")).alias("v")).first().v == "<x|>"
     assert [r.v for r in spark.range(1, 8).select(fibonacci_backoff(F.col("id"), 1.0, 10.0).alias("v")).collect()] == [1, 1, 2, 3, 5, 8, 10]
     assert stop_order([("web", "db"), ("job", "db"), ("db", "disk")], ["web", "job", "db", "disk"]) == ["job", "web", "db", "disk"]
+
+
+def test_one_key_with_a_million_rows(spark):
+    """Folds take time in proportion to a key's rows."""
+    rows = spark.range(1_000_000).select(F.lit(1).cast("long").alias("key"), (F.col("id") * 1000).alias("us"), F.col("id").alias("seq"), (F.col("id") % 40 + 1).alias("size"), (F.col("id") % 3 > 0).alias("ok"))
+    checks = [
+        lambda: flow.batches(rows, ["key"], "us", "size", 100, 10**9, 10**9).count() == 10_000,
+        lambda: flow.token_bucket(rows, ["key"], "us", "seq", 1.0, 3.0).filter("allowed").count() == 1_002,
+        lambda: flow.coalesced(rows, ["key"], "us", 1_000_000).agg(F.sum("updates")).first()[0] == 1_000_000,
+        lambda: flow.first_seen(rows, "key", "us", 1_000_000, "seq").count() == 1_000,
+        lambda: flow.breaker(rows, ["key"], "us", 2, 10).first().state == "CLOSED",
+    ]
+    for check in checks:
+        begun = time.time()
+        assert check()
+        assert time.time() - begun < 60
+
+
+@pytest.mark.parametrize("policy", ("drop-oldest", "drop-newest", "reject"))
+def test_queue_flushes(spark, policy):
+    rng = random.Random(4)
+    rows = [(k % 3, k, rng.choice(["put", "put", "put", "put", "flush", "failed-flush"])) for k in range(300)]
+    want = []
+    for key in range(3):
+        queue = []
+        for _, k, what in (r for r in rows if r[0] == key):
+            if what == "flush":
+                want += [(key, q, "delivered", k) for q in queue]
+                queue = []
+            elif what == "put" and len(queue) < 4:
+                queue.append(k)
+            elif what == "put" and policy == "drop-oldest":
+                want.append((key, queue.pop(0), "dropped", k))
+                queue.append(k)
+            elif what == "put":
+                want.append((key, k, "dropped" if policy == "drop-newest" else "rejected", k))
+        want += [(key, q, "queued", None) for q in queue]
+    df = spark.createDataFrame([(a, b, b, c) for a, b, c in rows], "key long, us long, seq long, kind string")
+    got = [tuple(r) for r in flow.queue_flushes(df, ["key"], "us", "seq", "kind", 4, policy).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_urgent_messages_and_merged_updates(spark):
+    rows = spark.createDataFrame([("a", t, t, 10, t == 3) for t in range(6)], "key string, us long, seq long, size long, urgent boolean")
+    got = [tuple(r)[1:] for r in flow.batches(rows, ["key"], "us", "size", 3, 100, 100, F.col("urgent"), "seq").collect()]
+    assert sorted(got) == [(0, 3, 30), (3, 1, 10), (4, 2, 20)]
+    merged = flow.coalesced(rows, ["key"], "us", 3, "seq", lambda a, b: a + b, "long").collect()
+    assert sorted(tuple(r)[1:] for r in merged) == [(0, 3, 3), (3, 3, 12)]
+
+
+class Counts(flow.SharedState):
+    def apply(self, state, update):
+        return {**state, update: state.get(update, 0) + 1}
+
+    def serialize(self, state):
+        return json.dumps(state, sort_keys=True)
+
+
+def test_session_states(spark):
+    rows = spark.createDataFrame([(k % 2, k, "xyz"[k % 3]) for k in range(10)], "session long, seq long, item string")
+    got = {r.session: (r.updates, json.loads(r.state)) for r in flow.session_states(rows, "session", ["seq"], "item", Counts()).collect()}
+    assert got == {0: (5, {"x": 2, "y": 1, "z": 2}), 1: (5, {"x": 2, "y": 2, "z": 1})}
+    assert sorted((r.session, r.updates) for r in flow.session_states(rows, "session", ["seq"], "item", Counts(), every=2).collect()) == [(0, 2), (0, 4), (0, 5), (1, 2), (1, 4), (1, 5)]
+
+
+def test_capped_leases(spark):
+    claims = [("c", "r1", 0, "a"), ("c", "r2", 1, "a"), ("c", "r3", 2, "a"), ("c", "r3", 3, "b"), ("c", "r1", 4, "b"), ("c", "r1", 12, "b"), ("c", "r4", 13, "a")]
+    df = spark.createDataFrame(claims, "cluster string, range_id string, us long, node string")
+    got = sorted(tuple(r)[1:] for r in flow.capped_leases(df, "cluster", "range_id", "us", "node", 10, 2).collect())
+    assert got == [("r1", "b", 2, 22), ("r2", "a", 1, 11), ("r3", "b", 1, 13), ("r4", "a", 1, 23)]
+
+
+def test_snapshots_and_foreign_mutations(spark):
+    states = fold.lww_fold(spark.createDataFrame(changes(5), LOG))
+    snap = fold.exported(states, "n1", F.lit(7))
+    live = {r.entity_id: (r.owner, r.version) for r in states.filter("live").collect()}
+    assert {r.entity_id: (r.owner, r.version) for r in snap.collect()} == live
+    clock = states.agg(F.max("version")).first()[0]
+    back = fold.imported(snap, states.filter("version < 3")).collect()
+    assert {r.entity_id: (r.owner, r.version) for r in back} == live and {(r.live, r.clock) for r in back} == {(True, clock)}
+    e = sorted(live)[0]
+    tries = [(e, "CREATE", live[e][0]), (e, "UPDATE", live[e][0]), (e, "DELETE", "other"), ("nobody", "TRANSFER", "a"), ("nobody", "CREATE", "a")]
+    got = {tuple(r)[:3]: r.reason for r in fold.foreign_mutations(spark.createDataFrame(tries, "entity_id string, operation string, actor string"), states, "actor").collect()}
+    assert [got[t] for t in tries] == ["already exists", None, "not the owner", "not found", None]
