@@ -17,6 +17,8 @@ LEAST_WORDS, MOST_REPEATED_PERCENT = 50, 50
 #: or fewer different words a word (lines of some words only).
 SEPARATORS, SYMBOLS_A_WORD, CAPITALS, DIFFERENT = 0.2, 0.3, 0.7, 0.2
 SOME_WORDS = 4
+#: A phrase fails a line of so many words at most: in a longer one (a text without line ends is one line) it is a part of the text.
+PHRASE_WORDS = 60
 #: A document is rejected when its remaining lines hold less than this share of its words.
 LEAST_LEFT = 0.5
 # Phrases of boilerplate lines, in lower case.
@@ -36,9 +38,35 @@ def _table(characters: bytes) -> np.ndarray:
 
 _SYMBOL = _table(b"#*$%&|<>")
 _UPPER, _SMALL = _table(bytes(range(65, 91))), _table(bytes(range(97, 123)))
-#: Last bytes of what may end a sentence: . ! ? ; : ) " ' and the last bytes of » ” … in UTF-8.
-_END = _table(b".!?;:)\"'\xbb\x9d\xa6")
-_SEPARATOR = _table(b"|>/-=~_\xb7\xbb\xa2")
+#: What may end a sentence, and what stands alone between links: single bytes, and characters of several bytes.
+_END, _LONG_ENDS = _table(b".!?;:)\"'"), ("»", "”", "’", "…", "。", "！", "？")
+_SEPARATOR, _LONG_SEPARATORS = _table(b"|>/-=~_"), ("·", "»", "•", "›")
+#: Of the characters that UTF-8 writes in two bytes: is it a capital, is it another letter with case.
+_CAPITAL_OF_TWO = np.array([chr(c).isupper() for c in range(0x800)])
+_SMALL_OF_TWO = np.array([chr(c).islower() for c in range(0x800)])
+
+
+def _last_is(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, single: np.ndarray, several: tuple[str, ...]) -> np.ndarray:
+    """Is the last character of each (non-empty) span one of ``single`` (a byte table) or of ``several``?"""
+    found = single[data[ends - 1]]
+    for character in several:
+        code = character.encode()
+        fits = ends - starts >= len(code)
+        for k, byte in enumerate(reversed(code), 1):
+            fits &= data[np.maximum(ends - k, 0)] == byte
+        found |= fits
+    return found
+
+
+def _cases(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each byte: does it end a capital letter, does it end a letter that has case. ASCII and characters of two bytes."""
+    capital, small = _UPPER[data], _SMALL[data]
+    if len(data) > 1:
+        lead = data[:-1]
+        at = np.flatnonzero((lead >= 0xC2) & (lead <= 0xDF))
+        code = ((data[at].astype(np.int64) & 0x1F) << 6) | (data[at + 1] & 0x3F)
+        capital[at + 1], small[at + 1] = _CAPITAL_OF_TWO[code], _SMALL_OF_TWO[code]
+    return capital, capital | small
 
 
 def _sums(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -95,20 +123,20 @@ def judge(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 
     small = flat.lower(data)
     text, boilerplate = small.tobytes(), np.zeros(len(l_start), dtype=bool)
+    short = l_words <= PHRASE_WORDS
     for phrase in BOILERPLATE:
         at = text.find(phrase)
         while at >= 0:
             line = np.searchsorted(l_start, at, side="right") - 1
-            boilerplate[line] |= at + len(phrase) <= l_end[line]
+            boilerplate[line] |= short[line] and at + len(phrase) <= l_end[line]
             at = text.find(phrase, at + 1)
-    closing = _END[data[ends - 1]] if len(starts) else np.zeros(0, bool)
+    closing = _last_is(data, starts, ends, _END, _LONG_ENDS) if len(starts) else np.zeros(0, bool)
     closed = np.bincount(line_of_word[closing], minlength=len(l_start))
-    lone = (_sums(lead, starts, ends) == 1) & _SEPARATOR[data[ends - 1]] if len(starts) else np.zeros(0, bool)
+    alone = _sums(lead, starts, ends) == 1
+    lone = alone & _last_is(data, starts, ends, _SEPARATOR, _LONG_SEPARATORS) if len(starts) else np.zeros(0, bool)
     separators = np.bincount(line_of_word[lone], minlength=len(l_start))
     symbols = _sums(_SYMBOL[data], l_start, l_end)
-    c3 = np.concatenate([[False], data[:-1] == 0xC3]) if len(data) else np.zeros(0, bool)
-    capital = _UPPER[data] | (c3 & (data >= 0x80) & (data <= 0x9E))
-    letter = capital | _SMALL[data] | (c3 & (data >= 0x9F))
+    capital, letter = _cases(data)
     capitals, letters = _sums(capital, l_start, l_end), _sums(letter, l_start, l_end)
     _, seen = _repeats(names, line_of_word)
     different = l_words - np.bincount(line_of_word[seen], minlength=len(l_start))

@@ -47,3 +47,31 @@ def test_lines(frame):
     clash = frame({1: text}).selectExpr("*", "1 AS kept", "2 AS n_words", "3 AS clean_text")
     row = cleaned(clash).first()
     assert row.clean_text == f"{good}\n\nAnother fine line of words." and row.n_failed_lines == len(bad)
+
+
+def failed_lines(frame, *lines):
+    rows = cleaned(frame(dict(enumerate(lines)))).collect()
+    return [r.n_failed_lines for r in sorted(rows, key=lambda r: r.doc_id)]
+
+
+def test_characters_of_several_bytes(frame):
+    assert failed_lines(frame, "ce montant est dû au bailleur", "ce montant est du au bailleur", "il a dit « oui »", "he said “yes”", "and so on…", "plain dë") == [1, 1, 0, 0, 0, 1]
+    loud = "ВСЕ ЭТИ СЛОВА ГРОМКО НАПИСАНЫ."
+    assert failed_lines(frame, loud, loud.lower(), "ÀÉÎ ÕÜÇ ÀÉÎ ÒÙÈ.", "2 × 3 ÷ 4 × 5.", "àéî × ÷ ×ÕÜ õüç.") == [1, 0, 1, 0, 0]
+    assert failed_lines(frame, "one · two · three · four.", "one • two › three • four.", "one Ă two Ă three Ă four.") == [1, 1, 0]
+
+
+def test_a_phrase_in_a_long_line_is_text(frame):
+    words = " ".join(f"word{k}" for k in range(100))
+    assert failed_lines(frame, f"{words} about cookies.", "We use cookies.") == [0, 1]
+
+
+def test_lines_and_words_that_a_polynomial_confuses(frame):
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = {1: f"{word}\n{other}\n{word}", 2: f"{word} x y {other} x y {word} x y"}
+    for length in (1024, 4096):
+        cut = {i: t.replace(word, word[:length]).replace(other, other[:length]) for i, t in texts.items()}
+        assert result(frame(cut)) == {i: brute(t) for i, t in cut.items()}
