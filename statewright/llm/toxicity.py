@@ -1,10 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Words become symbols: insult (a stem of the lexicon), threat, target, negation, report, quote, other. Four small
-transducers read the symbols of a clause: one marks insults and threats that a negation governs, one those inside
-reported speech, one those aimed at a person, one lets the marks end with the clause. Their composition is one
-machine; each insult or threat that it reads leaves an arc label, and the labels of a clause, not its isolated
-words, carry the weights. The stems of the lexicon and the weights of the labels are learned from labelled rows.
+Words become symbols: insult (a stem of the lexicon), threat, intent, target, copula, filler, negation, report, quote, other.
+Five small transducers read the symbols of a clause. The insult machine finds insults said outright, described (a complete
+fool) or attributed (you are such a fool); the threat machine threats that are bare, intended (will ... hurt) or direct
+(hurt you); the negation machine marks what a negation governs, the reported-speech machine what stands in quotes or
+after a reporting verb, the target machine clauses that have a person as their target, unless that person is the one who
+reports. Their composition is one machine. A clause's best match (the heaviest word, then the stronger pattern) gives the
+clause its label and weight; clauses, not isolated words, are scored. The stems of the lexicon and the weights of the
+labels are learned from labelled rows.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ from statewright.llm.shared import Scratch, whole_text
 
 #: Labelled rows that the model is fitted on at most (by expectation; a hash of the doc_id picks them).
 TRAIN_ROWS = 24_000
-#: Stems of the learned lexicon at most.
-STEMS = 4_000
 #: A stem must follow so many different words in toxic rows, and be so many times as frequent there.
 CONTEXTS, RATIO = 6, 15.0
 SHORTEST, LONGEST = 3, 8
@@ -34,16 +35,48 @@ INSULTS = "idiot moron loser scum trash stupid pathetic worthless disgusting clo
 THREATS = "kill hurt destroy beat attack burn punish töten schlagen vernichten tuer frapper détruire matar golpear destruir".split()
 TARGETS = "you your yours yourself they them he she him her du dich dir dein ihr euch sie tu toi te vous votre ils elle tú usted ustedes vosotros ellos ella".split()
 NEGATIONS = "not never no neither nor isn't aren't don't nicht kein keine nie niemals ne pas jamais aucun nunca jamás ningún tampoco".split()
+COPULAS = "are is am were was be 're 's bist ist seid sind es est êtes sont eres sois son soy".split()
+FILLERS = "a an the such so really very complete total absolute ein eine einen so total wirklich sehr un une le la si tellement très vraiment una el tan muy realmente".split()
+INTENTS = "will shall gonna going want wanna let must should werde werden wirst will vais va allons veux voy vamos quiero debes".split()
 REPORTS = "said says saying called calls wrote writes claimed quoted reported sagte sagt schrieb nannte dit écrit appelé déclaré dijo dice escribió llamó".split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(7)
-#: Words that a negation governs.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE, COPULA, FILLER, INTENT = range(10)
+#: Words that a negation governs, and words after an intent in which a threat is intended.
 REACH = 3
-_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;:\n]+|[\"“”«»„]")
+#: Strengths of a match: an insult is outright, described or attributed; a threat is bare, intended or direct.
+OUTRIGHT, DESCRIBED, ATTRIBUTED = BARE, INTENDED, DIRECT = 1, 2, 3
+_TOKEN = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|'[^\W\d_]+|[.!?;:\n]+|[\"“”«»„]")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _BREAK = frozenset(".!?;:\n")
 
 
+def _insults(state: int, symbol: int) -> tuple[int, int]:
+    """States: 0 nothing, 1 after a target, 2 in what is said of a target, 3 in a description."""
+    if symbol == INSULT:
+        return (2, ATTRIBUTED) if state in (1, 2) else (3, DESCRIBED if state == 3 else OUTRIGHT)
+    if symbol == NEGATION:
+        return state, 0
+    if symbol == TARGET:
+        return 1, 0
+    if symbol == COPULA:
+        return (2 if state == 1 else 0), 0
+    if symbol == FILLER:
+        return (2 if state in (1, 2) else 3), 0
+    return 0, 0
+
+
+def _threats(state: int, symbol: int) -> tuple[int, int]:
+    """States: 0 nothing, 1 to REACH + 1 words left for an intent to find its threat, the last after a threat."""
+    after = REACH + 2
+    if symbol == INTENT:
+        return REACH + 1, 0
+    if symbol == THREAT:
+        return after, INTENDED if 0 < state < after else BARE
+    if state == after:
+        return (after if symbol == FILLER else 0), DIRECT if symbol == TARGET else 0
+    return max(0, state - 1), 0
+
+
 def _negation(state: int, symbol: int) -> tuple[int, int]:
     return (REACH, 0) if symbol == NEGATION else (max(0, state - 1), int(state > 0))
 
@@ -55,26 +88,51 @@ def _reported(state: int, symbol: int) -> tuple[int, int]:
 
 
 def _targeted(state: int, symbol: int) -> tuple[int, int]:
-    return (1 if symbol == TARGET else state), state
+    """States: 0 no target, 1 one that may turn out to be the subject of a report, 2 a target; it gives the state before."""
+    if state == 1 and symbol == REPORT:
+        return 0, 0
+    return (2 if state else int(symbol == TARGET)), state
 
 
 def compose(machines: list[tuple]) -> dict[tuple[tuple, int], tuple[tuple, tuple]]:
-    """The product of transducers (step function, states): (states, symbol) -> (states, marks)."""
+    """The product of transducers (step function, states): (states, symbol) -> (states, outputs)."""
     table = {}
     for states in product(*(range(n) for _, n in machines)):
-        for symbol in range(7):
+        for symbol in range(10):
             steps = [f(s, symbol) for (f, _), s in zip(machines, states, strict=True)]
             table[states, symbol] = tuple(s for s, _ in steps), tuple(m for _, m in steps)
     return table
 
 
-GRAMMAR = compose([(_negation, REACH + 1), (_reported, 3), (_targeted, 2)])
-START = (0, 0, 0)
-#: Arc labels: what was said (insult, threat), negated or not, reported or not, aimed at a target or not.
-LABELS = list(product((INSULT, THREAT), (0, 1), (0, 1), (0, 1)))
+GRAMMAR = compose([(_insults, 4), (_threats, REACH + 3), (_negation, REACH + 1), (_reported, 3), (_targeted, 3)])
+START = (0, 0, 0, 0, 0)
+#: Labels of a clause: insult or threat, its strength, negated or not, reported or not, aimed at a target or not.
+LABELS = list(product((INSULT, THREAT), (1, 2, 3), (0, 1), (0, 1), (0, 1)))
 _LABEL = {x: i for i, x in enumerate(LABELS)}
-#: Per label the log of 1 + its summed lexical weight; besides the log of 1 + clauses matched, of 1 + different stems, and matches per word.
-N_FEATURES = len(LABELS) + 3
+#: Per label the log of 1 + the summed weights of its clauses; besides the log of 1 + clauses matched, and their share.
+N_FEATURES = len(LABELS) + 2
+
+
+def matched(symbols: list[tuple[int, float]]) -> tuple[tuple, float] | None:
+    """(label, weight) of a clause, given as (symbol, lexical weight) of its words, or None where no pattern matches.
+
+    A direct threat has the weight of the threat word before its target.
+    """
+    state, found, threat = START, [], (0.0, 0, 0)
+    for symbol, weight in symbols:
+        state, (insult, threatens, negated, reported, _) = GRAMMAR[state, symbol]
+        if symbol == THREAT:
+            threat = (weight, negated, reported)
+        if insult:
+            found.append((weight, insult, INSULT, negated, reported))
+        if threatens == DIRECT:
+            found.append((threat[0], DIRECT, THREAT, threat[1], threat[2]))
+        elif threatens:
+            found.append((weight, threatens, THREAT, negated, reported))
+    if not found:
+        return None
+    weight, strength, kind, negated, reported = max(found)
+    return (kind, strength, negated, reported, int(state[4] > 0)), weight
 
 
 class Lexicon:
@@ -83,6 +141,7 @@ class Lexicon:
     def __init__(self, stems: dict[str, float]):
         self.stems = stems
         self.words = dict.fromkeys(TARGETS, (TARGET, 0.0)) | dict.fromkeys(NEGATIONS, (NEGATION, 0.0))
+        self.words |= dict.fromkeys(FILLERS, (FILLER, 0.0)) | dict.fromkeys(COPULAS, (COPULA, 0.0)) | dict.fromkeys(INTENTS, (INTENT, 0.0))
         self.words |= dict.fromkeys(REPORTS, (REPORT, 0.0)) | dict.fromkeys(THREATS, (THREAT, 2.0))
         self.words |= dict.fromkeys(INSULTS, (INSULT, 3.0))
         self.seen: dict[str, tuple[int, float]] = {}
@@ -102,39 +161,35 @@ def stems_of(word: str) -> list[str]:
     return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [word + "$"]
 
 
+def clauses(text: str, lexicon: Lexicon) -> Iterator[list[tuple[int, float]]]:
+    """The clauses of a text as (symbol, lexical weight) of their words; they end at . ! ? ; : and line ends."""
+    clause: list[tuple[int, float]] = []
+    for token in _TOKEN.findall(text.lower()):
+        if token[0] in _BREAK:
+            if clause:
+                yield clause
+            clause = []
+        else:
+            clause.append(lexicon.symbol(token) if token[0] not in '"“”«»„' else (QUOTE, 0.0))
+    if clause:
+        yield clause
+
+
 def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
     """The features of a text, or None where no clause matches."""
-    low = text.lower()
-    words = set(_WORD.findall(low))
-    if not any(lexicon.symbol(w)[0] in (INSULT, THREAT) for w in words):
+    if not any(lexicon.symbol(w)[0] in (INSULT, THREAT) for w in set(_WORD.findall(text.lower()))):
+        return None
+    out, n, hits = np.zeros(N_FEATURES), 0, 0
+    for clause in clauses(text, lexicon):
+        n += 1
+        hit = matched(clause)
+        if hit:
+            hits += 1
+            out[_LABEL[hit[0]]] += hit[1]
+    if not hits:
         return None
-    out, different, clauses, n_words, matches = np.zeros(N_FEATURES), set(), 0, 0, 0
-    pending: list[tuple[int, tuple, float]] = []
-    state = START
-
-    def close() -> None:
-        nonlocal clauses
-        aimed = state[2]
-        for symbol, marks, weight in pending:
-            out[_LABEL[symbol, marks[0], marks[1], aimed]] += weight
-        clauses += bool(pending)
-        pending.clear()
-
-    for token in _TOKEN.findall(low):
-        if token[0] in _BREAK:
-            close()
-            state = START
-            continue
-        symbol, weight = lexicon.symbol(token) if token[0] not in '"“”«»„' else (QUOTE, 0.0)
-        state, marks = GRAMMAR[state, symbol]
-        n_words += 1
-        if symbol in (INSULT, THREAT):
-            pending.append((symbol, marks, weight))
-            different.add(token)
-            matches += 1
-    close()
     out[: len(LABELS)] = np.log1p(out[: len(LABELS)])
-    out[len(LABELS) :] = math.log1p(clauses), math.log1p(len(different)), matches / max(1, n_words)
+    out[len(LABELS) :] = math.log1p(hits), hits / n
     return out
 
 
@@ -171,7 +226,7 @@ def _stems(train: DataFrame, scratch: Scratch) -> dict[str, float]:
     used = used.select(F.explode(F.expr(stems)).alias("stem"), "t", "o").groupBy("stem").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
     rate = (F.col("t") / sizes[1]) / ((F.col("o") + 0.5) / sizes[0])
     found = used.filter(F.col("t") >= CONTEXTS).withColumn("rate", rate).filter(F.col("rate") >= RATIO)
-    found = found.join(contexts.filter(F.col("contexts") >= CONTEXTS), "stem").orderBy(F.desc("t"), "stem").limit(STEMS)
+    found = found.join(contexts.filter(F.col("contexts") >= CONTEXTS), "stem")  # of the bounded sample, so they are few
     found = {r.stem: (r.t, min(6.0, math.log(r.rate))) for r in found.select("stem", "t", "rate").collect()}
     return {s: w for s, (t, w) in found.items() if not any(c != s and c.startswith(s) and found[c][0] >= 0.95 * t for c in found)}
 
@@ -191,8 +246,14 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-#: Weights where there are no labels to learn from: plain insults and aimed threats count, negated or reported ones little.
-UNTRAINED = np.array([0.0 if x == THREAT and not aimed else 0.3 if neg or rep else 1.2 for x, neg, rep, aimed in LABELS] + [0.5, 0.5, 0.0, -4.0])
+def _plain(kind: int, strength: int, negated: int, reported: int, aimed: int) -> float:
+    if kind == THREAT and strength == BARE and not aimed:
+        return 0.0
+    return 0.3 if negated or reported else 1.0 + 0.2 * strength
+
+
+#: Weights where there are no labels to learn from: insults and threats count by their strength, negated or reported ones little.
+UNTRAINED = np.array([*(_plain(*label) for label in LABELS), 1.0, 0.5, -4.0])
 
 
 class Model:

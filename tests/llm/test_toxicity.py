@@ -1,3 +1,5 @@
+import random
+import re
 import zlib
 
 import numpy as np
@@ -13,14 +15,61 @@ def test_grammar_marks():
         return [] if got is None else [T.LABELS[i] for i in np.flatnonzero(got[: len(T.LABELS)])]
 
     assert labels("a calm line.") == []
-    assert labels("what an idiot.") == [(T.INSULT, 0, 0, 0)]
-    assert labels("you are an idiot") == [(T.INSULT, 0, 0, 1)]
-    assert labels("not an idiot") == [(T.INSULT, 1, 0, 0)]
-    assert labels("not one of the many here is an idiot") == [(T.INSULT, 0, 0, 0)]
-    assert labels("he said idiot") == [(T.INSULT, 0, 1, 1)]
-    assert labels('the word "idiot" here') == [(T.INSULT, 0, 1, 0)]
-    assert labels("you. an idiot") == [(T.INSULT, 0, 0, 0)]
-    assert labels("will hurt you") == [(T.THREAT, 0, 0, 1)]
+    assert labels("idiot.") == [(T.INSULT, T.OUTRIGHT, 0, 0, 0)]
+    assert labels("what an idiot.") == labels("a complete idiot") == [(T.INSULT, T.DESCRIBED, 0, 0, 0)]
+    assert labels("you are such an idiot") == labels("you stupid idiot") == [(T.INSULT, T.ATTRIBUTED, 0, 0, 1)]
+    assert labels("you are not an idiot") == [(T.INSULT, T.ATTRIBUTED, 1, 0, 1)]
+    assert labels("not an idiot") == [(T.INSULT, T.DESCRIBED, 1, 0, 0)]
+    assert labels("not one of the many here is an idiot") == [(T.INSULT, T.DESCRIBED, 0, 0, 0)]
+    assert labels("he said idiot") == [(T.INSULT, T.OUTRIGHT, 0, 1, 0)]  # who reports is no target
+    assert labels("he said you are an idiot") == [(T.INSULT, T.ATTRIBUTED, 0, 1, 1)]
+    assert labels('the word "idiot" here') == [(T.INSULT, T.OUTRIGHT, 0, 1, 0)]
+    assert labels("you. an idiot") == [(T.INSULT, T.DESCRIBED, 0, 0, 0)]
+    assert labels("will soon hurt the dog") == [(T.THREAT, T.INTENDED, 0, 0, 0)]
+    assert labels("will hurt you") == [(T.THREAT, T.DIRECT, 0, 0, 1)]
+    assert labels("hurt feelings") == [(T.THREAT, T.BARE, 0, 0, 0)]
+    assert labels("idiot. idiot. you are a moron") == [(T.INSULT, T.OUTRIGHT, 0, 0, 0), (T.INSULT, T.ATTRIBUTED, 0, 0, 1)]
+
+
+SIGNS = "oityn" + "rqcfw"
+
+
+def enumerated(clause):
+    """All matches of a clause by regular expressions over its symbols, without the machines; the best one."""
+    text = "".join(SIGNS[s] for s, _ in clause)
+    found = []
+
+    def marks(p):
+        inside, rest = text[:p].count("q") % 2, text[:p].rpartition("q")[2]
+        return int("n" in text[max(0, p - 3) : p]), int(bool(inside or "r" in rest))
+
+    for p, sign in enumerate(text):
+        before = text[:p]
+        if sign == "i":
+            attributed = re.search(r"yn*(?:[cfi][fin]*)?$", before)
+            strength = T.ATTRIBUTED if attributed else T.DESCRIBED if re.search(r"[fi][fin]*$", before) else T.OUTRIGHT
+            found.append((clause[p][1], strength, T.INSULT, *marks(p)))
+        if sign == "t":
+            found.append((clause[p][1], T.INTENDED if re.search(r"w[^wt]{0,3}$", before) else T.BARE, T.THREAT, *marks(p)))
+            direct = re.match(r"tf*y", text[p:])
+            if direct:
+                found.append((clause[p][1], T.DIRECT, T.THREAT, *marks(p)))
+    if not found:
+        return None
+    weight, strength, kind, negated, reported = max(found)
+    return (kind, strength, negated, reported, int(bool(re.search(r"y(?!r)", text)))), weight
+
+
+def test_composed_machine_equals_an_enumeration_of_paths():
+    rng = random.Random(2)
+    hits = 0
+    for _ in range(30_000):
+        common = rng.choice((range(10), (0, 1, 3, 7, 8, 4), (0, 2, 3, 9, 8, 5)))
+        clause = [(s := rng.choice(common), float(rng.randrange(1, 4)) if s in (T.INSULT, T.THREAT) else 0.0) for _ in range(rng.randrange(1, 12))]
+        got = T.matched(clause)
+        assert got == enumerated(clause)
+        hits += got is not None
+    assert hits > 10_000
 
 
 def test_held_out_accuracy(spark):
