@@ -2,14 +2,16 @@
 
 Layout of a folder: ``part-NNNNN-<attempt>.ids`` holds the ids of one partition's documents one after another, as
 unsigned integers of 2 bytes (4 where the vocabulary needs them); ``.docs`` the doc_id of each document and ``.ends``
-the number of ids up to its end, counted over all partitions, both as 64-bit little-endian integers. Partitions
-follow doc_id, and the base of each is the prefix sum of the sizes before it, so part files in the order of their
-numbers are one stream. Files on a local or mounted path are memory-mapped when they are read.
+the number of ids up to its end, counted over all partitions, both as 64-bit little-endian integers. ``manifest.json``
+lists the parts in order, with documents, base and bytes of an id; it is written last, so a folder that has it is whole.
+Partitions follow doc_id, and the base of each is the prefix sum of the sizes before it, so part files in the order of
+the manifest are one stream. Files on a local or mounted path are memory-mapped when they are read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 import zlib
@@ -30,6 +32,8 @@ from statewright.llm.shared import partitions, shared_folder, whole_text
 
 #: Different words, and pieces between spaces, that a Python worker remembers.
 REMEMBERED = 500_000
+#: The file that lists the parts.
+MANIFEST = "manifest.json"
 # Fixed value: how byte-level tokenizers cut a text into words.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -116,12 +120,23 @@ def _at(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int) -> list[tuple[str, int, int]]:
-    """Writes the token files of ``docs`` in ascending doc_id and returns (name, documents, base) of each part.
+def _each_part(spark: SparkSession, parts: list[dict], work: Callable[[dict], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """What ``work`` gives for each part, one task a part; the list of parts has a row a partition."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                yield from work(parts[k])
+
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(task, schema)
+
+
+def write(docs: DataFrame, path: str, folder: str, end_id: int) -> None:
+    """Writes the token files of ``docs`` in ascending doc_id: ids, docs and ends of each part, then the manifest.
 
     Each document's ids are followed by ``end_id``. A null or empty text has that id alone. Documents of equal doc_id
     (repeated rows) follow each other. Rows without a doc_id are left out. An empty table gives no part. A part that
-    a repeated attempt writes has a name of its own; only the parts of the result count.
+    a repeated attempt writes has a name of its own; only the parts of the manifest count.
     """
     spark = docs.sparkSession
     with open(path, "rb") as f:
@@ -133,72 +148,88 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int) -> list[tuple[st
         context, cache = TaskContext.get(), cache_of(spec.value)
         end = np.array([end_id], dtype=cache.kind).tobytes()
         fs, at = _at(folder)
-        name, ids, lengths, total = f"part-{context.partitionId():05d}-{uuid.uuid4().hex[:8]}", [], [], 0
-        out = None
+        name, n_docs, total, out = f"part-{context.partitionId():05d}-{uuid.uuid4().hex[:8]}", 0, 0, []
         for batch in batches:
-            if out is None and batch.num_rows:
-                out = fs.open_output_stream(f"{at}/{name}.ids")
-            ids.append(batch.column("doc_id").to_numpy())
+            if not batch.num_rows:
+                continue
+            if not out:
+                out = [fs.open_output_stream(f"{at}/{name}.{kind}") for kind in ("ids", "docs", "own")]
+            lengths = []
             for found in cache.encode(batch.column("text").to_pylist()):
-                out.write(found + end)
+                out[0].write(found + end)
                 lengths.append(len(found) // cache.kind.itemsize + 1)
-        if out is None:
-            return
-        out.close()
-        total = int(sum(lengths))
-        with fs.open_output_stream(f"{at}/{name}.docs") as f:
-            f.write(np.concatenate(ids).astype("<i8").tobytes())
-        with fs.open_output_stream(f"{at}/{name}.lengths") as f:
-            f.write(np.array(lengths, dtype="<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "name": [name], "docs": [len(lengths)], "size": [total], "wide": [cache.kind.itemsize]})
+            ends = total + np.cumsum(lengths)
+            out[1].write(batch.column("doc_id").to_numpy().astype("<i8").tobytes())
+            out[2].write(ends.astype("<i8").tobytes())
+            n_docs, total = n_docs + len(lengths), int(ends[-1])
+        if out:
+            for stream in out:
+                stream.close()
+            yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "name": [name], "docs": [n_docs], "size": [total], "wide": [cache.kind.itemsize]})
 
     ordered = whole_text(docs).repartitionByRange(max(partitions(spark), 8), "doc_id").sortWithinPartitions("doc_id", "text")
-    parts = sorted(ordered.mapInArrow(task, "part long, name string, docs long, size long, wide long").collect())
-    bases, manifest = 0, []
-    for p in parts:
-        manifest.append((p.name, p.docs, bases, p.wide))
-        bases += p.size
-    return manifest
-
-
-def read(spark: SparkSession, folder: str, manifest: list[tuple[str, int, int, int]]) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; writes each part's 64-bit ends on the way."""
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not manifest:
+    found = sorted(ordered.mapInArrow(task, "part long, name string, docs long, size long, wide long").collect())
+    bases = np.concatenate([[0], np.cumsum([p.size for p in found])]).tolist()
+    parts = [{"name": p.name, "docs": p.docs, "base": int(base), "wide": p.wide} for p, base in zip(found, bases, strict=False)]
+
+    def shift(part: dict) -> Iterator[pa.RecordBatch]:
+        """The ends within the part, plus its base."""
+        fs, at = _at(folder)
+        file = f"{at}/{part['name']}"
+        with fs.open_input_file(f"{file}.own") as own, fs.open_output_stream(f"{file}.ends") as out:
+            while piece := own.read(1 << 20):
+                out.write((np.frombuffer(piece, dtype="<i8") + part["base"]).astype("<i8").tobytes())
+        yield pa.RecordBatch.from_pydict({"done": [part["docs"]]})
+
+    if parts:
+        _each_part(spark, parts, shift, "done long").collect()
+        for part in parts:
+            fs.delete_file(f"{at}/{part['name']}.own")
+    with fs.open_output_stream(f"{at}/{MANIFEST}") as f:
+        f.write(json.dumps({"parts": parts, "end_id": end_id}, indent=0).encode())
+
+
+def manifest(folder: str) -> list[dict]:
+    """The parts of a folder: name, docs, base, wide."""
+    fs, at = _at(folder)
+    with fs.open_input_file(f"{at}/{MANIFEST}") as f:
+        return json.loads(f.read())["parts"]
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document of a folder, from its files."""
+    schema, parts = "doc_id long, start long, n_tokens long, ids_crc32 long", manifest(folder)
+    if not parts:
         return spark.createDataFrame([], schema)
 
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def work(part: dict) -> Iterator[pa.RecordBatch]:
         fs, at = _at(folder)
-        for batch in batches:
-            for part in batch.to_pylist():
-                file = f"{at}/{part['name']}"
-                with fs.open_input_file(f"{file}.docs") as f:
-                    docs = np.frombuffer(f.read(), dtype="<i8")
-                with fs.open_input_file(f"{file}.lengths") as f:
-                    ends = np.cumsum(np.frombuffer(f.read(), dtype="<i8"))
-                with fs.open_output_stream(f"{file}.ends") as f:
-                    f.write((ends + part["base"]).astype("<i8").tobytes())
-                kind = np.dtype(f"<u{part['wide']}")
-                if isinstance(fs, pafs.LocalFileSystem):
-                    ids = np.memmap(f"{file}.ids", dtype=kind, mode="r")
-                else:
-                    with fs.open_input_file(f"{file}.ids") as f:
-                        ids = np.frombuffer(f.read(), dtype=kind)
-                for low in range(0, len(docs), 10_000):
-                    high = ends[low : low + 10_000]
-                    starts = np.concatenate([[ends[low - 1] if low else 0], high[:-1]])
-                    sums = [zlib.crc32(ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts, high, strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(docs[low : low + 10_000]), pa.array(starts + part["base"]), pa.array(high - starts), pa.array(sums, pa.int64())],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
-
-    parts = spark.createDataFrame(manifest, "name string, docs long, base long, wide long")
-    return parts.repartition(len(manifest), F.col("name")).mapInArrow(task, schema)
+        file, base = f"{at}/{part['name']}", part["base"]
+        kind = np.dtype(f"<u{part['wide']}")
+        local = isinstance(fs, pafs.LocalFileSystem)
+
+        def opened(name: str, dtype: np.dtype | str) -> np.ndarray:
+            if local:
+                return np.memmap(f"{file}.{name}", dtype=dtype, mode="r")
+            with fs.open_input_file(f"{file}.{name}") as f:
+                return np.frombuffer(f.read(), dtype=dtype)
+
+        docs, ends, ids = opened("docs", "<i8"), opened("ends", "<i8"), opened("ids", kind)
+        for low in range(0, len(docs), 10_000):
+            high = np.array(ends[low : low + 10_000])
+            starts = np.concatenate([[ends[low - 1] if low else base], high[:-1]])
+            sums = [zlib.crc32(ids[s - base : e - base].astype("<u4").tobytes()) for s, e in zip(starts, high, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(docs[low : low + 10_000])), pa.array(starts), pa.array(high - starts), pa.array(sums, pa.int64())],
+                names=["doc_id", "start", "n_tokens", "ids_crc32"],
+            )
+
+    return _each_part(spark, parts, work, schema)
 
 
 def written_and_read(docs: DataFrame, path: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
     """The documents' places and checksums as the files have them; the files stay in ``folder``, by default a new shared one."""
     spark = docs.sparkSession
     folder = folder or f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex[:12]}"
-    return read(spark, folder, write(docs, path, folder, end_id))
+    write(docs, path, folder, end_id)
+    return read(spark, folder)

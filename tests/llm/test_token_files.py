@@ -42,11 +42,16 @@ def test_odd_rows(frame, library):
 
 def test_files_are_one_stream(frame, library, tmp_path):
     texts = {i: f"text number {i} " * (i % 7) for i in range(500)}
-    manifest = T.write(frame(texts), PATH, str(tmp_path / "out"), 2)
-    T.read(frame({}).sparkSession, str(tmp_path / "out"), manifest).count()
-    read = lambda x, kind: np.concatenate([np.fromfile(tmp_path / "out" / f"{m[0]}.{x}", kind) for m in manifest])
+    T.write(frame(texts), PATH, str(tmp_path / "out"), 2)
+    before = {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir() if f.is_file()}
+    manifest = T.manifest(str(tmp_path / "out"))
+    assert {n.rpartition(".")[2] for n in before if not n.startswith(".")} == {"ids", "docs", "ends", "json"}
+    read = lambda x, kind: np.concatenate([np.fromfile(tmp_path / "out" / f"{m['name']}.{x}", kind) for m in manifest])
     ids, docs, ends = read("ids", "<u2"), read("docs", "<i8"), read("ends", "<i8")
     assert docs.tolist() == sorted(texts) and ends[-1] == len(ids)
     for i in (0, 13, 499):
         start = ends[i - 1] if i else 0
         assert ids[start : ends[i]].tolist() == [*library.encode(texts[i], add_special_tokens=False).ids, 2]
+    found = T.read(frame({}).sparkSession, str(tmp_path / "out"))
+    assert found.count() == found.count() == 500  # a reader leaves the files as they are
+    assert {f.name: f.read_bytes() for f in (tmp_path / "out").iterdir() if f.is_file()} == before
