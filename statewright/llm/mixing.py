@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewright.llm.shared import partitions
+from statewright.llm.shared import Scratch, partitions
 
-#: Sources of which the rate table is small enough to send to every task; with more, it is joined by key, salted.
-SENT_SOURCES, SALTS = 10_000, 16
+#: Bytes of a rate table that is sent to every task; a larger one is joined by key, salted.
+SENT_BYTES, SALTS = 8 << 20, 16
+#: The distribution is listed within so many deviations of its mean, and so many counts more.
+DEVIATIONS, MORE = 12, 40
+#: Random orders are numbers below this.
+ORDERS = 1 << 52
 
 
 def unit(*parts: Column | str) -> Column:
@@ -22,11 +26,12 @@ def unit(*parts: Column | str) -> Column:
 
 
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, rate: float = 1.0) -> DataFrame:
-    """_source, lam, cdf: the mean repetitions that give each source its share, and the Poisson distribution of that mean.
+    """_source, lam, low, cdf: the mean repetitions that give each source its share, and the Poisson distribution of that mean
+    from the count ``low`` on.
 
     A source's share is its weight, or by default its row count to the power ``temperature``, over the sum of all;
     ``rate`` is the size of the result over that of ``docs``. Sources without a weight get none of it.
-    The distribution is listed until its tail is below 2**-52.
+    The distribution is listed where it rises: both tails left out are below 2**-52, so a list grows with the root of the mean.
     """
     counts = docs.groupBy(F.coalesce("source", F.lit("")).alias("_source")).agg(F.count("*").alias("n"))
     if weights is None:
@@ -38,12 +43,14 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature:
     lam = F.when(F.col("w") > 0, F.col("all_n") * (F.col("w") / F.col("all_w")) / F.col("n") * F.lit(rate)).otherwise(0.0)
     lam = counts.join(F.broadcast(total)).select("_source", lam.alias("lam"))
     up_to = Window.partitionBy("_source").orderBy("k")
-    steps = lam.withColumn("k", F.explode(F.expr("sequence(0L, cast(ceil(lam + 12 * sqrt(lam) + 40) AS bigint))")))
+    steps = lam.withColumn("k", F.explode(F.expr(f"sequence(0L, cast(ceil(lam + {DEVIATIONS} * sqrt(lam) + {MORE}) AS bigint))")))
     steps = steps.withColumn("lf", F.sum(F.log(F.greatest("k", F.lit(1)))).over(up_to))
     p = F.when(F.col("lam") > 0, F.exp(-F.col("lam") + F.col("k") * F.log("lam") - F.col("lf"))).otherwise(1.0)
     steps = steps.withColumn("cdf", F.sum(p).over(up_to))
+    low = F.greatest(F.lit(0).cast("long"), F.floor(F.col("lam") - DEVIATIONS * F.sqrt("lam") - MORE))
+    steps = steps.withColumn("low", low).filter(F.col("k") >= F.col("low"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "cdf"))), lambda s: s.cdf)
-    return steps.groupBy("_source").agg(F.first("lam").alias("lam"), listed.alias("cdf"))
+    return steps.groupBy("_source").agg(F.first("lam").alias("lam"), F.first("low").alias("low"), listed.alias("cdf"))
 
 
 def replicated(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, rate: float = 1.0, seed: int = 17) -> DataFrame:
@@ -54,19 +61,24 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, tempera
     shuffle_key are replaced.
     """
     names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
-    table = rates(docs, weights, temperature, rate).select("_source", F.col("cdf").alias("_cdf"))
+    spark = docs.sparkSession
+    table = Scratch(spark, "mixing").table(rates(docs, weights, temperature, rate).select("_source", F.col("low").alias("_low"), F.col("cdf").alias("_cdf")), "rates")
+    sent = table.agg(F.coalesce(F.sum(8 * F.size("_cdf") + F.length("_source") + 64), F.lit(0))).first()[0]
     own = docs.select(*names, F.coalesce("source", F.lit("")).alias("_source"))
-    if table.count() <= SENT_SOURCES:
+    if sent <= SENT_BYTES:
         own = own.join(F.broadcast(table), "_source")
     else:
         own = own.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
         own = own.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["_source", "_salt"])
     point = unit("doc_id", F.lit(str(seed)))
-    n = F.size(F.filter("_cdf", lambda c: c <= point))
+    n = (F.col("_low") + F.size(F.filter("_cdf", lambda c: c <= point))).cast("int")
     copies = own.withColumn("_n", n).filter("_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    key = (unit("doc_id", "copy", F.lit(f"{seed}:order")) * F.lit(float(1 << 52))).cast("long")
+    key = (unit("doc_id", "copy", F.lit(f"{seed}:order")) * F.lit(float(ORDERS))).cast("long")
+    parts = max(partitions(spark), 8)
     keyed = copies.withColumn("shuffle_key", key)
-    return keyed.repartitionByRange(max(partitions(docs.sparkSession), 8), "shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    # Keys are spread evenly, so ranges of equal width are even partitions, and no sample has to be drawn first.
+    width = -(-ORDERS // parts)
+    return keyed.repartitionById(parts, F.expr(f"cast(shuffle_key div {width} AS int)")).sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 #: DuckDB SQL for replicated(documents) with its default parameters.

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+from statewright.llm import mixing
 from statewright.llm.mixing import rates, replicated, unit
 
 
@@ -34,3 +35,19 @@ def test_large_rates_and_odd_rows(frame):
     rows = replicated(docs, rate=800.0).collect()
     assert abs(len(rows) - 4000) < 400 and any(r.source is None for r in rows)
     assert replicated(frame({})).count() == 0
+
+
+def test_salted_join_gives_the_same_rows(frame, monkeypatch):
+    docs = frame({i: f"t{i}" for i in range(2000)}).selectExpr("doc_id", "text", "concat('s', doc_id % 37) AS source")
+    sent = replicated(docs, rate=2.5).collect()
+    monkeypatch.setattr(mixing, "SENT_BYTES", 0)
+    assert replicated(docs, rate=2.5).collect() == sent and len(sent) > 4000
+
+
+def test_a_rare_source_has_a_short_list(frame):
+    docs = frame({i: "t" for i in range(2000)}).selectExpr("doc_id", "text", "if(doc_id = 7, 'rare', 'big') AS source")
+    given = {r._source: r for r in rates(docs, weights={"rare": 1.0, "big": 1.0}, rate=50.0).collect()}
+    assert given["rare"].lam == 50_000 and given["rare"].low > 40_000 and len(given["rare"].cdf) < 6_000
+    assert given["big"].low == 0 and 1 - given["rare"].cdf[-1] < 1e-9
+    n = replicated(docs, weights={"rare": 1.0, "big": 1.0}, rate=50.0).filter("doc_id = 7").count()
+    assert abs(n - 50_000) < 1_500
