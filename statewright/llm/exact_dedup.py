@@ -49,8 +49,8 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     equal texts give one row here and count one by one in group_size; the same doc_id with different texts
     gives a row for each. Rows without a doc_id are left out. An empty table gives an empty result.
 
-    The text crosses the network once, after equal blocks of a task have been merged; all further rounds
-    move integers. Hot groups: names are joined back by sort-merge joins, which Spark splits where one key is hot.
+    Texts are read and cut once and written as blocks; these cross the network once, after equal blocks of a task have
+    been merged, and all further rounds move integers. Hot groups: names are joined back by sort-merge joins, which Spark splits where one key is hot.
     """
     spark = docs.sparkSession
     scratch, spread = Scratch(spark, "exact-dedup"), max(64, partitions(spark))
@@ -62,7 +62,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
     for salt in range(8):
         # The fingerprint stands for the block's bytes only if it is one-to-one on this corpus: that is checked on the bytes.
-        blocks = _blocks(rows, salt)
+        blocks = scratch.table(_blocks(rows, salt), f"cut-{salt}")  # read twice: with the bytes to check, without them to name
         seen = blocks.select("h1", "h2", "block").distinct().groupBy("h1", "h2").agg(F.count("*").alias("variants"))
         seen = scratch.table(seen, f"blocks-{salt}")
         if seen.filter("variants > 1").isEmpty():
@@ -74,6 +74,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     # Repeated rows are one from here on: each of their blocks comes as often as the row does.
     current = current.groupBy("doc_id", "text_sha256", "n_blocks", "k", "name").agg(F.count("*").alias("rows"))
     current = scratch.table(current, "names-0")
+    scratch.drop(f"cut-{salt}")
     most = current.agg(F.max("n_blocks")).first()[0] or 1
     done, level = [], 0
     while True:
