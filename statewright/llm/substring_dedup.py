@@ -3,7 +3,8 @@
 A difference cover of a period P is a set of residues such that any two positions i, j have a shift d < P that puts
 i + d and j + d on the cover. So two equal word windows share an anchor, a shorter word run that starts on the cover,
 at the same offset in both. A window without an anchor that occurs elsewhere is unique; the anchors that do occur
-elsewhere are extended to the windows that hold them, which are compared in their full length.
+elsewhere are extended to the windows that hold them, which are compared in their full length by two 64-bit hashes of
+all their words.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from statewright.llm.shared import Scratch, whole_text
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 #: Hashes a task holds before it merges those of its own that repeat.
 HELD = 2_000_000
+#: Names of a place: anchors have the first, windows both.
+NAMES = ("h", "g")
 
 
 def cover_of(window: int) -> tuple[int, np.ndarray]:
@@ -33,29 +36,29 @@ def cover_of(window: int) -> tuple[int, np.ndarray]:
     return period, mask
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Rows (h, row, at, known) of the places a task has found.
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    """Rows (names..., row, at, known) of the places a task has found; a place is named by one hash or by two.
 
-    Places whose hash the task has seen twice are known to repeat; only the first of them still meets other tasks'
-    rows under that hash, the others travel under a hash of their own. So no hash gets more rows than there are tasks.
+    Places whose name the task has met twice are known to repeat; only the first of them still meets other tasks' rows
+    under that name, the others travel under a name of their own. So a name gets a row for each HELD hashes of a task.
     """
-    h, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(h, kind="stable")
-    h, row, at = h[order], row[order], at[order]
-    same = h[1:] == h[:-1]
-    known = np.zeros(len(h), dtype=bool)
+    *names, row, at = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.lexsort(names) if len(names) > 1 else np.argsort(names[0], kind="stable")
+    names, row, at = [n[order] for n in names], row[order], at[order]
+    same = np.logical_and.reduce([n[1:] == n[:-1] for n in names])
+    known = np.zeros(len(row), dtype=bool)
     known[1:] |= same
     known[:-1] |= same
-    own = np.zeros(len(h), dtype=bool)
+    own = np.zeros(len(row), dtype=bool)
     own[1:] = same
-    h = h.copy()
-    h[own] = flat.mixed(row[own].view(np.uint64) * np.uint64(flat.BASE) + at[own].astype(np.uint64))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(h.view(np.int64)), pa.array(row), pa.array(at.astype(np.int32)), pa.array(known)], names=["h", "row", "at", "known"]
-    )
+    apart = flat.mixed(row[own].view(np.uint64) * np.uint64(flat.BASE) + at[own].astype(np.uint64))
+    for k in range(len(names)):
+        names[k][own] = apart if k == 0 else flat.mixed(apart + np.uint64(k))
+    columns = [*(pa.array(n.view(np.int64)) for n in names), pa.array(row), pa.array(at.astype(np.int32)), pa.array(known)]
+    return pa.RecordBatch.from_arrays(columns, names=[*NAMES[: len(names)], "row", "at", "known"])
 
 
-def _sent(parts: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _sent(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for part in parts:
         held.append(part)
@@ -105,17 +108,18 @@ def _windows(window: int):
                 repeated[np.repeat(bounds[:-1], found.value_lengths().to_numpy()) + found.flatten().to_numpy()] = 1
                 n = np.diff(bounds)[doc]
                 before = np.concatenate([[0], np.cumsum(repeated)])
-                h = flat.window_hashes(flat.span_hashes(data, starts, ends), window)
+                words = flat.span_hashes(data, starts, ends)
+                h, g = flat.window_hashes(words, window), flat.window_hashes(flat.mixed(words ^ np.uint64(flat.SHIFT)), window)
                 at = np.arange(len(h))
                 use = (place[: len(h)] <= n[: len(h)] - window) & (before[at + period] > before[at])
-                yield h[use], keys[rows][doc[: len(h)][use]], place[: len(h)][use]
+                yield h[use], g[use], keys[rows][doc[: len(h)][use]], place[: len(h)][use]
 
     return lambda batches: _sent(parts(batches))
 
 
 def _repeating(found: DataFrame) -> DataFrame:
     """row, places of what occurs more than once."""
-    total = F.count("*").over(Window.partitionBy("h"))
+    total = F.count("*").over(Window.partitionBy(*[n for n in NAMES if n in found.columns]))
     return found.withColumn("n", total).filter("known OR n > 1").groupBy("row").agg(F.collect_set("at").alias("places"))
 
 
@@ -166,14 +170,16 @@ def without_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) -
     without a doc_id are left out; an empty table gives an empty result. Each row is one task's work: a single
     text, its words and hashes must fit in a task.
 
-    Two shuffles carry hashes (anchors at 5 of 21 positions, then only windows that may repeat), one the texts.
+    Two shuffles carry hashes (anchors at 5 of 21 positions, then only windows that may repeat), two the texts.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "substring-dedup")
     texts = whole_text(docs).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text"))
-    found = "h long, row long, at int, known boolean"
-    anchors = scratch.table(_repeating(texts.select("row", "text").mapInArrow(_anchors(window), found)), "anchors")
-    near = texts.join(anchors, "row").select("doc_id", "row", "text", "places")
-    windows = scratch.table(_repeating(near.mapInArrow(_windows(window), found)), "windows")
+    place = "row long, at int, known boolean"
+    anchors = scratch.table(_repeating(texts.select("row", "text").mapInArrow(_anchors(window), f"h long, {place}")), "anchors")
+    near = scratch.table(texts.join(anchors, "row").select("row", "text", "places"), "near")
+    windows = scratch.table(_repeating(near.mapInArrow(_windows(window), f"h long, g long, {place}")), "windows")
+    scratch.drop("near")
+    scratch.drop("anchors")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return texts.join(windows, "row", "left").select("doc_id", "text", "places").mapInArrow(_digests(window, with_text), schema)

@@ -50,3 +50,20 @@ def test_exact_lengths_and_odd_rows(frame):
     assert without_repeats(frame([])).count() == 0
     clash = frame(rows).selectExpr("*", "1 AS row", "2 AS places", "3 AS at")
     assert sorted(tuple(r) for r in without_repeats(clash, 35).collect()) == brute(rows, 35)
+
+
+@pytest.mark.parametrize("length", (1024, 4096))
+def test_words_that_a_polynomial_confuses(frame, length):
+    """Two texts of 35 words that differ in one Thue-Morse word share no window; with the same word they do."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    text = lambda w: " ".join([*(f"w{k}" for k in range(17)), w, *(f"v{k}" for k in range(17))])
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in without_repeats(frame({1: text(word), 2: text(other)})).collect()}
+    assert got == {1: (35, 0), 2: (35, 0)}
+    got = {r.doc_id: r.n_removed for r in without_repeats(frame({1: text(word), 2: text(other), 3: text(word)})).collect()}
+    assert got == {1: 35, 2: 0, 3: 35}
+    two = [" ".join("pq"[c == x] for c in word[:1024]) for x in "ab"]
+    texts = {1: two[0], 2: two[1]}
+    assert result(frame(texts), 700) == brute(list(texts.items()), 700)
