@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewright.llm.shared import Scratch, blanks_to_space, partitions, whole_text
+from statewright.llm.shared import Scratch, blanks_to_space, partitions, whole_row, whole_text
 
 #: Bytes of a block: most texts are a few blocks, and a very long one takes log2(length / BLOCK) rounds.
 BLOCK = 4096
@@ -105,10 +105,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Of rows without a doc_id, one stays for each text that no row with a doc_id has.
     """
     staying = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_own", F.sha2(blanks_to_space(F.coalesce(F.col("text"), F.lit(""))), 256))
-    once = Window.partitionBy("doc_id", "_own").orderBy("_own")
-    kept = own.join(staying, (F.col("doc_id") == F.col("_keep")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    unnamed = own.filter(F.col("doc_id").isNull())
+    own = docs.select(whole_row(docs), F.col("doc_id").alias("_id"), F.sha2(blanks_to_space(F.coalesce(F.col("text"), F.lit(""))), 256).alias("_own"))
+    once = Window.partitionBy("_id", "_own").orderBy("_own")
+    kept = own.join(staying, (F.col("_id") == F.col("_keep")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    unnamed = own.filter(F.col("_id").isNull())
     if not unnamed.isEmpty():
         kept = kept.unionByName(unnamed.join(staying, F.col("_own") == F.col("_sha"), "left_anti"))
-    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n", "_own")
+    return kept.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")

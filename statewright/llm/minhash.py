@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statewright.llm import flat
-from statewright.llm.shared import Scratch
+from statewright.llm.shared import Scratch, whole_row
 
 #: Two sets with a similarity of 0.8 miss a band of 6 with probability 0.74, and all 40 bands with 5e-6.
 BANDS, ROWS = 40, 6
@@ -367,7 +367,7 @@ def drop_near_copies(docs: DataFrame, size: int = 5, threshold: int = 80) -> Dat
     Rows without a doc_id are judged by their text like others, and come last in their group.
     """
     kept = _row_groups(_identified(docs), size, threshold).filter("kept").select(F.col("row").alias("_keep"))
-    own = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")))
-    once = Window.partitionBy("_row").orderBy("_row")
-    found = docs.withColumn("_row", own).join(kept, F.col("_row") == F.col("_keep"), "left_semi")
-    return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").drop("_n", "_row")
+    own = docs.select(whole_row(docs), F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))).alias("_own"))
+    once = Window.partitionBy("_own").orderBy("_own")
+    found = own.join(kept, F.col("_own") == F.col("_keep"), "left_semi")
+    return found.withColumn("_n", F.row_number().over(once)).filter("_n = 1").select("_row.*")

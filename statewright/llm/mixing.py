@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from statewright.llm.shared import Scratch, partitions
+from statewright.llm.shared import Scratch, partitions, whole_row
 
 #: Bytes of a rate table that is sent to every task; a larger one is joined by key, salted.
 SENT_BYTES, SALTS = 8 << 20, 16
@@ -60,25 +60,24 @@ def replicated(docs: DataFrame, weights: dict[str, float] | None = None, tempera
     equal doc_id are repeated alike, and a null doc_id counts as ''. An empty table gives an empty result. Columns called copy or
     shuffle_key are replaced.
     """
-    names = [c for c in docs.columns if c not in ("copy", "shuffle_key")]
     spark = docs.sparkSession
     table = Scratch(spark, "mixing").table(rates(docs, weights, temperature, rate).select("_source", F.col("low").alias("_low"), F.col("cdf").alias("_cdf")), "rates")
     sent = table.agg(F.coalesce(F.sum(8 * F.size("_cdf") + F.length("_source") + 64), F.lit(0))).first()[0]
-    own = docs.select(*names, F.coalesce("source", F.lit("")).alias("_source"))
+    own = docs.select(whole_row(docs, "copy", "shuffle_key"), F.col("doc_id").alias("_id"), F.coalesce("source", F.lit("")).alias("_source"))
     if sent <= SENT_BYTES:
         own = own.join(F.broadcast(table), "_source")
     else:
-        own = own.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        own = own.withColumn("_salt", F.pmod(F.xxhash64("_id"), F.lit(SALTS)))
         own = own.join(table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["_source", "_salt"])
-    point = unit("doc_id", F.lit(str(seed)))
+    point = unit("_id", F.lit(str(seed)))
     n = (F.col("_low") + F.size(F.filter("_cdf", lambda c: c <= point))).cast("int")
-    copies = own.withColumn("_n", n).filter("_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
-    key = (unit("doc_id", "copy", F.lit(f"{seed}:order")) * F.lit(float(ORDERS))).cast("long")
+    copies = own.withColumn("_n", n).filter("_n > 0").select("_row", "_id", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("copy"))
+    key = (unit("_id", "copy", F.lit(f"{seed}:order")) * F.lit(float(ORDERS))).cast("long")
     parts = max(partitions(spark), 8)
     keyed = copies.withColumn("shuffle_key", key)
     # Keys are spread evenly, so ranges of equal width are even partitions, and no sample has to be drawn first.
     width = -(-ORDERS // parts)
-    return keyed.repartitionById(parts, F.expr(f"cast(shuffle_key div {width} AS int)")).sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    return keyed.repartitionById(parts, F.expr(f"cast(shuffle_key div {width} AS int)")).sortWithinPartitions("shuffle_key", "_id", "copy").select("_row.*", "copy", "shuffle_key")
 
 
 #: DuckDB SQL for replicated(documents) with its default parameters.

@@ -202,12 +202,11 @@ def _places(texts: DataFrame, bits) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searched = _Searched(bits.value)
         for batch in batches:
-            out = [
-                (row, w, m.start(), m.end())
-                for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True)
-                for m in _TERM.finditer(text)
-                if searched(w := m.group().lower())
-            ]
+            out = []
+            for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                terms = {word: low for word in set(_TERM.findall(text)) if searched(low := word.lower())}
+                if terms:
+                    out += [(row, terms[m.group()], m.start(), m.end()) for m in _TERM.finditer(text) if m.group() in terms]
             columns = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int32()), strict=True)], names=["row", "term", "start", "end"])
 

@@ -59,6 +59,11 @@ def whole_text(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def whole_row(docs: DataFrame, *but: str) -> Column:
+    """_row: all columns of ``docs`` in one, so that whatever they are called, names of an operator's own do not clash."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in but]).alias("_row")
+
+
 def blanks_to_space(text: Column) -> Column:
     return F.regexp_replace(text, BLANK, " ")
 

@@ -1,8 +1,14 @@
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
-from statewright.llm.pii import KINDS, base_spans, findings, luhn, sanitised, terms_of
+from pyspark.sql import functions as F
+
+from statewright.llm import pii
+from statewright.llm.pii import GENERALISE, KINDS, REMOVE, SUPPORT, base_spans, entities_of, findings, luhn, sanitised, terms_of
+from statewright.llm.shared import Scratch, blanks_to_space, whole_text
 
 PATTERNS = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -94,6 +100,42 @@ def test_terms_anywhere_in_the_document(frame):
     assert terms_of("\u0130nan x_y \u00e9a@b.cd ef", base_spans("\u0130nan x_y \u00e9a@b.cd ef")) == {"\u0130nan".lower(), "x", "y", "ef"}
 
 
+def plain_terms(rows):
+    """term -> (disclosure, fate), from the same counts in plain Python."""
+    spaced = {re.sub(r"[\x20\x09-\x0D]+", " ", t or "").strip(" ").lower(): t or "" for _, t in rows}
+    terms = {k: terms_of(t, base_spans(t)) for k, t in spaced.items()}
+    own, docs, both = {}, Counter(x for v in terms.values() for x in v), Counter()
+    for k, t in spaced.items():
+        for e in entities_of(t, base_spans(t)):
+            own.setdefault(e, set()).add(k)
+    for e, where in own.items():
+        if len(where) >= SUPPORT:
+            both.update((e, x) for k in where for x in terms[k])
+    n, found = len(spaced), {}
+    for (e, x), c in both.items():
+        if c >= SUPPORT and len(own[e]) < n:
+            share = math.log2(n * c / (len(own[e]) * docs[x])) / math.log2(n / len(own[e]))
+            found[x] = max(share, found.get(x, -9.0))
+    return {x: (round(v, 9), "removed" if v >= REMOVE else "generalised") for x, v in found.items() if v >= GENERALISE}
+
+
+def test_terms_equal_a_plain_computation(documents, frame):
+    rng = random.Random(31)
+    word = lambda n=5: "".join(rng.choice("bcdfgklm") for _ in range(n))
+    rows = [(r.doc_id, r.text) for r in documents.collect()]
+    for i in range(12):  # long neighbours, words cut by nothing, a rare and a common companion
+        rows.append((10**6 + i, f"Marchetti {word(150)} {word()} {'sometimes' if i % 3 else 'always'} m.q@corp.example {word(150)} desk{i % 2}"))
+    rows += [(2 * 10**6 + i, f"{word()} sometimes {word()}") for i in range(4)]
+    for repeats in (1, 3):  # repeated rows change nothing
+        df = frame(rows * repeats)
+        same = F.xxhash64(F.lower(F.trim(blanks_to_space(F.col("text")))))
+        texts = whole_text(df).select("doc_id", F.xxhash64("doc_id", "text").alias("row"), same.alias("same"), "text")
+        scratch = Scratch(df.sparkSession, "test-pii")
+        base = scratch.table(texts.mapInArrow(pii._base, pii._BASE), "base")
+        got = {r.term: (round(r.disclosure, 9), r.fate) for r in pii.disclosing_terms(base, texts, scratch).collect()}
+        assert got == plain_terms(rows) and got["marchetti"][1] == "removed" and "sometimes" in got
+
+
 def test_odd_rows(frame):
     rows = [(1, None), (2, ""), (3, "a@b.cd"), (3, "a@b.cd"), (None, "a@b.cd")]
     clash = frame(rows).selectExpr("*", "1 AS spans", "2 AS row", "3 AS found")

@@ -45,3 +45,27 @@ def test_stages_on_documents(spark, documents):
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
     assert len(corpus_pipeline.run(spark, SF).collect()) == len(tokens)
+
+
+def test_stages_on_odd_rows(spark, frame):
+    """Rows without a doc_id, repeated rows, one doc_id with several texts, null texts, clashing columns, an empty table."""
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    long = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, long), (1, long), (2, f"{long} more"), (2, "another text"), (None, "no id"), (None, "no id"), (None, long), (3, None), (4, ""), (5, "you are an idiot. you idiot. what an idiot. you worthless trash")]
+    docs = frame(rows).selectExpr("*", "'k' AS ids", "1 AS _n", "2 AS label", "3 AS band", "4 AS kept", "5 AS name")
+    clean = toxicity.drop_toxic(docs, labels)
+    assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for i, _ in rows if i != 5) and clean.columns == docs.columns
+    single = corpus_pipeline.exact_dedup_stage(spark, clean, SF)
+    texts = [(r.doc_id, r.text) for r in single.collect()]
+    assert sorted(map(str, texts)) == sorted(map(str, [(1, long), (2, f"{long} more"), (2, "another text"), (None, "no id"), (3, None)])) and single.columns == docs.columns
+    apart = corpus_pipeline.near_dedup_stage(spark, single, SF)
+    texts = [(r.doc_id, r.text) for r in apart.collect()]
+    assert sorted(map(str, texts)) == sorted(map(str, [(1, long), (2, "another text"), (None, "no id"), (3, None)])) and apart.columns == docs.columns
+    mixed = corpus_pipeline.mixing_stage(spark, apart, SF)
+    assert mixed.columns == docs.columns and {r.text for r in mixed.collect()} <= {t for _, t in texts}
+    tokens = corpus_pipeline.bpe_stage(spark, mixed, SF)
+    assert tokens.count() == mixed.count() and all(r.n_tokens == len(r.ids) for r in tokens.collect())
+    none = docs.limit(0)
+    for stage in (corpus_pipeline.exact_dedup_stage, corpus_pipeline.near_dedup_stage, corpus_pipeline.mixing_stage, corpus_pipeline.bpe_stage):
+        assert stage(spark, none, SF).count() == 0
+    assert toxicity.drop_toxic(none, labels).count() == 0
