@@ -260,3 +260,12 @@ def delivery(attempts: DataFrame, message: str, number: str, most: int, failed_a
     status = F.when(F.col("_ok").isNotNull(), "completed").when(F.col("_n") >= most, "dead-letter").otherwise("pending")
     visible = [F.when(status == "pending", F.col("_at") + delay).alias("visible_after")] if failed_at else []
     return first.select(message, status.alias("status"), F.coalesce("_ok", "_n").alias("attempts"), *visible)
+
+
+def handled_by_range(messages: DataFrame, range_: str, order: Sequence[str], values: Sequence[str], join: Callable[[], object], handle: Callable[..., tuple[object, Sequence[tuple]]], gives: str) -> DataFrame:
+    """range and ``gives``: what the caller's handler of a range answers to its messages, in order.
+
+    ``join()`` makes a range's state, ``handle(state, *values)`` returns the next one and the rows to send on. Ranges are
+    dealt over the tasks; a task holds one range's state at a time.
+    """
+    return folded(messages, [range_], order, values, join, handle, gives)

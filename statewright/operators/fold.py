@@ -166,3 +166,11 @@ def with_defaults(settings: DataFrame, defaults: DataFrame, key: str, value: str
     """Each key of ``defaults`` with its setting, or its default."""
     own = settings.select(key, F.col(value).alias("_own"))
     return defaults.join(own, key, "left").select(key, F.coalesce("_own", value).alias(value))
+
+
+def valid_settings(settings: DataFrame, key: str, rules: dict[str, Column]) -> DataFrame:
+    """``settings`` with valid: whether the rule of each setting's key (a Column over the row) holds; settings without a rule are valid."""
+    ok = F.lit(True)
+    for name, rule in rules.items():
+        ok = F.when(F.col(key) == name, F.coalesce(rule, F.lit(False))).otherwise(ok)
+    return settings.withColumn("valid", ok)

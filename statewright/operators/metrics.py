@@ -139,14 +139,18 @@ def snapshot(counters_: DataFrame, gauges_: DataFrame, histograms_: DataFrame) -
     return typed(counters_, "counter").unionByName(typed(gauges_, "gauge")).unionByName(typed(histograms_.withColumn("value", F.col("mean")), "histogram"))
 
 
-def prometheus_lines(buckets: DataFrame, snapshots: DataFrame, name: str, label: str) -> DataFrame:
-    """line: text exposition of a histogram family, with bucket, sum and count samples of each label value."""
+def prometheus_lines(buckets: DataFrame, snapshots: DataFrame, name: str, label: str, about: str | None = None) -> DataFrame:
+    """line: text exposition of a histogram family, with bucket, sum and count samples of each label value; with ``about`` also
+    its HELP and TYPE lines, which go first."""
     bound = F.when(F.col("le") == float("inf"), "+Inf").otherwise(F.regexp_replace(F.col("le").cast("string"), r"\.0$", ""))
     value = prometheus_label(F.col(label).cast("string"))
     lines = buckets.select(F.format_string(f'{name}_bucket{{{label}="%s",le="%s"}} %d', value, bound, F.col("cumulative")).alias("line"))
     sums = snapshots.select(F.concat(F.lit(f'{name}_sum{{{label}="'), value, F.lit('"} '), number_text(F.col("sum"))).alias("line"))
     counts = snapshots.select(F.format_string(f'{name}_count{{{label}="%s"}} %d', value, F.col("count")).alias("line"))
-    return lines.unionByName(sums).unionByName(counts)
+    found = lines.unionByName(sums).unionByName(counts)
+    if about is None:
+        return found
+    return buckets.sparkSession.createDataFrame([(f"# HELP {name} {about}",), (f"# TYPE {name} histogram",)], "line string").unionByName(found)
 
 
 def number_text(value: Column) -> Column:

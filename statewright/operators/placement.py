@@ -219,3 +219,15 @@ def resource_health(resources: DataFrame, cpu: str, memory: str, errors: str, **
     issues = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())
     found = resources.withColumn("issues", issues)
     return found.withColumn("healthy", F.size("issues") == 0).withColumn("migrate", F.size("issues") > 2)
+
+
+def with_capacity(resources: DataFrame, **calculators: Column) -> DataFrame:
+    """``resources`` with what each of the caller's calculators (a Column) says; what is missing, negative or no number is none."""
+    return resources.withColumns({name: usable_load(value.cast("double")) for name, value in calculators.items()})
+
+
+def violations(resources: DataFrame, **validators: Column) -> DataFrame:
+    """``resources`` that break a constraint, with ``violations``: the names of the caller's validators (Columns that are true where
+    the constraint holds) that do not hold; one that gives null does not hold."""
+    broken = F.array(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in validators.items()])
+    return resources.withColumn("violations", F.filter(broken, lambda v: v.isNotNull())).filter(F.size("violations") > 0)

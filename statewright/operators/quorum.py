@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _alive(members: DataFrame) -> DataFrame:
+def alive(members: DataFrame) -> DataFrame:
+    """Members that are alive."""
     return members.filter(F.col("status") == "ALIVE")
 
 
 def _valid_groups(members: DataFrame, level: str, least: int) -> DataFrame:
     """One row: how many values of ``level`` have ``least`` alive members."""
-    sizes = _alive(members).groupBy(F.coalesce(level, F.lit("unknown")).alias("g")).agg(F.count("*").alias("n"))
+    sizes = alive(members).groupBy(F.coalesce(level, F.lit("unknown")).alias("g")).agg(F.count("*").alias("n"))
     return sizes.agg(F.count_if(F.col("n") >= least).alias(f"{level}s"))
 
 
@@ -26,14 +27,14 @@ def simple(members: DataFrame, least: int, regions: int) -> DataFrame:
 
 def multilevel(members: DataFrame, least: int, regions: int, a_region: int, zones: int, a_zone: int) -> DataFrame:
     """alive, regions, zones, has_quorum: cluster, region and zone level at once."""
-    found = _alive(members).agg(F.count("*").alias("alive")).join(_valid_groups(members, "region", a_region)).join(_valid_groups(members, "zone", a_zone))
+    found = alive(members).agg(F.count("*").alias("alive")).join(_valid_groups(members, "region", a_region)).join(_valid_groups(members, "zone", a_zone))
     return found.select("alive", "regions", "zones", ((F.col("alive") >= least) & (F.col("regions") >= regions) & (F.col("zones") >= zones)).alias("has_quorum"))
 
 
 def by_role(members: DataFrame, roles: DataFrame, weight: float) -> DataFrame:
     """weight, roles_met, has_quorum; ``roles`` has role, min_count, weight, required. Up to two members above the minimum
     count for a role; members of unknown roles weigh 1."""
-    have = _alive(members).groupBy(F.coalesce("role", F.lit("unknown")).alias("role")).agg(F.count("*").alias("n"))
+    have = alive(members).groupBy(F.coalesce("role", F.lit("unknown")).alias("role")).agg(F.count("*").alias("n"))
     both = roles.join(have, "role", "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
     weighs = F.when(F.col("min_count").isNull(), F.col("n").cast("double")).otherwise(F.least("n", F.col("min_count") + 2) * F.col("weight"))
     unmet = F.coalesce("required", F.lit(False)) & (F.col("n") < F.col("min_count"))
@@ -46,7 +47,7 @@ def by_zone(members: DataFrame, zones: int, a_zone: int, failures: int, worst_ca
 
     The largest zones are taken to remain, as the reference rule does; with ``worst_case`` the smallest do.
     """
-    sizes = _alive(members).groupBy(F.coalesce("zone", F.lit("unknown")).alias("z")).agg(F.count("*").alias("n"))
+    sizes = alive(members).groupBy(F.coalesce("zone", F.lit("unknown")).alias("z")).agg(F.count("*").alias("n"))
     listed = sizes.agg(F.array_sort(F.collect_list("n")).alias("sizes"))  # a number for each zone; zones are configuration
     kept = F.greatest(F.lit(0), F.size("sizes") - failures)
     remain = F.slice("sizes", 1, kept) if worst_case else F.slice(F.reverse("sizes"), 1, kept)
@@ -58,7 +59,7 @@ def by_zone(members: DataFrame, zones: int, a_zone: int, failures: int, worst_ca
 
 def consensus(members: DataFrame, algorithm: str, total_nodes: int | None = None) -> DataFrame:
     """alive, required, has_quorum for raft, paxos (a majority) or pbft (2f + 1 of at least 3f + 1), of the alive or of ``total_nodes``."""
-    found = _alive(members).agg(F.count("*").alias("alive"))
+    found = alive(members).agg(F.count("*").alias("alive"))
     n = F.lit(total_nodes) if total_nodes is not None else F.col("alive")
     faulty = F.floor((n - 1) / 3)
     required = 2 * faulty + 1 if algorithm == "pbft" else F.floor(n / 2) + 1
@@ -81,7 +82,7 @@ def adaptive(members: DataFrame, strategy: str, latency: float, partition: float
     floor = {"strict": 0.8, "strong": 0.67}.get(level)
     if floor:
         required = F.greatest(required, F.ceil(n * floor))
-    found = _alive(members).agg(F.count("*").alias("alive")).withColumn("required", F.least(required, n).cast("long"))
+    found = alive(members).agg(F.count("*").alias("alive")).withColumn("required", F.least(required, n).cast("long"))
     return found.withColumn("has_quorum", n >= F.col("required"))
 
 
@@ -97,7 +98,7 @@ def partition(members: DataFrame) -> DataFrame:
 
 def zone_balance(members: DataFrame) -> DataFrame:
     """zone, members, share of alive members; balanced if no zone has over 0.6 of them, to be rebalanced above 0.7."""
-    sizes = _alive(members).groupBy(F.coalesce("zone", F.lit("unknown")).alias("zone")).agg(F.count("*").alias("members"))
+    sizes = alive(members).groupBy(F.coalesce("zone", F.lit("unknown")).alias("zone")).agg(F.count("*").alias("members"))
     total = sizes.agg(F.sum("members").alias("_all"), F.max("members").alias("_most"))
     most = F.col("_most") / F.col("_all")
     return sizes.join(F.broadcast(total)).select("zone", "members", (F.col("members") / F.col("_all")).alias("share"), (most <= 0.6).alias("balanced"), (most > 0.7).alias("rebalance"))

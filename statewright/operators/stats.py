@@ -78,3 +78,11 @@ def seed_health(seeds: DataFrame, status: str, most_failures: int = 3) -> DataFr
     found = seeds.agg(F.count("*").alias("total"), F.count_if(ok).alias("available"), F.count_if("permanent").alias("permanent"), F.count_if(~ok).alias("failed"))
     found = found.withColumn("ratio", F.coalesce(F.try_divide("available", "total"), F.lit(0.0)))
     return found.withColumn("state", F.when(F.col("available") == 0, "failed").when(F.col("ratio") < 0.5, "degraded").otherwise("healthy"))
+
+
+def geography(nodes: DataFrame, region: str, healthy: Column, load: str, latency: DataFrame) -> DataFrame:
+    """region, nodes, healthy, load, latency of each region: its nodes, the healthy ones, the mean load, and the mean latency to the
+    other regions (``latency``: from_region, to_region, latency)."""
+    found = nodes.groupBy(region).agg(F.count("*").alias("nodes"), F.count_if(healthy).alias("healthy"), F.avg(load).alias("load"))
+    far = latency.filter("from_region <> to_region").groupBy(F.col("from_region").alias(region)).agg(F.avg("latency").alias("latency"))
+    return found.join(far, region, "left")

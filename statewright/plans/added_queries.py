@@ -669,3 +669,71 @@ def liveness_missed_pings(spark, sf_dir):
     beats, pings = events.filter("event_type <> 'view'"), events.filter("event_type = 'view'")
     beats = beats.join(F.broadcast(beats.agg(F.max("us").alias("now"))))
     return flow.liveness(beats, "node", "us", F.col("now"), 10_800_000_000, 36_000_000_000, pings, 2, ["now"]).drop("now")
+
+
+# ---- what callers supply
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_totalprice > 200000 OR o_custkey % 5 = 0 THEN 0.0 ELSE 200000 - o_totalprice END AS room, o_custkey / 7.0 AS score FROM orders")
+def capacity_by_caller(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", "o_custkey")
+    room = F.when(F.col("o_custkey") % 5 != 0, 200_000 - F.col("o_totalprice"))
+    return placement.with_capacity(orders, room=room, score=F.col("o_custkey") / 7.0).select("id", "room", "score")
+
+
+@query(
+    """WITH v AS (SELECT p_partkey AS id, list_filter([CASE WHEN p_size > 45 THEN 'small' END, CASE WHEN p_brand = 'Brand#13' THEN 'brand' END], lambda x: x IS NOT NULL) AS v FROM part)
+       SELECT id, array_to_string(v, ',') AS violations FROM v WHERE len(v) > 0"""
+)
+def constraints_by_caller(spark, sf_dir):
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_brand")
+    broken = placement.violations(parts, small=F.col("p_size") <= 45, brand=F.when(F.col("p_brand") != "Brand#13", F.lit(True)))
+    return broken.select("id", F.array_join("violations", ",").alias("violations"))
+
+
+@query("SELECT o_orderkey AS id, o_orderpriority AS name, CASE o_orderpriority WHEN '1-URGENT' THEN o_totalprice < 100000 WHEN '2-HIGH' THEN o_custkey % 2 = 0 ELSE true END AS valid FROM orders")
+def settings_validated(spark, sf_dir):
+    settings = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("name"), "o_totalprice", "o_custkey")
+    return fold.valid_settings(settings, "name", {"1-URGENT": F.col("o_totalprice") < 100_000, "2-HIGH": F.col("o_custkey") % 2 == 0}).select("id", "name", "valid")
+
+
+@query(
+    """WITH m AS (SELECT user_id % 16 AS range_id, event_id, value, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS n, max(value) OVER (PARTITION BY user_id % 16 ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM events)
+       SELECT range_id, event_id, n::BIGINT AS number FROM m WHERE most IS NULL OR value > most"""
+)
+def range_handler(spark, sf_dir):
+    """A handler that answers each message that is higher than all before it in its range, with its number."""
+
+    def handle(state, event_id, value):
+        n, most = state
+        higher = most is None or value > most
+        return (n + 1, value if higher else most), [(event_id, n + 1)] if higher else ()
+
+    messages = table(spark, sf_dir, "events").select((F.col("user_id") % 16).alias("range_id"), "event_id", "value")
+    return flow.handled_by_range(messages, "range_id", ["event_id"], ["event_id", "value"], lambda: (0, None), handle, "event_id long, number long")
+
+
+@query(f"WITH {MEMBERS} SELECT id, zone FROM m WHERE status = 'ALIVE'")
+def members_alive(spark, sf_dir):
+    return quorum.alive(members(spark, sf_dir)).select("id", "zone")
+
+
+@query("SELECT count(*) AS total, count(DISTINCT user_id) AS clients, count(DISTINCT user_id % 10) AS nodes FROM events")
+def presence_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("node", F.col("user_id") % 10)
+    return stats.distinct_counts(rows, clients="user_id", nodes="node")
+
+
+@query("SELECT count(*) AS total, count(DISTINCT l_partkey) AS services, count(DISTINCT l_suppkey) AS nodes FROM lineitem")
+def service_stats(spark, sf_dir):
+    return stats.distinct_counts(table(spark, sf_dir, "lineitem"), services="l_partkey", nodes="l_suppkey")
+
+
+@query(
+    f"""WITH {MEMBERS}, l AS (SELECT region, avg(id % 7 + 10.0) AS latency FROM (SELECT region, id FROM m) GROUP BY 1)
+        SELECT m.region, count(*) AS nodes, count(*) FILTER (status = 'ALIVE') AS healthy, avg(cpu) AS load, any_value(latency) AS latency FROM m JOIN l USING (region) GROUP BY 1"""
+)
+def geography(spark, sf_dir):
+    nodes = members(spark, sf_dir)
+    links = nodes.select(F.col("region").alias("from_region"), F.lit("elsewhere").alias("to_region"), (F.col("id") % 7 + 10.0).alias("latency"))
+    return stats.geography(nodes, "region", F.col("status") == "ALIVE", "cpu", links)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from statewright.operators import compaction, logs
+from statewright.operators import compaction, logs, lookups
 from statewright.plans.base import query
 from statewright.sources.tables import bus_events, entity_updates
 
@@ -109,10 +109,8 @@ def snapshots_keep_unexpired(spark, sf_dir):
 )
 def snapshots_alive(spark, sf_dir):
     """Creates minus the deletes that follow them."""
-    events = bus_events(spark, sf_dir)
-    last = events.filter("type = 'error'").groupBy(F.col("source_node_id").alias("user_id")).agg(F.max("version").alias("deleted"))
-    made = events.filter("type = 'signup'").select(F.col("source_node_id").alias("user_id"), F.col("version").alias("created"))
-    return made.join(last, "user_id", "left").filter("deleted IS NULL OR deleted < created").select("user_id", "created")
+    events = bus_events(spark, sf_dir).select(F.col("source_node_id").alias("user_id"), F.col("version").alias("created"), "type")
+    return lookups.created_alive(events.filter("type = 'signup'"), events.filter("type = 'error'"), "user_id", "created").select("user_id", "created")
 
 
 @query(

@@ -119,10 +119,10 @@ def failure_islands(spark, sf_dir):
 @query(f"""WITH {SNAP}, b AS (SELECT unnest([{_BOUNDS}]) AS le), e AS (SELECT event_type AS type, le, count(*) FILTER (value <= le) AS c FROM events, b GROUP BY 1, 2)
         SELECT 'latency_bucket{{type="' || type || '",le="' || regexp_replace(le::VARCHAR, '\\.0$', '') || '"}} ' || c AS line FROM e
         UNION ALL SELECT 'latency_bucket{{type="' || event_type || '",le="+Inf"}} ' || count(*) FROM events GROUP BY event_type
-        UNION ALL SELECT 'latency_sum{{type="' || type || '"}} ' || sum FROM h UNION ALL SELECT 'latency_count{{type="' || type || '"}} ' || count FROM h""")
+        UNION ALL SELECT '# HELP latency Time taken' UNION ALL SELECT '# TYPE latency histogram' UNION ALL SELECT 'latency_sum{{type="' || type || '"}} ' || sum FROM h UNION ALL SELECT 'latency_count{{type="' || type || '"}} ' || count FROM h""")
 def prometheus_text(spark, sf_dir):
     observed = _observed(spark, sf_dir)
-    return metrics.prometheus_lines(metrics.exact_cumulative_counts(observed, ["type"], "value"), metrics.histograms(observed, ["type"], "seq", "value"), "latency", "type")
+    return metrics.prometheus_lines(metrics.exact_cumulative_counts(observed, ["type"], "value"), metrics.histograms(observed, ["type"], "seq", "value"), "latency", "type", "Time taken")
 
 
 @query("SELECT 'orders,status=' || o_orderstatus || ',priority=' || substr(o_orderpriority, 1, 1) || ' customer=' || o_custkey || ' ' || epoch_ms(o_orderdate) || '000000' AS line FROM orders")
