@@ -45,7 +45,7 @@ def by_role(members: DataFrame, roles: DataFrame, weight: float) -> DataFrame:
 def by_zone(members: DataFrame, zones: int, a_zone: int, failures: int, worst_case: bool = False) -> DataFrame:
     """active_zones, remaining, has_quorum: enough zones with enough members, also after losing ``failures`` zones.
 
-    The largest zones are taken to remain, as the reference rule does; with ``worst_case`` the smallest do.
+    The largest zones are taken to remain; with ``worst_case`` the smallest do.
     """
     sizes = alive(members).groupBy(F.coalesce("zone", F.lit("unknown")).alias("z")).agg(F.count("*").alias("n"))
     listed = sizes.agg(F.array_sort(F.collect_list("n")).alias("sizes"))  # a number for each zone; zones are configuration

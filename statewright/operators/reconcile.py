@@ -33,7 +33,7 @@ def metadata_conflicts(fields: DataFrame, key: str, name: str, value: str) -> Da
 def resolved(values: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """For each conflict the value of every strategy: highest, lowest, average, majority (the first of the most frequent), first.
 
-    The last- and the first-writer rule both take the first value in ``order``, as the reference rules do.
+    The last- and the first-writer rule both take the first value in ``order``.
     """
     counts = values.groupBy(key, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
     return counts.groupBy(key).agg(

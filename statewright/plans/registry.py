@@ -1,4 +1,4 @@
-"""All queries over the reference domain, and the SQL each must equal."""
+"""All queries over the coordination tables, and the SQL each must equal."""
 
 from __future__ import annotations
 
