@@ -125,13 +125,14 @@ def test_candidates_that_no_star_links(frame, size, monkeypatch):
     assert result(frame(texts), 4) == brute(texts, 4)
 
 
-@pytest.mark.parametrize("length", (1024, 4096))
-def test_words_that_a_polynomial_confuses(frame, length):
-    word = "a"
-    while len(word) < length:
+def test_words_that_a_polynomial_confuses(frame):
+    word, texts = "a", {}
+    while len(word) < 4096:
         word += word.translate(str.maketrans("ab", "ba"))
     other = word.translate(str.maketrans("ab", "ba"))
-    assert result(frame({1: f"{word} b c d", 2: f"{other} b c d", 3: f"{word} b c d"}), 4) == {1: (1, 1, True), 2: (1, 2, True), 3: (1, 1, False)}
+    for k, length in ((0, 1024), (10, 4096)):
+        texts |= {k + 1: f"{word[:length]} b c d", k + 2: f"{other[:length]} b c d", k + 3: f"{word[:length]} b c d"}
+    assert result(frame(texts), 4) == {k + i: (1, k + first, kept) for k in (0, 10) for i, first, kept in ((1, 1, True), (2, 2, True), (3, 1, False))}
     swapped = [w for c in word[:1024] for w in (("p", "q") if c == "a" else ("q", "p"))]
     turned = [w for c in other[:1024] for w in (("p", "q") if c == "a" else ("q", "p"))]
     names = flat.span_hashes(np.frombuffer(b"pq", np.uint8), np.array([0, 1]), np.array([1, 2]))
@@ -144,10 +145,10 @@ def test_order_of_rows_changes_nothing(frame):
     base = [f"w{k}" for k in range(50)]
     rows = [(i, " ".join([*base[: 50 - rng.randrange(8)], f"x{rng.randrange(99)}"])) for i in (1, 2, 2, 3, 3, 3, 9)]
     got = []
-    for _ in range(3):
+    for _ in range(2):
         rng.shuffle(rows)
         got.append(sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_groups(frame(rows), 4).collect()))
-    assert got[0] == got[1] == got[2]
+    assert got[0] == got[1]
 
 
 def test_odd_rows(frame, spark):
