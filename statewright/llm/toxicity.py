@@ -5,8 +5,8 @@ Five small transducers read the symbols of a clause. The insult machine finds in
 fool) or attributed (you are such a fool); the threat machine threats that are bare, intended (will ... hurt) or direct
 (hurt you); the negation machine marks what a negation governs, the reported-speech machine what stands in quotes or
 after a reporting verb, the target machine clauses that have a person as their target, unless that person is the one who
-reports. Their composition is one machine. A clause's best match (the heaviest word, then the stronger pattern) gives the
-clause its label and weight; clauses, not isolated words, are scored. The stems of the lexicon and the weights of the
+reports. Their composition is one machine. The weights of a clause's matches add up along its path, and its best match (the
+heaviest word, then the stronger pattern) gives the clause its label and its head; clauses, not isolated words, are scored. The stems of the lexicon and the weights of the
 labels are learned from labelled rows.
 """
 
@@ -109,30 +109,32 @@ START = (0, 0, 0, 0, 0)
 #: Labels of a clause: insult or threat, its strength, negated or not, reported or not, aimed at a target or not.
 LABELS = list(product((INSULT, THREAT), (1, 2, 3), (0, 1), (0, 1), (0, 1)))
 _LABEL = {x: i for i, x in enumerate(LABELS)}
-#: Per label the log of 1 + the summed weights of its clauses; besides the log of 1 + clauses matched, and their share.
-N_FEATURES = len(LABELS) + 2
+#: Per label the log of 1 + the summed weights of its clauses; besides the logs of 1 + clauses matched and of 1 + different heads
+#: of them, and the share of the clauses that match.
+N_FEATURES = len(LABELS) + 3
 
 
-def matched(symbols: list[tuple[int, float]]) -> tuple[tuple, float] | None:
-    """(label, weight) of a clause, given as (symbol, lexical weight) of its words, or None where no pattern matches.
-
-    A direct threat has the weight of the threat word before its target.
+def matched(clause: list[tuple]) -> tuple[tuple, float, int] | None:
+    """(label, weight, place of the head) of a clause, given as (symbol, lexical weight, ...) of its words, or None where no
+    pattern matches. A direct threat has the weight and place of the threat word before its target; that word counts once.
     """
-    state, found, threat = START, [], (0.0, 0, 0)
-    for symbol, weight in symbols:
+    state, found, threat, total = START, [], (0.0, 0, 0, 0), 0.0
+    for place, (symbol, weight, *_) in enumerate(clause):
         state, (insult, threatens, negated, reported, _) = GRAMMAR[state, symbol]
         if symbol == THREAT:
-            threat = (weight, negated, reported)
+            threat = (weight, negated, reported, place)
         if insult:
-            found.append((weight, insult, INSULT, negated, reported))
+            found.append((weight, insult, INSULT, negated, reported, place))
+            total += weight
         if threatens == DIRECT:
-            found.append((threat[0], DIRECT, THREAT, threat[1], threat[2]))
+            found.append((threat[0], DIRECT, THREAT, *threat[1:]))
         elif threatens:
-            found.append((weight, threatens, THREAT, negated, reported))
+            found.append((weight, threatens, THREAT, negated, reported, place))
+            total += weight
     if not found:
         return None
-    weight, strength, kind, negated, reported = max(found)
-    return (kind, strength, negated, reported, int(state[4] > 0)), weight
+    _, strength, kind, negated, reported, place = max(found)
+    return (kind, strength, negated, reported, int(state[4] > 0)), total, place
 
 
 class Lexicon:
@@ -161,16 +163,16 @@ def stems_of(word: str) -> list[str]:
     return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + [word + "$"]
 
 
-def clauses(text: str, lexicon: Lexicon) -> Iterator[list[tuple[int, float]]]:
-    """The clauses of a text as (symbol, lexical weight) of their words; they end at . ! ? ; : and line ends."""
-    clause: list[tuple[int, float]] = []
+def clauses(text: str, lexicon: Lexicon) -> Iterator[list[tuple[int, float, str]]]:
+    """The clauses of a text as (symbol, lexical weight, word) of their words; they end at . ! ? ; : and line ends."""
+    clause: list[tuple[int, float, str]] = []
     for token in _TOKEN.findall(text.lower()):
         if token[0] in _BREAK:
             if clause:
                 yield clause
             clause = []
         else:
-            clause.append(lexicon.symbol(token) if token[0] not in '"“”«»„' else (QUOTE, 0.0))
+            clause.append((*lexicon.symbol(token), token) if token[0] not in '"“”«»„' else (QUOTE, 0.0, token))
     if clause:
         yield clause
 
@@ -179,17 +181,18 @@ def features(text: str, lexicon: Lexicon) -> np.ndarray | None:
     """The features of a text, or None where no clause matches."""
     if not any(lexicon.symbol(w)[0] in (INSULT, THREAT) for w in set(_WORD.findall(text.lower()))):
         return None
-    out, n, hits = np.zeros(N_FEATURES), 0, 0
+    out, n, hits, heads = np.zeros(N_FEATURES), 0, 0, set()
     for clause in clauses(text, lexicon):
         n += 1
         hit = matched(clause)
         if hit:
             hits += 1
             out[_LABEL[hit[0]]] += hit[1]
+            heads.add(clause[hit[2]][2])
     if not hits:
         return None
     out[: len(LABELS)] = np.log1p(out[: len(LABELS)])
-    out[len(LABELS) :] = math.log1p(hits), hits / n
+    out[len(LABELS) :] = math.log1p(hits), math.log1p(len(heads)), hits / n
     return out
 
 
@@ -253,7 +256,7 @@ def _plain(kind: int, strength: int, negated: int, reported: int, aimed: int) ->
 
 
 #: Weights where there are no labels to learn from: insults and threats count by their strength, negated or reported ones little.
-UNTRAINED = np.array([*(_plain(*label) for label in LABELS), 1.0, 0.5, -4.0])
+UNTRAINED = np.array([*(_plain(*label) for label in LABELS), 0.7, 0.5, 0.3, -4.0])
 
 
 class Model:

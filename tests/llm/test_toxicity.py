@@ -48,16 +48,17 @@ def enumerated(clause):
         if sign == "i":
             attributed = re.search(r"yn*(?:[cfi][fin]*)?$", before)
             strength = T.ATTRIBUTED if attributed else T.DESCRIBED if re.search(r"[fi][fin]*$", before) else T.OUTRIGHT
-            found.append((clause[p][1], strength, T.INSULT, *marks(p)))
+            found.append((clause[p][1], strength, T.INSULT, *marks(p), p))
         if sign == "t":
-            found.append((clause[p][1], T.INTENDED if re.search(r"w[^wt]{0,3}$", before) else T.BARE, T.THREAT, *marks(p)))
+            found.append((clause[p][1], T.INTENDED if re.search(r"w[^wt]{0,3}$", before) else T.BARE, T.THREAT, *marks(p), p))
             direct = re.match(r"tf*y", text[p:])
             if direct:
-                found.append((clause[p][1], T.DIRECT, T.THREAT, *marks(p)))
+                found.append((clause[p][1], T.DIRECT, T.THREAT, *marks(p), p))
     if not found:
         return None
-    weight, strength, kind, negated, reported = max(found)
-    return (kind, strength, negated, reported, int(bool(re.search(r"y(?!r)", text)))), weight
+    _, strength, kind, negated, reported, place = max(found)
+    total = sum(w for s, w in clause if s in (T.INSULT, T.THREAT))
+    return (kind, strength, negated, reported, int(bool(re.search(r"y(?!r)", text)))), total, place
 
 
 def test_composed_machine_equals_an_enumeration_of_paths():
