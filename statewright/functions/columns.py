@@ -53,6 +53,11 @@ def fibonacci_backoff(attempt: Column, base: float, cap: float) -> Column:
     return F.least(F.lit(cap), F.lit(base) * number)
 
 
+def nearest_millis(micros: Column) -> Column:
+    """Whole microseconds as milliseconds, rounded; halves go away from zero."""
+    return F.call_function("div", micros + F.when(micros < 0, -500).otherwise(500), F.lit(1000))
+
+
 def clamped(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 

@@ -210,14 +210,14 @@ def series_points(samples: DataFrame, metrics_: dict[str, str], tags: dict[str,
 CSV_COLUMNS = ("timestamp", "cpu_percentage", "memory_percentage", "disk_percentage", "cluster_size", "gossip_rate", "message_latency", "network_latency", "active_connections", "pool_utilization", "overall_health")
 
 
-def csv_lines(samples: DataFrame) -> DataFrame:
+def csv_lines(samples: DataFrame, at: Column | None = None) -> DataFrame:
     """at, line: a CSV line for each row of ``samples`` (CSV_COLUMNS, with the time in milliseconds as timestamp), ISO time first;
-    in order of ``at``, below the joined CSV_COLUMNS, they are the file. A null is an empty field."""
+    in order of ``at`` (by default the timestamp), below the joined CSV_COLUMNS, they are the file. A null is an empty field."""
     iso = F.date_format(F.timestamp_millis(F.col("timestamp")), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     kinds = {f.name: f.dataType.typeName() for f in samples.schema}
     text = lambda c: number_text(F.col(c)) if kinds[c] in ("double", "float") else F.col(c).cast("string")
     fields = [F.coalesce(text(c), F.lit("")) for c in CSV_COLUMNS[1:]]
-    return samples.select(F.col("timestamp").alias("at"), F.concat_ws(",", iso, *fields).alias("line"))
+    return samples.select((F.col("timestamp") if at is None else at).alias("at"), F.concat_ws(",", iso, *fields).alias("line"))
 
 
 def report(summary: DataFrame, kind: str) -> DataFrame:
