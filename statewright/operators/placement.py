@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,12 +81,23 @@ def routed(keys: DataFrame, key: str, strategy: str, ring_: DataFrame, members:
     return found.select(*keys.columns, F.when(F.size("_near") >= replicas, F.slice("_near", 1, replicas)).otherwise(F.col("owners")).alias("nodes"))
 
 
-def placed(resources: DataFrame, key: str, candidates: DataFrame, strategy: Callable[[Column, Column], Column], least: bool = True) -> DataFrame:
+def placed(resources: DataFrame, key: str, candidates: DataFrame, strategy: Callable[[Column, Column], Column], least: bool = True, by: Sequence[str] | None = None) -> DataFrame:
     """``resources`` with node: the candidate (node and whatever ``strategy`` reads) with the least or highest value of
-    ``strategy(key, candidate)``, a Column that the caller builds; ties go to the least name. Candidates are configuration."""
+    ``strategy(key, candidate)``, a Column that the caller builds; ties go to the least name. Candidates are configuration.
+
+    ``by`` names the columns of a candidate that ``strategy`` reads, if its name is none of them: candidates that agree in
+    these have the same value, so only the least name of each such group is scored.
+    """
+    if by is not None:
+        candidates = candidates.groupBy(*by).agg(F.min("node").alias("node"))
     listed = candidates.agg(F.collect_list(F.struct(*candidates.columns)).alias("_c"))
     scored = F.transform("_c", lambda c: F.struct((strategy(F.col(key), c) if least else -strategy(F.col(key), c)).alias("s"), c.node.alias("n")))
-    return resources.join(F.broadcast(listed)).select(*resources.columns, F.array_min(scored).n.alias("node"))
+    return _dealt(resources).join(F.broadcast(listed)).select(*resources.columns, F.array_min(scored).n.alias("node"))
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """``rows`` over many tasks, where much is done for each row: a small table is read in one."""
+    return rows.repartition(max(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def random_node(key: Column, candidate: Column) -> Column:

@@ -1,9 +1,10 @@
 """What larger tables and odd inputs broke."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from statewright.functions import columns
-from statewright.operators import metrics
+from statewright.operators import metrics, placement
 
 
 def test_csv_times_are_the_nearest_millisecond(spark):
@@ -14,3 +15,12 @@ def test_csv_times_are_the_nearest_millisecond(spark):
     row = df.filter("us = 1500").select("us", F.expr("us div 1000").alias("timestamp"), *[F.lit(1).alias(c) for c in metrics.CSV_COLUMNS[1:]])
     got = metrics.csv_lines(row, columns.nearest_millis(F.col("us"))).first()
     assert got.at == 2 and got.line.startswith("1970-01-01T00:00:00.001Z,1,")
+
+
+def test_candidates_that_agree_are_scored_once(spark):
+    parts = spark.range(200).select("id", (F.col("id") * 7 % 50).alias("size"))
+    nodes = spark.range(900).select(F.col("id").alias("node"), (F.col("id") * 37 % 20 / 20.0).alias("cpu"))
+    near = lambda _, node: F.abs(node.cpu * 50 - F.col("size"))
+    for least in (True, False):
+        every, few = (placement.placed(parts, "id", nodes, near, least, by) for by in (None, ["cpu"]))
+        assert {tuple(r) for r in every.collect()} == {tuple(r) for r in few.collect()} and few.count() == 200
