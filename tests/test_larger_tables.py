@@ -24,3 +24,9 @@ def test_candidates_that_agree_are_scored_once(spark):
     for least in (True, False):
         every, few = (placement.placed(parts, "id", nodes, near, least, by) for by in (None, ["cpu"]))
         assert {tuple(r) for r in every.collect()} == {tuple(r) for r in few.collect()} and few.count() == 200
+
+
+def test_keys_are_routed_by_many_tasks(spark):
+    members = spark.range(40).select("id", F.lit("ALIVE").alias("status"), F.lit("z").alias("zone"))
+    found = placement.routed(spark.range(0, 50, 1, 1), "id", "random", None, members, 3, seed=5)
+    assert found.rdd.getNumPartitions() >= 32 and {len(set(r.nodes)) for r in found.collect()} == {3}
