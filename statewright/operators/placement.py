@@ -191,24 +191,27 @@ def range_targets(members: DataFrame, leases: DataFrame, now: Column) -> DataFra
 
 def endpoint_of(requests: DataFrame, endpoints: DataFrame, service: str, number: str, endpoint: str, strategy: str = "round-robin", local: str | None = None, seed: int = 0) -> DataFrame:
     """``requests`` with the endpoint chosen for each: round-robin, first, random (by request number and seed) or local-preferred
-    (the first endpoint on the requester's node, else its turn). ``endpoints`` has service, endpoint and node; a service's
-    endpoints are few. Requests for a service without any get null."""
-    listed = endpoints.groupBy(service).agg(F.array_sort(F.collect_list(F.struct(endpoint, "node"))).alias("_e"))
-    turn = F.try_element_at(F.col("_e"), (F.pmod(F.col(number), F.greatest(F.size("_e"), F.lit(1))) + 1).cast("int"))[endpoint]
-    first = F.try_element_at(F.col("_e"), F.lit(1))[endpoint]
-    if strategy == "round-robin":
-        chosen = turn
-    elif strategy == "first":
-        chosen = first
+    (the first endpoint on the requester's node, else its turn). ``endpoints`` has service, endpoint and node. Requests for a
+    service without any get null. A request meets its endpoint by equality with its turn, not by a search of all endpoints."""
+    turns = Window.partitionBy(service).orderBy(endpoint, "node")
+    placed_ = endpoints.select(service, F.col(endpoint).alias("_e"), (F.row_number().over(turns) - 1).cast("long").alias("_turn"))
+    sizes = endpoints.groupBy(service).agg(F.count("*").alias("_n"))
+    if strategy == "first":
+        turn = F.lit(0)
     elif strategy == "random":
-        draw = F.pmod(F.xxhash64(number, F.lit(seed)), F.greatest(F.size("_e"), F.lit(1)))
-        chosen = F.try_element_at(F.col("_e"), (draw + 1).cast("int"))[endpoint]
-    elif strategy == "local-preferred":
-        own = F.filter("_e", lambda e: e.node == F.col(local))
-        chosen = F.coalesce(F.try_element_at(own, F.lit(1))[endpoint], turn)
+        turn = F.pmod(F.xxhash64(number, F.lit(seed)), F.col("_n"))
+    elif strategy in ("round-robin", "local-preferred"):
+        turn = F.pmod(F.col(number), F.col("_n"))
     else:
         raise ValueError(f"unknown strategy: {strategy}")
-    return requests.join(listed, service, "left").withColumn(endpoint, chosen).drop("_e")
+    asked = requests.join(F.broadcast(sizes), service, "left").withColumn("_turn", turn.cast("long"))
+    found = asked.join(placed_, [service, "_turn"], "left")
+    chosen = F.col("_e")
+    if strategy == "local-preferred":
+        own = endpoints.groupBy(service, F.col("node").alias("_here")).agg(F.min(F.struct(F.col(endpoint).alias("e"))).alias("_own"))
+        found = found.withColumn("_here", F.col(local)).join(own, [service, "_here"], "left")
+        chosen = F.coalesce(F.col("_own.e"), "_e")
+    return found.select(*[F.col(c) for c in requests.columns if c != endpoint], chosen.alias(endpoint))
 
 
 def round_robin(requests: DataFrame, endpoints: DataFrame, service: str, number: str, endpoint: str) -> DataFrame:

@@ -30,3 +30,19 @@ def test_keys_are_routed_by_many_tasks(spark):
     members = spark.range(40).select("id", F.lit("ALIVE").alias("status"), F.lit("z").alias("zone"))
     found = placement.routed(spark.range(0, 50, 1, 1), "id", "random", None, members, 3, seed=5)
     assert found.rdd.getNumPartitions() >= 32 and {len(set(r.nodes)) for r in found.collect()} == {3}
+
+
+@pytest.mark.parametrize("strategy", ("round-robin", "first", "local-preferred", "random"))
+def test_endpoints_are_met_by_turn(spark, strategy):
+    ends = [(s, e, e % 4) for s in range(3) for e in range(s, 60, s + 2)]
+    endpoints = spark.createDataFrame(ends, "service long, endpoint long, node long")
+    requests = spark.range(400).select((F.col("id") % 4).alias("service"), F.col("id").alias("n"), (F.col("id") % 5).alias("here"))
+    df = placement.endpoint_of(requests, endpoints, "service", "n", "endpoint", strategy, "here", 3)
+    assert "collect_list" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.n: r.endpoint for r in df.collect()}
+    draws = {r.n: r.d for r in requests.select("n", F.xxhash64("n", F.lit(3)).alias("d")).collect()}
+    for n in range(400):
+        own = sorted(e for s, e, _ in ends if s == n % 4)
+        turn = 0 if strategy == "first" else draws[n] if strategy == "random" else n
+        here = [e for e in own if e % 4 == n % 5] if strategy == "local-preferred" else []
+        assert got[n] == ((here or [own[turn % len(own)]])[0] if own else None)
