@@ -15,23 +15,29 @@ from statewright.sources.tables import table
 from statewright.streaming import events as streams
 
 
+#: Rows of a file of a batch.
+FILE_ROWS = 250_000
 SCHEMA = "event_id bigint, user_id bigint, type string, ts timestamp, us bigint, value double"
 
 
 def _events(spark, sf_dir, repeats=False):
-    """The events as a stream of four files in time order, one a batch; with ``repeats`` each file has a tenth of the rows of the one
-    before it again."""
+    """The events as a stream of four batches in time order, of as many files each; with ``repeats`` each batch has a tenth of the
+    rows of the one before it again."""
     at = F.col("ts").cast("timestamp")
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.col("event_type").alias("type"), at.alias("ts"), F.unix_micros(at).alias("us"), "value")
     ends = rows.agg(F.min("us").alias("a"), F.max("us").alias("z"))
+    n = 1 + rows.count() // (4 * FILE_ROWS)
     part = F.least(F.lit(3), F.floor((F.col("us") - F.col("a")) * 4 / F.greatest(F.lit(1), F.col("z") - F.col("a")))).cast("int")
     rows = rows.join(F.broadcast(ends)).withColumn("part", part).drop("a", "z")
     if repeats:
         rows = rows.unionByName(rows.filter("event_id % 10 = 0 AND part < 3").withColumn("part", F.col("part") + 1))
     path = shared_path(spark, "event-files")
-    for k in range(4):  # one file a write, so that files come in this order
-        rows.filter(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(path)
-    return streams.event_stream(spark, path, SCHEMA)
+    for k in range(4):  # one batch after the other, so that files come in this order
+        batch = rows.filter(F.col("part") == k).drop("part")
+        (batch.repartition(n, "event_id") if n > 1 else batch.coalesce(1)).write.mode("append").parquet(path)
+        for _ in range((k + 1) * n - len(spark.read.schema(SCHEMA).parquet(path).inputFiles())):  # tasks without rows write no file
+            batch.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return streams.event_stream(spark, path, SCHEMA, n)
 
 
 @query("SELECT event_type AS type, epoch_us(date_trunc('day', ts)) AS day_us, sum(value) AS total, count(*) AS events FROM events GROUP BY 1, 2")

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from statewright.functions import columns
 from statewright.operators import metrics, placement
+from statewright.plans import stream_queries
+from statewright.streaming import events as streams
 
 
 def test_csv_times_are_the_nearest_millisecond(spark):
@@ -46,3 +48,18 @@ def test_endpoints_are_met_by_turn(spark, strategy):
         turn = 0 if strategy == "first" else draws[n] if strategy == "random" else n
         here = [e for e in own if e % 4 == n % 5] if strategy == "local-preferred" else []
         assert got[n] == ((here or [own[turn % len(own)]])[0] if own else None)
+
+
+def test_a_batch_is_whole_whatever_the_files(spark, tmp_path, monkeypatch):
+    """Batches of several files, some of them empty, and with repeats."""
+    monkeypatch.setattr(stream_queries, "FILE_ROWS", 7)
+    at = F.timestamp_seconds(F.col("id") * F.col("id") + 1_000_000)
+    rows = spark.range(100).select(F.col("id").alias("event_id"), at.alias("ts"), (F.col("id") % 3).alias("user_id"), F.lit("a").alias("event_type"), F.lit(1.0).alias("value"), F.lit("").alias("props"))
+    rows.write.parquet(str(tmp_path / "events.parquet"))
+    for repeats in (False, True):
+        seen = []
+        stream = stream_queries._events(spark, str(tmp_path), repeats)
+        stream.writeStream.foreachBatch(lambda b, k: seen.append(sorted(r.event_id for r in b.collect()))).option("checkpointLocation", str(tmp_path / f"c{repeats}")).trigger(availableNow=True).start().awaitTermination(120)  # noqa: B023
+        part = [[i for i in range(100) if min(3, i * i * 4 // 9801) == k] for k in range(4)]
+        again = [[], *[[i for i in p if i % 10 == 0] for p in part[:3]]] if repeats else [[]] * 4
+        assert seen == [sorted(a + b) for a, b in zip(part, again, strict=True)]
