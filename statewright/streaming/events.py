@@ -37,25 +37,41 @@ def rolling_counters(events: DataFrame, keys: Sequence[str], ts: str, value: str
     return found.agg(F.sum(value).alias("total"), F.count("*").alias("events")).select(*keys, "w.start", "w.end", "total", "events")
 
 
+#: Groups over which the keys of a stateful fold are dealt: a call of Python for each key of each batch takes longer than its rows.
+GROUPS = 1024
+
+
+def _grouped(events: DataFrame, key: str):
+    """``events`` by group of keys; the state of a group lists its keys. The number is fixed, as checkpoints hold the groups."""
+    group = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(GROUPS)))  # pandas has no nulls among integers
+    return events.withColumn("_group", group).groupBy("_group")
+
+
+def _names(column: pd.Series) -> list:
+    return [None if pd.isna(k) else k for k in column.tolist()]
+
+
 def token_bucket(events: DataFrame, key: str, micros: str, seq: str, a_second: float, burst: float) -> DataFrame:
     """key, seq, allowed: the batch token bucket over a stream; a key's state is its tokens and its last time.
 
     Rows of a batch are taken in time order; rows behind the key's last time refill nothing.
     """
 
-    def refill(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, tokens = state.get if state.exists else (None, burst)
+    def refill(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: (last, tokens) for k, last, tokens in zip(*state.get, strict=True)} if state.exists else {}
         rows = pd.concat(list(frames)).sort_values([micros, seq])
         allowed = []
-        for t in rows[micros].tolist():
-            tokens = min(burst, tokens + max(0, t - (t if last is None else last)) / 1e6 * a_second)
+        names = _names(rows[key])
+        for name, t in zip(names, rows[micros].tolist(), strict=True):
+            last, tokens = held.get(name, (t, burst))
+            tokens = min(burst, tokens + max(0, t - last) / 1e6 * a_second)
             allowed.append(tokens >= 1)
-            tokens -= tokens >= 1
-            last = t if last is None else max(t, last)
-        state.update((last, tokens))
-        yield pd.DataFrame({key: name[0], seq: rows[seq].tolist(), "allowed": allowed})
+            held[name] = (max(t, last), tokens - (tokens >= 1))
+        state.update(([*held], [last for last, _ in held.values()], [tokens for _, tokens in held.values()]))
+        yield pd.DataFrame({key: names, seq: rows[seq].tolist(), "allowed": allowed})
 
-    return events.groupBy(key).applyInPandasWithState(refill, f"{key} long, {seq} long, allowed boolean", "last long, tokens double", "append", GroupStateTimeout.NoTimeout)
+    kept = "names array<long>, last array<long>, tokens array<double>"
+    return _grouped(events, key).applyInPandasWithState(refill, f"{key} long, {seq} long, allowed boolean", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def subscribe(events: DataFrame, types: Sequence[str], handle: Callable[[DataFrame, int], None], dead_letters: str, checkpoint: str) -> StreamingQuery:
