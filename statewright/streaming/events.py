@@ -136,23 +136,38 @@ def session_state(updates: DataFrame, session: str, order: Sequence[str], update
     """
     kind = updates.schema[session].dataType.simpleString()
 
-    def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {k: tuple(kept) for k, *kept in zip(*state.get, strict=True)} if state.exists else {}
+        news: dict[object, list] = {}
+        newest: dict[object, int] = {}
+        if not state.hasTimedOut:
+            rows = pd.concat(list(frames)).sort_values(list(order))
+            for name, value in zip(_names(rows[session]), rows[update].tolist(), strict=True):
+                news.setdefault(name, []).append(value)
+            if idle_us:
+                for name, t in zip(_names(rows[session]), rows[ts].tolist(), strict=True):
+                    newest[name] = max(newest.get(name, 0), int(t.timestamp() * 1000))
+        for name, values in news.items():
+            n, text, _until = held.get(name, (0, None, None))
+            inner = adapter.create() if text is None else load(text)
+            for value in adapter.merge(values):
+                inner = adapter.apply(inner, value)
+            until = max(state.getCurrentWatermarkMs() + 1, newest[name] + idle_us // 1000) if idle_us else 0
+            held[name] = (n + len(values), adapter.serialize(inner), until)
+        if idle_us:  # sessions without updates in this batch that have been idle for too long
+            held = {k: kept for k, kept in held.items() if k in news or kept[2] >= state.getCurrentWatermarkMs()}
+        if not held:
             state.remove()
-            return
-        n, text = state.get if state.exists else (0, None)
-        inner = adapter.create() if text is None else load(text)
-        rows = pd.concat(list(frames)).sort_values(list(order))
-        for value in adapter.merge(rows[update].tolist()):
-            inner = adapter.apply(inner, value)
-        n, text = n + len(rows), adapter.serialize(inner)
-        state.update((n, text))
-        if idle_us:
-            state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, int(rows[ts].max().timestamp() * 1000) + idle_us // 1000))
-        yield pd.DataFrame({session: [name[0]], "updates": [n], "state": [text]})
+        else:
+            state.update(([*held], *[list(kept) for kept in zip(*held.values(), strict=True)]))
+            if idle_us:
+                state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs() + 1, min(until for _, _, until in held.values())))
+        if news:
+            yield pd.DataFrame({session: [*news], "updates": [held[k][0] for k in news], "state": [held[k][1] for k in news]})
 
     timeout = GroupStateTimeout.EventTimeTimeout if idle_us else GroupStateTimeout.NoTimeout
-    return updates.groupBy(session).applyInPandasWithState(step, f"{session} {kind}, updates long, state string", "updates long, state string", "update", timeout)
+    kept_ = f"names array<{kind}>, updates array<long>, states array<string>, until array<long>"
+    return _grouped(updates, session).applyInPandasWithState(step, f"{session} {kind}, updates long, state string", kept_, "update", timeout)
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """What larger tables and odd inputs broke."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,37 @@ def test_a_batch_is_whole_whatever_the_files(spark, tmp_path, monkeypatch):
         part = [[i for i in range(100) if min(3, i * i * 4 // 9801) == k] for k in range(4)]
         again = [[], *[[i for i in p if i % 10 == 0] for p in part[:3]]] if repeats else [[]] * 4
         assert seen == [sorted(a + b) for a, b in zip(part, again, strict=True)]
+
+
+def test_state_of_many_keys_is_held_by_groups(spark, tmp_path, monkeypatch):
+    """Keys of one group and null keys have states of their own over batches; groups do not grow with the keys."""
+    monkeypatch.setattr(streams, "GROUPS", 2)
+    schema, path = "key bigint, us bigint, ts timestamp, type string", str(tmp_path / "in")
+    key = F.when(F.col("id") % 9 != 0, F.col("id") % 9 + (1 << 60))
+    rows = spark.range(360).select(key.alias("key"), (F.col("id") * 1_000_000).alias("us"), F.timestamp_seconds("id").alias("ts"), F.concat(F.lit("t"), F.col("id") % 5).alias("type"))
+    for k in range(3):
+        rows.filter(f"us div 120000000 = {k}").coalesce(1).write.mode("append").parquet(path)
+    load = json.loads
+    states = streams.drained(streams.session_state(streams.event_stream(spark, path, schema), "key", ["us"], "type", stream_queries.Totals(), load), "update")
+    got = {r.key: (r.n, load(r.s)) for r in states.groupBy("key").agg(F.max("updates").alias("n"), F.max_by("state", "updates").alias("s")).collect()}
+    assert got == {k and k + (1 << 60): (40, {f"t{t}": 8 for t in range(5)}) for k in (None, *range(1, 9))}
+    bucket = streams.drained(streams.token_bucket(streams.event_stream(spark, path, schema), "key", "us", "us", 0.05, 3.0).toDF("key", "seq", "allowed"))
+    want = {}
+    for k in range(9):
+        tokens, last = 3.0, k
+        for t in range(k, 360, 9):
+            tokens, last = min(3.0, tokens + (t - last) * 0.05), t
+            want[t * 1_000_000] = tokens >= 1
+            tokens -= tokens >= 1
+    assert {r.seq: r.allowed for r in bucket.collect()} == want
+
+
+def test_idle_sessions_of_a_group_start_anew(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "GROUPS", 1)
+    schema, path = "key bigint, ts timestamp, type string", str(tmp_path / "in")
+    batches = ([(1, 0), (2, 0)], [(1, 100)], [(1, 200)], [(1, 300), (3, 300)], [(1, 310), (2, 310)])
+    for batch in batches:
+        spark.createDataFrame(batch, "key long, s long").select("key", F.timestamp_seconds(F.col("s") + 1000).alias("ts"), F.lit("a").alias("type")).coalesce(1).write.mode("append").parquet(path)
+    events = streams.event_stream(spark, path, schema).withWatermark("ts", "10 seconds")
+    states = streams.drained(streams.session_state(events, "key", ["ts"], "type", stream_queries.Totals(), json.loads, 150_000_000, "ts"), "update").collect()
+    assert sorted((r.key, r.updates) for r in states) == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (2, 1), (3, 1)]
