@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from statewright.sources.scratch import written
 
@@ -27,7 +29,8 @@ def parsed(lines: DataFrame, *more: str) -> DataFrame:
     """
     raw = F.regexp_extract("value", r'"data":(\{.*\})\}\s*$', 1)
     entry = F.from_json("value", ENTRY)
-    rows = lines.select(entry.alias("e"), raw.alias("raw"), *more).filter(F.col("e.logSequenceNumber").isNotNull() & F.col("e.data").isNotNull())
+    # A line is parsed once: fields of a parsed column alone would each have the line parsed again.
+    rows = lines.select(F.explode(F.array(entry)).alias("e"), raw.alias("raw"), *more).filter(F.col("e.logSequenceNumber").isNotNull() & F.col("e.data").isNotNull())
     valid = F.col("e.checksum").isNull() | (F.sha2("raw", 256) == F.col("e.checksum"))
     data = [F.col(f"e.data.{name}").alias(alias) for name, alias in (
         ("entityId", "entity_id"), ("ownerNodeId", "owner"), ("version", "version"), ("timestamp", "changed_at"),
@@ -67,49 +70,56 @@ def log_bytes(spark: SparkSession, path: str) -> int:
 def append(changes: DataFrame, path: str, next_lsn: int, order: str, max_bytes: int | None = None) -> int:
     """Writes ``changes`` as new files of the log, numbered from ``next_lsn`` in ``order``; the next free number.
 
-    The rows are first written in ranges of ``order`` with the number of their range: what is counted, and what is numbered
-    by prefix sums of those counts, is the same table, however Spark plans the two. A log of more than ``max_bytes`` takes
-    no more.
+    The rows are first written in sorted ranges of ``order`` with their range and their place in it: what is counted, and what
+    is numbered by prefix sums of those counts, is the same table, however Spark plans the two. A log of more than
+    ``max_bytes`` takes no more.
     """
     spark = changes.sparkSession
     if max_bytes is not None and (size := log_bytes(spark, path)) > max_bytes:
         raise ValueError(f"the log has {size} bytes, more than {max_bytes}")
     n = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = written(changes.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id()), "log-append")
+    # The row's place in its range stands in the lower 33 bits of the number that the task which writes it gives.
+    sorted_ = changes.repartitionByRange(n, order).sortWithinPartitions(order).withColumn("_at", F.monotonically_increasing_id())
+    ordered = written(sorted_, "log-append").withColumn("_p", F.shiftright("_at", 33))
     sizes = ordered.groupBy("_p").agg(F.count("*").alias("n"))
     before = sizes.withColumn("_base", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("_p").orderBy(order))
-    numbered = ordered.join(F.broadcast(before.select("_p", "_base")), "_p").withColumn("lsn", F.lit(next_lsn - 1) + F.col("_base") + place)
+    place = F.col("_at").bitwiseAND((1 << 33) - 1)
+    numbered = ordered.join(F.broadcast(before.select("_p", "_base")), "_p").withColumn("lsn", F.lit(next_lsn) + F.col("_base") + place)
     lines(numbered).write.mode("append").text(path)
     return next_lsn + ordered.count()
 
 
-def replayed(entries: DataFrame, handle: Callable[[dict], None], key: str = "entity_id", order: str = "lsn") -> DataFrame:
-    """key, order, error: ``handle`` called with each entry (a dictionary), in order for each key; error is null where it worked.
+def replayed(entries: DataFrame, handle: Callable[[dict], None], key: str = "entity_id", order: str = "lsn", keep: Sequence[str] = ()) -> DataFrame:
+    """key, order, error, and the columns ``keep`` of the entry: ``handle`` called with each entry (a dictionary), in order for
+    each key; error is null where it worked.
 
     An entry that fails is left behind and the next one goes on. ``handle`` runs in the tasks, once more if a task is repeated.
     """
-    kinds = ", ".join(f"{c} {entries.schema[c].dataType.simpleString()}" for c in (key, order))
+    names = [key, order, *keep]
+    out = StructType([entries.schema[c] for c in names]).add("error", "string")
+    types = to_arrow_schema(out)
 
-    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.schema.names
             errors = []
-            for row in frame.to_dict("records"):
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 try:
-                    handle(row)
+                    handle(dict(zip(columns, row, strict=True)))
                     errors.append(None)
                 except Exception as error:  # noqa: BLE001  whatever a handler raises, the replay goes on
                     errors.append(f"{type(error).__name__}: {error}"[:500])
-            yield frame[[key, order]].assign(error=pd.Series(errors, dtype=object, index=frame.index))
+            found = [batch.column(columns.index(c)) for c in names]
+            yield pa.RecordBatch.from_arrays([*found, pa.array(errors, pa.string())], schema=types)
 
-    return entries.repartition(key).sortWithinPartitions(key, order).mapInPandas(task, f"{kinds}, error string")
+    return entries.repartition(key).sortWithinPartitions(key, order).mapInArrow(task, out)
 
 
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """file, start_lsn, end_lsn, entry_count, tombstone_count, size_bytes of each log file that has entries."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size_bytes"))
     entry = F.from_json("value", ENTRY)
-    rows = raw.select("file", "size_bytes", entry.logSequenceNumber.alias("lsn"), entry.data.operation.alias("operation")).filter("lsn IS NOT NULL")
+    rows = raw.select("file", "size_bytes", F.explode(F.array(entry)).alias("e")).select("file", "size_bytes", F.col("e.logSequenceNumber").alias("lsn"), F.col("e.data.operation").alias("operation")).filter("lsn IS NOT NULL")
     return rows.groupBy("file").agg(
         F.min("lsn").alias("start_lsn"), F.max("lsn").alias("end_lsn"), F.count("*").alias("entry_count"),
         F.count_if(F.col("operation") == "DELETE").alias("tombstone_count"), F.first("size_bytes").alias("size_bytes"),
@@ -124,18 +134,27 @@ def truncated(entries: DataFrame, before: int) -> DataFrame:
 def truncate(spark: SparkSession, path: str, before: int) -> None:
     """Rewrites the log without its lines below LSN ``before`` and without damaged ones.
 
-    The new files are written beside the log and take its place by renaming; the old ones go last.
+    Only files that have such lines are touched. What stays of them is written to a hidden folder in the log, then each old
+    file goes and the new ones come in by renaming.
     """
-    fs, at = _hadoop(spark, path)
-    name = uuid.uuid4().hex[:8]
-    new, old = f"{path.rstrip('/')}-new-{name}", f"{path.rstrip('/')}-old-{name}"
-    rows = spark.read.text(path)
-    found = parsed(rows, "value").filter(F.col("valid") & (F.col("lsn") >= before)).select("value")
-    found.write.text(new)
+    fs, _ = _hadoop(spark, path)
     of = spark._jvm.org.apache.hadoop.fs.Path
-    if not (fs.rename(at, of(old)) and fs.rename(of(new), at)):
-        raise OSError(f"the log {path} could not be replaced; its new files are in {new}")
-    fs.delete(of(old), True)
+    name = uuid.uuid4().hex[:8]
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    kept = parsed(rows, "value", "file").filter(F.col("valid") & (F.col("lsn") >= before)).select("file", "value")
+    counts = rows.groupBy("file").agg(F.count("*").alias("n")).join(kept.groupBy("file").agg(F.count("*").alias("kept")), "file", "left")
+    touched = [r.file for r in counts.filter("kept IS NULL OR kept < n").select("file").collect()]  # names of files, not rows
+    if not touched:
+        return
+    hidden = f"{path.rstrip('/')}/_truncated-{name}"
+    parsed(spark.read.text(touched), "value").filter(F.col("valid") & (F.col("lsn") >= before)).select("value").write.text(hidden)
+    for file in touched:
+        if not fs.delete(of(spark._jvm.java.net.URI(file)), False):
+            raise OSError(f"{file} could not be replaced; what stays of the old files is in {hidden}")
+    for new in fs.listStatus(of(hidden)):
+        if new.getLen() and not new.getPath().getName().startswith(("_", ".")) and not fs.rename(new.getPath(), of(f"{path.rstrip('/')}/{new.getPath().getName()}")):
+            raise OSError(f"{new.getPath()} could not be put into the log")
+    fs.delete(of(hidden), True)
 
 
 def write_checkpoint(state: DataFrame, path: str, lsn: int, keep: int | None = None) -> None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from statewright.functions import columns
 from statewright.operators import metrics, placement
 from statewright.plans import stream_queries
+from statewright.sources import wal
 from statewright.streaming import events as streams
 
 
@@ -99,3 +100,19 @@ def test_idle_sessions_of_a_group_start_anew(spark, tmp_path, monkeypatch):
     events = streams.event_stream(spark, path, schema).withWatermark("ts", "10 seconds")
     states = streams.drained(streams.session_state(events, "key", ["ts"], "type", stream_queries.Totals(), json.loads, 150_000_000, "ts"), "update").collect()
     assert sorted((r.key, r.updates) for r in states) == [(1, 1), (1, 2), (1, 3), (1, 4), (1, 5), (2, 1), (2, 1), (3, 1)]
+
+
+def test_log_lines_are_parsed_once_and_whole_files_stay(spark, tmp_path):
+    path = tmp_path / "log"
+    rows = spark.range(400).select(F.col("id").alias("k"), F.lit("e").alias("entity_id"), F.lit("n").alias("owner"), F.col("id").alias("version"), F.lit(0).alias("changed_at"), F.lit("UPDATE").alias("operation"), F.lit(1).alias("ts"))
+    for k in range(4):
+        wal.append(rows.filter(f"k div 100 = {k}").withColumn("k", -F.col("k")), str(path), 100 * k + 1, "k")
+    assert wal.read(spark, str(path))._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+    got = {r.lsn: r.version for r in wal.read(spark, str(path)).collect()}
+    assert got == {100 * k + i + 1: 100 * k + 99 - i for k in range(4) for i in range(100)}
+    names = {f.name for f in path.iterdir() if f.name.startswith("part-")}
+    wal.truncate(spark, str(path), 151)
+    assert sorted(r.lsn for r in wal.read(spark, str(path)).collect()) == list(range(151, 401))
+    assert len(names & {f.name for f in path.iterdir()}) >= len(names) // 2
+    with_operation = wal.replayed(wal.read(spark, str(path)), lambda e: 1 // (e["lsn"] % 2), keep=["operation"]).collect()
+    assert len(with_operation) == 250 and {(r.operation, r.error is None) for r in with_operation if r.lsn % 2} == {("UPDATE", True)}
