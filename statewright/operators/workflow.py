@@ -207,7 +207,7 @@ def reachable(spark: SparkSession, edges: DataFrame, start: int, limit: int | No
     keyed = edges.select(F.lit(0).alias("key"), "source", "target", F.lit(None).cast("string").alias("name")).filter("source IS NOT NULL AND target IS NOT NULL")
     kind = edges.schema["source"].dataType
     front = spark.range(1).select(F.lit(0).alias("key"), F.lit(start).cast(kind).alias("node"), F.lit(None).cast("string").alias("via"))
-    return _walked(keyed.distinct(), front).select("node", "depth")
+    return _walked(written(keyed.distinct(), "ways"), front).select("node", "depth")
 
 
 def first_joins(nodes: DataFrame, edges: DataFrame, branches: DataFrame) -> DataFrame:
@@ -216,20 +216,24 @@ def first_joins(nodes: DataFrame, edges: DataFrame, branches: DataFrame) -> Data
     least edge id counts."""
     joins = nodes.filter("type = 'join'").select(F.col("id").alias("node"))
     known = nodes.select(F.col("id").alias("node"))
-    onward = edges.join(joins.select(F.col("node").alias("source")), "source", "left_anti").join(known.select(F.col("node").alias("target")), "target", "left_semi")
-    start = branches.select(F.col("id").alias("key")).join(edges.select(F.col("id").alias("key"), F.col("target").alias("node")), "key")
-    front = written(start.select("key", "node", F.col("key").alias("via"), F.lit(0).alias("depth")), "branches")
-    visited, hits = front.select("key", "node"), None
-    depth = 0
+    # What goes on from each node is written once for all rounds, with whether it is a join.
+    ends = known.join(joins.withColumn("_join", F.lit(True)).hint("merge"), "node", "left").withColumn("_join", F.coalesce("_join", F.lit(False)))
+    from_ = edges.join(joins.select(F.col("node").alias("source")).hint("merge"), "source", "left_anti")
+    onward = written(from_.join(ends.withColumnRenamed("node", "target").hint("merge"), "target").select("source", "target", F.col("id").alias("via"), F.col("_join").alias("hit")), "onward")
+    start = branches.select(F.col("id").alias("key")).join(edges.select(F.col("id").alias("key"), F.col("target").alias("node")).hint("merge"), "key")
+    start = start.join(joins.withColumn("hit", F.lit(True)).hint("merge"), "node", "left")
+    front = written(start.select("key", "node", F.col("key").alias("via"), F.coalesce("hit", F.lit(False)).alias("hit")), "branches")
+    hits, visited = [], [front]
     while not front.isEmpty():
-        found = front.join(joins, "node", "left_semi").groupBy("key").agg(F.min(F.struct("via", "node")).alias("_h"))
+        found = front.filter("hit").groupBy("key").agg(F.min(F.struct("via", "node")).alias("_h"))
         found = written(found.select("key", F.col("_h.node").alias("join_id"), F.col("_h.via").alias("edge_id")), "branches")
-        hits = found if hits is None else hits.unionByName(found)
-        depth += 1
-        open_ = front.join(found.select("key"), "key", "left_anti").select("key", F.col("node").alias("source"))
-        met = open_.join(onward.select("source", "target", F.col("id").alias("via")), "source").groupBy("key", F.col("target").alias("node")).agg(F.min("via").alias("via"))
-        front = written(met.join(visited, ["key", "node"], "left_anti").select("key", "node", "via", F.lit(depth).alias("depth")), "branches")
-        visited = visited.unionByName(front.select("key", "node"))
+        hits.append(found)
+        open_ = front.select("key", F.col("node").alias("source")).join(found.select("key"), "key", "left_anti")
+        met = open_.join(onward, "source").groupBy("key", F.col("target").alias("node")).agg(F.min("via").alias("via"), F.max("hit").alias("hit"))
+        seen = reduce(DataFrame.unionByName, [v.select("key", "node") for v in visited])
+        front = written(met.join(seen, ["key", "node"], "left_anti").select("key", "node", "via", "hit"), "branches")
+        visited.append(front)
+    hits = reduce(DataFrame.unionByName, hits) if hits else None
     ids = branches.select(F.col("id").alias("key"))
     return ids.join(hits, "key", "left").withColumnRenamed("key", "branch") if hits is not None else ids.select(F.col("key").alias("branch"), F.lit(None).cast("string").alias("join_id"), F.lit(None).cast("string").alias("edge_id"))
 
@@ -241,14 +245,15 @@ def traversed(nodes: DataFrame, edges: DataFrame, outcomes: DataFrame, start: Da
     a fork over all but the error edges, a failed step over its error edges only; a cancelled one, or one without an
     outcome, goes nowhere. ``edges`` has source, source_handle and target.
     """
-    steps = outcomes.join(nodes.select(F.col("id").alias("node"), "type"), "node")
+    # Whole tables meet by sorting both, not by sending one of them everywhere; what they give is written once for all rounds.
+    steps = outcomes.join(nodes.select(F.col("id").alias("node"), "type").hint("merge"), "node")
     done = steps.filter("status IN ('completed', 'failed')").withColumn("handle", F.when(F.col("status") == "failed", "error").otherwise(F.coalesce("handle", F.lit("out"))))
-    ways = done.join(edges.select(F.col("source").alias("node"), F.coalesce("source_handle", F.lit("out")).alias("_by"), "target"), "node")
+    ways = done.join(edges.select(F.col("source").alias("node"), F.coalesce("source_handle", F.lit("out")).alias("_by"), "target").hint("merge"), "node")
     fork = (F.col("type") == "fork") & (F.col("status") == "completed")
     taken = ways.filter((fork & (F.col("_by") != "error")) | (~fork & (F.col("_by") == F.col("handle"))))
     keyed = taken.select(F.col("run").alias("key"), F.col("node").alias("source"), "target", F.lit(None).cast("string").alias("name")).distinct()
     front = start.select(F.col("run").alias("key"), "node", F.lit(None).cast("string").alias("via"))
-    return _walked(keyed, front).select(F.col("key").alias("run"), "node", "depth")
+    return _walked(written(keyed, "ways"), front).select(F.col("key").alias("run"), "node", "depth")
 
 
 def graph_errors(nodes: DataFrame, edges: DataFrame) -> DataFrame:

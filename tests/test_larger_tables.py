@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statewright.functions import columns
-from statewright.operators import metrics, placement
+from statewright.operators import metrics, placement, workflow
 from statewright.plans import stream_queries
 from statewright.sources import wal
 from statewright.streaming import events as streams
@@ -116,3 +116,11 @@ def test_log_lines_are_parsed_once_and_whole_files_stay(spark, tmp_path):
     assert len(names & {f.name for f in path.iterdir()}) >= len(names) // 2
     with_operation = wal.replayed(wal.read(spark, str(path)), lambda e: 1 // (e["lsn"] % 2), keep=["operation"]).collect()
     assert len(with_operation) == 250 and {(r.operation, r.error is None) for r in with_operation if r.lsn % 2} == {("UPDATE", True)}
+
+
+def test_ways_of_a_graph_are_joined_once(spark):
+    nodes = spark.createDataFrame([(k, "step") for k in range(30)], "id long, type string")
+    edges = spark.createDataFrame([(k, k, k + 1, "out") for k in range(29)], "id long, source long, target long, source_handle string")
+    outcomes = nodes.select(F.lit(0).alias("run"), F.col("id").alias("node"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("handle"))
+    found = workflow.traversed(nodes, edges, outcomes, spark.range(1).select(F.lit(0).alias("run"), F.col("id").alias("node")))
+    assert {r.node: r.depth for r in found.collect()} == {k: k for k in range(30)}
