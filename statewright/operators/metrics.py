@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from statewright.operators.ordered import folded
+
 # Fixed value: upper bounds of the default buckets; the last, unbounded one holds everything.
 BUCKETS = (0.5, 1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 500.0, 1000.0, 2500.0)
 
@@ -77,9 +82,57 @@ def rolling_histogram(observed: DataFrame, keys: Sequence[str], seq: str, value:
 
 
 def rolling_linear(observed: DataFrame, keys: Sequence[str], micros: str, value: str, span: int, p: float) -> DataFrame:
-    """``observed`` with rolling_p over the rows of the last ``span`` microseconds, interpolated."""
-    frame = Window.partitionBy(*keys).orderBy(micros).rangeBetween(-span, 0)
-    return observed.select("*", F.percentile(value, p).over(frame).alias("rolling_p"))
+    """``observed`` with rolling_p over the rows of the last ``span`` microseconds, interpolated.
+
+    A key's time is cut in slices of ``span``, which are folded apart; a slice also gets the rows of the one before it, which
+    its first frames reach into. A fold holds one frame's values in order, so a row does not sort its frame again.
+    """
+    rest = [c for c in observed.columns if c not in keys]
+    of = F.floor(F.col(micros) / span)
+    own = observed.withColumn("_slice", of).withColumn("_own", F.lit(True))
+    before = observed.filter(F.col(micros).isNotNull()).withColumn("_slice", of + 1).withColumn("_own", F.lit(False))
+
+    def at_p(ordered: list, nans: int) -> float | None:
+        n = len(ordered) + nans
+        if not n:
+            return None
+        place = (n - 1) * p
+        low, high = math.floor(place), math.ceil(place)
+        a, b = (ordered[k] if k < len(ordered) else math.nan for k in (low, high))
+        return a if low == high or a == b else (high - place) * a + (place - low) * b
+
+    def flushed(state):
+        waiting, state["waiting"] = state["waiting"], []
+        if not waiting:
+            return ()
+        found = at_p(state["ordered"], state["nans"])
+        return [(*row, found) for row in waiting]
+
+    def step(state, t, v, mine, *row):
+        given = ()
+        if t != state["at"]:  # rows of the same time share a frame
+            given, state["at"] = flushed(state), t
+            frame, ordered = state["frame"], state["ordered"]
+            while frame and frame[0][0] < t - span:
+                gone = frame.popleft()[1]
+                if gone != gone:
+                    state["nans"] -= 1
+                else:
+                    del ordered[bisect_left(ordered, gone)]
+        if v is not None:
+            state["frame"].append((t, v))
+            if v != v:
+                state["nans"] += 1
+            else:
+                insort(state["ordered"], v)
+        if mine:
+            state["waiting"].append(row)
+        return state, given
+
+    start = lambda: {"at": None, "frame": deque(), "ordered": [], "nans": 0, "waiting": []}
+    gives = ", ".join(f"`{c}` {observed.schema[c].dataType.simpleString()}" for c in rest)
+    values = [micros, F.col(value).cast("double"), "_own", *rest]
+    return folded(own.unionByName(before), keys, [micros], values, start, step, f"{gives}, rolling_p double", flushed, ["_slice"]).select(*observed.columns, "rolling_p")
 
 
 def cumulative_counts(snapshots: DataFrame, keys: Sequence[str], bounds: Sequence[float] = BUCKETS) -> DataFrame:

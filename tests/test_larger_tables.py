@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statewright.functions import columns
@@ -124,3 +125,12 @@ def test_ways_of_a_graph_are_joined_once(spark):
     outcomes = nodes.select(F.lit(0).alias("run"), F.col("id").alias("node"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("handle"))
     found = workflow.traversed(nodes, edges, outcomes, spark.range(1).select(F.lit(0).alias("run"), F.col("id").alias("node")))
     assert {r.node: r.depth for r in found.collect()} == {k: k for k in range(30)}
+
+
+def test_rolling_percentile_by_slices(spark):
+    """Rows of equal time, frames that reach over slices, nulls and no numbers, against a plain loop."""
+    rows = [(k % 2, k * k % 997 * 10, None if k % 11 == 0 else float("nan") if k % 97 == 5 else float(k * 7 % 50)) for k in range(600)]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "n long, key long, us long, value double")
+    got = {r.n: r.rolling_p for r in metrics.rolling_linear(df, ["key"], "us", "value", 100, 0.95).collect()}
+    want = df.select("n", F.percentile("value", 0.95).over(Window.partitionBy("key").orderBy("us").rangeBetween(-100, 0)).alias("p"))
+    assert {k: str(v) for k, v in got.items()} == {r.n: str(r.p) for r in want.collect()} and len(got) == 600
