@@ -210,10 +210,10 @@ def reachable(spark: SparkSession, edges: DataFrame, start: int, limit: int | No
     return _walked(written(keyed.distinct(), "ways"), front).select("node", "depth")
 
 
-def first_joins(nodes: DataFrame, edges: DataFrame, branches: DataFrame) -> DataFrame:
+def first_joins(nodes: DataFrame, edges: DataFrame, branches: DataFrame, limit: int | None = None) -> DataFrame:
     """branch, join_id, edge_id: the nearest join downstream of each branch edge (its id), and the edge that reaches it; null
     if there is none. ``nodes`` has id, type; ``edges`` id, source, target. Ways end at a join; of ways of equal length the
-    least edge id counts."""
+    least edge id counts. With a ``limit``, joins more than so many edges behind the branch edge are not its joins."""
     joins = nodes.filter("type = 'join'").select(F.col("id").alias("node"))
     known = nodes.select(F.col("id").alias("node"))
     # What goes on from each node is written once for all rounds, with whether it is a join.
@@ -224,10 +224,12 @@ def first_joins(nodes: DataFrame, edges: DataFrame, branches: DataFrame) -> Data
     start = start.join(joins.withColumn("hit", F.lit(True)).hint("merge"), "node", "left")
     front = written(start.select("key", "node", F.col("key").alias("via"), F.coalesce("hit", F.lit(False)).alias("hit")), "branches")
     hits, visited = [], [front]
-    while not front.isEmpty():
+    while not front.isEmpty():  # the front of round k is k edges behind the branch edges
         found = front.filter("hit").groupBy("key").agg(F.min(F.struct("via", "node")).alias("_h"))
         found = written(found.select("key", F.col("_h.node").alias("join_id"), F.col("_h.via").alias("edge_id")), "branches")
         hits.append(found)
+        if len(hits) - 1 == limit:
+            break
         open_ = front.select("key", F.col("node").alias("source")).join(found.select("key"), "key", "left_anti")
         met = open_.join(onward, "source").groupBy("key", F.col("target").alias("node")).agg(F.min("via").alias("via"), F.max("hit").alias("hit"))
         seen = reduce(DataFrame.unionByName, [v.select("key", "node") for v in visited])

@@ -2,13 +2,15 @@
 
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from statewright.functions import columns
 from statewright.operators import metrics, placement, workflow
-from statewright.plans import stream_queries
+from statewright.plans import added_queries, stream_queries
+from statewright.plans.registry import ORACLES
 from statewright.sources import wal
 from statewright.streaming import events as streams
 
@@ -134,3 +136,18 @@ def test_rolling_percentile_by_slices(spark):
     got = {r.n: r.rolling_p for r in metrics.rolling_linear(df, ["key"], "us", "value", 100, 0.95).collect()}
     want = df.select("n", F.percentile("value", 0.95).over(Window.partitionBy("key").orderBy("us").rangeBetween(-100, 0)).alias("p"))
     assert {k: str(v) for k, v in got.items()} == {r.n: str(r.p) for r in want.collect()} and len(got) == 600
+
+
+def test_joins_beyond_twelve_edges_are_not_reported_to(spark, tmp_path):
+    """A chain of doubled steps whose only join is thirteen edges behind the first branch."""
+    chain = [95 * 2**k for k in range(14)]
+    parts = spark.createDataFrame([(p,) for p in (*chain, chain[-1] // 3)], "p_partkey long")
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    got = {r.branch: (r.join_id, r.edge_id) for r in added_queries.first_joins(spark, str(tmp_path)).collect()}
+    assert got[95 * 4] == (None, None) and got[95 * 2 * 4] == (chain[-1] // 3, chain[-1] * 4 + 2)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert {(b, *j) for b, j in got.items()} == set(con.execute(ORACLES["first_joins"]).fetchall())
+    nodes, edges = added_queries._graph(spark, str(tmp_path))
+    whole = workflow.first_joins(nodes, edges, edges.filter("id = 380").select("id")).first()
+    assert tuple(whole) == (95 * 4, chain[-1] // 3, chain[-1] * 4 + 2)
