@@ -151,3 +151,9 @@ def test_joins_beyond_twelve_edges_are_not_reported_to(spark, tmp_path):
     nodes, edges = added_queries._graph(spark, str(tmp_path))
     whole = workflow.first_joins(nodes, edges, edges.filter("id = 380").select("id")).first()
     assert tuple(whole) == (95 * 4, chain[-1] // 3, chain[-1] * 4 + 2)
+
+
+def test_every_order_is_routed_at_random(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    orders = {r.o_orderkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").collect()}
+    assert {r.id for r in added_queries.routes_at_random(spark, sf_dir).collect()} == orders
