@@ -1,5 +1,6 @@
 """What larger tables and odd inputs broke."""
 
+import hashlib
 import json
 
 import duckdb
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from statewright.functions import columns
+from statewright.functions import columns, digests
 from statewright.operators import metrics, placement, workflow
 from statewright.plans import added_queries, stream_queries
 from statewright.plans.registry import ORACLES
@@ -157,3 +158,34 @@ def test_every_order_is_routed_at_random(spark):
     sf_dir = "/root/testdata/sf0.001"
     orders = {r.o_orderkey for r in spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey").collect()}
     assert {r.id for r in added_queries.routes_at_random(spark, sf_dir).collect()} == orders
+
+
+def test_least_hashes_of_all_pairs(monkeypatch):
+    """Messages of one and of several blocks, heads and tails that share words, against hashlib pair by pair."""
+    names = ["", "7", "a", "é", "b:1", *(str(k) for k in range(95, 130)), "x" * 60, "y" * 60, "z" * 130]
+    keys = [None, "", "1", "é", "123", "1234", *(str(k) for k in range(4990, 5010)), "k" * 50, "k" * 63, "l" * 64, "m" * 140]
+    hashed = lambda k, n: hashlib.md5(("" if k is None else f"{k}:").encode() + f"{n}:5".encode()).hexdigest()
+    want = [sorted(names, key=lambda n: (hashed(k, n), n)) for k in keys]
+    for block, held in ((1 << 15, 1 << 22), (3, 1), (64, 100)):
+        monkeypatch.setattr(digests, "BLOCK", block)
+        monkeypatch.setattr(digests, "HELD", held)
+        for count in (0, 1, 3, 99):
+            assert digests.least(keys, names, "5", count) == [w[:count] for w in want]
+    assert digests.least(["1"], [], "5", 3) == [[]]
+
+
+def test_keys_at_random_are_hashed_by_batches(spark):
+    """No expression hashes pair by pair; rows with equal or null keys keep their other columns."""
+    members = spark.range(45).select("id", F.when(F.col("id") % 9 == 0, "DEAD").otherwise("ALIVE").alias("status"), F.lit("z").alias("zone"))
+    keys = spark.range(3000).select(F.when(F.col("id") % 100 != 7, F.expr("id div 2")).alias("k"), F.col("id").alias("n"))
+    df = placement.routed(keys, "k", "random", None, members, 3, seed=5)
+    assert "md5(" not in df._jdf.queryExecution().optimizedPlan().toString() and df.columns == ["k", "n", "nodes"]
+    alive = [str(k) for k in range(45) if k % 9]
+    hashed = lambda k, n: hashlib.md5(f"{'' if k is None else f'{k}:'}{n}:5".encode()).hexdigest()
+    got = {r.n: (r.k, r.nodes) for r in df.collect()}
+    assert len(got) == 3000
+    for n, (k, nodes) in got.items():
+        assert k == (n // 2 if n % 100 != 7 else None) and nodes == sorted(alive, key=lambda m: (hashed(k, m), m))[:3]
+    nobody = placement.routed(keys, "k", "random", None, members.filter("false"), 3, seed=5)
+    assert {(r.n, *r.nodes) for r in nobody.collect()} == {(n,) for n in range(3000)}
+    assert placement.routed(keys.filter("false"), "k", "random", None, members, 3, seed=5).count() == 0
